@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from voxsift.operators.joins import BROADCAST_ROWS, has_at_most
+
 
 def insert_missing(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
     """``target`` plus the rows of ``source`` whose key it does not hold yet."""
@@ -14,6 +16,18 @@ def missing_rows(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
     return source.join(target.select(key), key, "left_anti")
 
 
+def missing_from_large(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
+    """``missing_rows`` for a small ``source`` that was written before, such as a micro-batch.
+
+    While its size is within bounds its keys are sent to the target, whose keys are then filtered
+    without a shuffle. A larger source is joined the usual way.
+    """
+    keys = target.select(key)
+    if has_at_most(source.select(key), BROADCAST_ROWS):
+        keys = keys.join(F.broadcast(source.select(key).distinct()), key, "left_semi")
+    return missing_rows(keys, source, key)
+
+
 def update_matched(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
     """``target`` with every column replaced by ``source``'s where the key matches, NULLs included.
 
