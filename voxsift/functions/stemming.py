@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # Fixed values of the algorithm: whole-word exceptions, prefixes that set the first region, and the
 # suffixes of each step with their replacements.
@@ -117,7 +117,7 @@ def _completed(base: str, r1: int) -> str:
 _known: dict[str, str] = {}
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _stems(words: pa.Array) -> pa.Array:
     coded = words.dictionary_encode()
     distinct = coded.dictionary.to_pylist()

@@ -127,6 +127,15 @@ class SourceTable:
     def _create_empty(self, spark: SparkSession, name: str, schema: T.StructType) -> DataFrame:
         return spark.catalog.createTable(f"{self.schema}.{name}", source=self.fmt, schema=schema)
 
+    def conform(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the declared columns and types."""
+        return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.source_schema()])
+
+    def target_rows(self, rows: DataFrame) -> DataFrame:
+        """``rows`` as the target table takes them, without a result yet."""
+        typed = with_empty_result(self.conform(rows), self.target_column)
+        return typed.select(*self.target_schema().fieldNames())
+
     def select_target_columns(self, rows: DataFrame) -> DataFrame:
         return rows.select(*[c.name for c in self.columns if c.is_target_column])
 
