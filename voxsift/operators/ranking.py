@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxsift.staging import shuffle_partitions
 
-# Up to this k Spark cuts each task's rows to k before it shuffles them.
+# Spark itself cuts each task's rows to k before shuffling them: for a plain top-k, and per group.
+# Up to these k the tasks x k rows that are left fit one task.
 SMALL_K = 1000
+SMALL_GROUP_K = 100
 
 
 def top_k(
@@ -17,14 +19,18 @@ def top_k(
 ) -> DataFrame:
     """The first ``k`` rows in ``order``, per group of ``by`` when given. Exact, ``order`` must be total.
 
-    A group is ranked in two steps, first within slices of it (``spread`` picks the slice, for
-    example the primary key), then over the at most k rows left of each slice. The second step sees
-    slices x k rows however large the group is.
+    With a large k a group is ranked in two steps, first within slices of it (``spread`` picks the
+    slice, for example the primary key), then over the at most k rows left of each slice. The second
+    step sees slices x k rows however large the group is.
     """
     order = list(order)
     by = list(by)
     if k <= SMALL_K and not by and rank is None:
         return df.orderBy(*order).limit(k)
+    if k <= SMALL_GROUP_K and by:
+        ranked = df.withColumn(rank or "_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+        kept = ranked.where(F.col(rank or "_rank") <= k)
+        return kept if rank else kept.drop("_rank")
     slices = shuffle_partitions(df.sparkSession)
     position = rank or "_rank"
     sliced = df.withColumn("_slice", F.pmod(F.xxhash64(spread), F.lit(slices)).cast("int"))

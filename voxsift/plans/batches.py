@@ -37,17 +37,20 @@ class AnalysisTarget:
         self.root = root.rstrip("/")
         self.key = key
         self.column = column
+        self._current: str | None = None
 
     # --- state ---------------------------------------------------------------------------------
 
     def exists(self) -> bool:
-        return versions.current(self.spark, self.root) is not None
+        return self._current is not None or versions.current(self.spark, self.root) is not None
 
     def _folder(self) -> str:
-        folder = versions.current(self.spark, self.root)
-        if folder is None:
+        """Folder of the version this object works on: the published one when first used."""
+        if self._current is None:
+            self._current = versions.current(self.spark, self.root)
+        if self._current is None:
             raise ValueError(f"nothing published under {self.root}; seed the target first")
-        return folder
+        return self._current
 
     def rows(self) -> DataFrame:
         """Rows of the current version, without the answers given since."""
@@ -141,6 +144,7 @@ class AnalysisTarget:
         path = f"{self.root}/{version}/rows"
         self._sorted(rows).write.parquet(path)
         versions.publish(self.spark, self.root, version)
+        self._current = f"{self.root}/{version}"
         counts = self.spark.read.parquet(path).agg(
             F.count(F.lit(1)).alias("n"), F.count(error_of(self.column)).alias("errors")
         ).first()

@@ -18,6 +18,7 @@ from voxsift.functions import documents as doc
 from voxsift.functions.domain_columns import split_categories, valid_categories
 from voxsift.functions.text import tokens
 from voxsift.plans.model import MakeComplete, ModelSettings, model_call
+from voxsift.staging import spread_input
 
 FEEDBACK_MARK = "\nfeedback: "
 IDENTIFY_TASK = "task: name the categories of one customer review"
@@ -127,8 +128,7 @@ class ModelExtraction(Extraction):
     def _analyse(self, reviews: DataFrame) -> DataFrame:
         rows = reviews.drop(self.result)
         kept = rows.columns
-        if self.tasks:
-            rows = rows.repartition(self.tasks)
+        rows = rows.repartition(self.tasks) if self.tasks else spread_input(rows)
         keys = self.domains.keys()
         named = rows.withColumn("_named", self._ask(self.identify(self.feedback, keys, self.domains.conditions())))
         listed = doc.json_path("_named.reply", "categories")
@@ -182,7 +182,7 @@ class LexiconExtraction(Extraction):
         self.words = {d.key: [w.lower() for w in words[d.topic]] for d in domains}
 
     def analyse(self, reviews: DataFrame) -> DataFrame:
-        rows = reviews.drop(self.result)
+        rows = spread_input(reviews.drop(self.result))
         keys = self.domains.keys()
         found = rows.withColumn("_tokens", F.array_distinct(tokens(self.feedback)))
         for key, words in self.words.items():

@@ -51,30 +51,27 @@ def model_call(
         with ThreadPoolExecutor(threads) as pool:
             for prompts in batches:
                 pieces = [prompts.iloc[i : i + chunk] for i in range(0, len(prompts), chunk)]
-                answers = list(pool.map(partial(_answers, complete), pieces))
-                yield pd.concat(answers) if answers else pd.DataFrame({"reply": [], "error": []}, dtype=object)
+                answers = [a for piece in pool.map(partial(_answers, complete), pieces) for a in piece]
+                yield pd.DataFrame(answers, columns=["reply", "error"], dtype=object)
 
     return call.asNondeterministic()(prompt)
 
 
-def _answers(complete: Complete, prompts: pd.Series) -> pd.DataFrame:
-    """Replies and errors in prompt order; NULL prompts are not sent."""
-    out = pd.DataFrame({"reply": None, "error": None}, index=range(len(prompts)), dtype=object)
-    asked = prompts.reset_index(drop=True).dropna()
+def _answers(complete: Complete, prompts: pd.Series) -> list[tuple[str | None, str | None]]:
+    """(reply, error) in prompt order; NULL prompts are not sent."""
+    asked = prompts.dropna()
     if asked.empty:
-        return out
+        return [(None, None)] * len(prompts)
     try:
         replies = list(complete(asked))
         if len(replies) != len(asked):
             raise ValueError(f"{len(asked)} prompts, {len(replies)} replies")
-        out.loc[asked.index, "reply"] = pd.Series(replies, index=asked.index, dtype=object)
+        reply = iter(replies)
+        return [(next(reply), None) if sent else (None, None) for sent in prompts.notna()]
     except Exception as failure:
-        if len(asked) > 1:  # find the prompts at fault, the others keep their replies
-            for at in asked.index:
-                out.loc[at] = _answers(complete, asked.loc[[at]]).iloc[0]
-        else:
-            out.loc[asked.index, "error"] = str(failure) or type(failure).__name__
-    return out
+        if len(prompts) > 1:  # find the prompts at fault, the others keep their replies
+            return [a for i in range(len(prompts)) for a in _answers(complete, prompts.iloc[[i]])]
+        return [(None, str(failure) or type(failure).__name__)]
 
 
 def embedding_call(text: Column, make_embed: Callable, settings: ModelSettings, chunk: int = EMBEDDING_CHUNK) -> Column:

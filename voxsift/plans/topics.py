@@ -6,16 +6,16 @@ Frames used throughout: ``assigned`` has a document key, a ``topic`` and the tex
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from voxsift.functions.text import term_counts, term_positions, tokens
 from voxsift.functions.vectors import best_match
@@ -320,32 +320,49 @@ def topic_distribution(
 
     n_topics = len(topics)
 
-    @F.pandas_udf("array<double>")
-    def shares(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for words, lengths in batches:
-            yield pd.Series(
-                [_window_shares(w, n, n_topics, window, min_similarity) for w, n in zip(words, lengths)], dtype=object
-            )
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def shares(words: pa.Array, lengths: pa.Array) -> pa.Array:
+        found = words.flatten()  # one entry per text and distinct word
+        idf = found.field("idf").to_numpy(zero_copy_only=False)
+        at, w = found.field("at"), found.field("w").flatten().to_numpy()
+        topic, first_topic = at.flatten().to_numpy(), _starts(at)
+        place, first_place = found.field("positions").flatten().to_numpy(), _starts(found.field("positions"))
+        first_word = _starts(words)
+        out = []
+        for i, length in enumerate(lengths.to_numpy(zero_copy_only=False)):
+            a, b = first_word[i], first_word[i + 1]
+            line = np.full(length, -1)  # which of the text's words stands at each position
+            line[place[first_place[a] : first_place[b]]] = np.repeat(np.arange(b - a), np.diff(first_place[a : b + 1]))
+            weight = np.zeros((b - a, n_topics))
+            known = slice(first_topic[a], first_topic[b])
+            weight[np.repeat(np.arange(b - a), np.diff(first_topic[a : b + 1])), topic[known]] = w[known]
+            out.append(_window_shares(line, idf[a:b], weight, window, min_similarity))
+        return pa.array(out, pa.list_(pa.float64()))
 
     names = F.array(*[F.lit(t) for t in topics]).cast(f"array<{kind}>")
     spread_out = per_doc.select(key, F.posexplode(shares("words", "_len")).alias("_at", "share"))
     return spread_out.where(F.col("share") > 0).select(key, F.get(names, F.col("_at")).alias("topic"), "share")
 
 
-def _window_shares(words: Sequence[dict], length: int, n_topics: int, window: int, min_similarity: float) -> np.ndarray:
-    """Summed similarities of one text's windows to each topic, scaled to sum 1."""
-    idf = np.array([w["idf"] for w in words])
-    weight = np.zeros((len(words), n_topics))
-    at_position = np.full(length, -1)  # which known word stands at each position
-    for i, w in enumerate(words):
-        weight[i, np.asarray(w["at"], dtype=int)] = w["w"]
-        at_position[np.asarray(w["positions"], dtype=int)] = i
-    width = min(window, length)
+def _starts(lists: pa.Array) -> np.ndarray:
+    """Where each list begins in the flattened values, and their number at the end."""
+    return np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+
+
+def _window_shares(
+    line: np.ndarray, idf: np.ndarray, weight: np.ndarray, window: int, min_similarity: float
+) -> np.ndarray:
+    """Summed similarities of one text's windows to each topic, scaled to sum 1.
+
+    ``line`` holds the row in ``idf`` and ``weight`` of the word at each position, -1 for unknown words.
+    """
+    n_topics = weight.shape[1]
+    width = min(window, len(line))
     total = np.zeros(n_topics)
     step = max(1, 2_000_000 // (width * n_topics))
-    for first in range(0, length - width + 1, step):
-        starts = np.arange(first, min(first + step, length - width + 1))
-        cells = at_position[starts[:, None] + np.arange(width)]
+    windows = np.lib.stride_tricks.sliding_window_view(line, width)
+    for first in range(0, len(windows), step):
+        cells = windows[first : first + step]
         seen = cells >= 0
         value = np.where(seen, idf[cells], 0.0)
         dot = np.einsum("ij,ijt->it", value, weight[cells])

@@ -51,10 +51,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread_input(df: DataFrame, key: str) -> DataFrame:
+def spread_input(df: DataFrame, *keys: str) -> DataFrame:
     """A scan of fewer files than there are cores, divided over all cores before heavy work.
 
     Large tables have more files than that and are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if 0 < len(df.inputFiles()) < cores else df
+    return df.repartition(cores, *keys) if 0 < len(df.inputFiles()) < cores else df
