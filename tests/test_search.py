@@ -262,3 +262,19 @@ def test_recall_of_the_approximate_search(spark):
     both = [r for r in near if r.vec_id in exact_distance]
     assert len(both) >= 7
     assert all(abs(r.distance - exact_distance[r.vec_id]) < 1e-6 for r in both)
+
+
+def test_search_page(spark):
+    from voxsift.plans.review_search import search_reviews
+    from voxsift.sources.search_index import scratch_index
+
+    data = [(i, f"late <b>box</b> {i}", "b1" if i % 2 else "b2", [1.0, float(i)]) for i in range(40)]
+    index = scratch_index(spark.createDataFrame(data, "review_id long, review string, brand string, vector array<float>"), buckets=2)
+    page = search_reviews(index, "late, B-O-X!", lambda text: [1.0, 0.0], brand="b1", shown=1)
+    assert page.cleaned == "late BOX"
+    assert {r.measure: r["rows"] for r in page.counts.collect()} == {"total": 20, "text": 20, "semantic": 2}  # 1 - 1/sqrt(1+i*i) < 0.7
+    shown = page.text.collect()
+    assert [r.review_id for r in shown] == [1, 3, 5, 7, 9]
+    assert shown[0].marked == f"{marked('late')} &lt;b&gt;{marked('box')}&lt;/b&gt; 1"
+    assert [r.review_id for r in page.near.collect()] == [1, 3]
+    assert search_reviews(index, "late").near is None

@@ -161,3 +161,16 @@ def test_small_join_either_way(spark, how):
 def test_salted_join_refuses_kinds_it_would_repeat(spark):
     with pytest.raises(ValueError):
         join_salted(spark.range(1), spark.range(1), ["id"], F.col("id"), "full")
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
+def test_only_hot_keys_are_divided(spark, how):
+    from voxsift.operators.joins import hot_keys
+
+    big = spark.range(6000).select(F.when(F.col("id") < 2000, F.lit(0)).otherwise(F.col("id")).alias("k"), "id")
+    small = spark.range(0, 6000, 2).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    hot = hot_keys(big.groupBy("k").agg(F.count("*").alias("n")), ["k"], "n")
+    assert len(hot) == 1
+    got = join_salted(big, small, ["k"], F.col("id"), how, salts=5, hot=hot)
+    want = big.join(small, "k", how)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.select(*got.columns).collect()), key=str)

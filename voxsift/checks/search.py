@@ -10,6 +10,7 @@ from voxsift.functions.vectors import cosine_distance
 from voxsift.operators.joins import join_small
 from voxsift.operators.search import query_terms, text_search, text_search_many
 from voxsift.operators.vector_search import approximate_nearest, nearest_many, vector_search
+from voxsift.plans.review_search import search_reviews
 from voxsift.plans.topics import topic_means
 from voxsift.sources.search_index import document_terms, open_index, publish_index
 from voxsift.staging import fresh_path
@@ -104,6 +105,16 @@ def t4_display_cap(spark, sf) -> DataFrame:
     return hits.orderBy("rank").limit(TOP).select("review_id", "brand")
 
 
+def t4_search_page(spark, sf) -> DataFrame:
+    """The shown hits of a typed sentence, highlighted, for one brand."""
+    page = search_reviews(search_index(spark, sf), QUERY_TEXT, brand="src3", shown=20)
+    return page.text.select("review_id", F.md5("marked").alias("marked_md5"))
+
+
+def a4_page_counts(spark, sf) -> DataFrame:
+    return search_reviews(search_index(spark, sf), QUERY_TEXT, brand="src3").counts
+
+
 def _vectors(spark, sf) -> DataFrame:
     return table(spark, sf, "embeddings")
 
@@ -171,6 +182,8 @@ QUERIES: dict[str, Query] = {
     "t2_text_search_stemmed": t2_text_search_stemmed,
     "t2_text_search_one": t2_text_search_one,
     "t4_display_cap": t4_display_cap,
+    "t4_search_page": t4_search_page,
+    "a4_page_counts": a4_page_counts,
     "t3_vector_search": t3_vector_search,
     "t3_vector_search_filtered": t3_vector_search_filtered,
     "p8_distance_threshold": p8_distance_threshold,
@@ -232,6 +245,15 @@ ORACLE: dict[str, str] = {
         FROM ranked JOIN documents ON doc = doc_id""",
     "t4_display_cap": f"""WITH {_bm25("SELECT 0 AS query, 'the of' AS text")}
         SELECT doc AS review_id, source AS brand FROM ranked JOIN documents ON doc = doc_id WHERE rank <= {TOP}""",
+    "t4_search_page": rf"""WITH {_bm25("SELECT 0 AS query, 'the that reason of' AS text", "source = 'src3'")},
+        hits AS (SELECT doc, text FROM ranked JOIN documents ON doc = doc_id WHERE rank <= 20),
+        escaped AS (SELECT doc, replace(replace(replace(replace(regexp_replace(text, '(?i)(reason|that|the|of)',
+            chr(57344) || '\1' || chr(57345), 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS t FROM hits)
+        SELECT doc AS review_id, md5(replace(replace(t, chr(57344),
+            '<div style="background-color: yellow; display: inline;">'), chr(57345), '</div>')) AS marked_md5
+        FROM escaped""",
+    "a4_page_counts": f"""WITH {_TOKENS} SELECT 'total' AS measure, count(*) AS rows FROM tok WHERE source = 'src3'
+        UNION ALL SELECT 'text', count(*) FROM tok WHERE source = 'src3' AND len(list_intersect(toks, ['reason', 'that', 'the', 'of'])) > 0""",
     "t3_vector_search": f"""SELECT vec_id, label, round({_DISTANCE}, 6) AS distance FROM embeddings
         ORDER BY round({_DISTANCE}, 12), vec_id LIMIT {TOP}""",
     "t3_vector_search_filtered": f"""SELECT vec_id, label, round({_DISTANCE}, 6) AS distance FROM embeddings

@@ -130,4 +130,5 @@ def _stems(words: pa.Array) -> pa.Array:
 
 
 def stem(word: Column) -> Column:
-    return _stems(word)
+    """The stem of each word; evaluated once however often the column is used."""
+    return _stems.asNondeterministic()(word)

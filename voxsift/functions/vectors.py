@@ -50,7 +50,7 @@ def cosine_distance(vector: Column, query: Sequence[float]) -> Column:
         out[rows] = np.round(1 - matrix @ target, DECIMALS)
         return pa.array(out, from_pandas=True)
 
-    return distance(vector)
+    return distance.asNondeterministic()(vector)  # so that a filter on it is not a second evaluation
 
 
 def best_match(vector: Column, names: Sequence, vectors: Sequence[Sequence[float]]) -> Column:
@@ -84,4 +84,4 @@ def _best_of_block(vector: Column, matrix: np.ndarray, first: int) -> Column:
             [pa.array(similarity, mask=missing), pa.array(place, mask=missing)], names=["similarity", "place"]
         )
 
-    return best(vector)
+    return best.asNondeterministic()(vector)  # read twice, evaluated once

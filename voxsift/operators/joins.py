@@ -1,4 +1,4 @@
-"""Joins with a side whose size is checked before it is broadcast."""
+"""Joins with a side whose size is checked before it is broadcast, and joins on keys with hot values."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from voxsift.staging import shuffle_partitions
 
 # Largest number of narrow rows (a key and a few numbers) sent to every executor: some tens of MB.
 BROADCAST_ROWS = 200_000
+# A key with more than one in this many rows is hot; there are fewer than this many such keys.
+HOT_SHARE = 1000
 
 
 def has_at_most(df: DataFrame, rows: int) -> bool:
@@ -21,30 +23,50 @@ def join_small(
     big: DataFrame,
     small: DataFrame,
     on: Sequence[str],
-    spread: Column,
+    spread: Column | None = None,
     how: str = "inner",
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Join ``big`` with a side that is expected, but not promised, to be small.
 
     Within ``max_rows`` the small side is broadcast and ``big`` is not shuffled. Beyond it both sides
-    are shuffled on the key plus a salt: the small side is repeated once per salt and ``spread`` (an
-    expression over ``big``) picks the salt, so that a key holding a third of ``big`` is divided
-    among all tasks. Both ways return the same rows.
+    are shuffled on the key; ``spread``, needed when keys repeat in ``big``, divides each of them over
+    several tasks as in ``join_salted``. All ways return the same rows.
     """
     on = list(on)
     if has_at_most(small, max_rows):
         return big.join(F.broadcast(small), on, how)
-    return join_salted(big, small, on, spread, how)
+    return big.join(small, on, how) if spread is None else join_salted(big, small, on, spread, how)
 
 
 def join_salted(
-    big: DataFrame, small: DataFrame, on: Sequence[str], spread: Column, how: str = "inner", salts: int | None = None
+    big: DataFrame,
+    small: DataFrame,
+    on: Sequence[str],
+    spread: Column,
+    how: str = "inner",
+    salts: int | None = None,
+    hot: Sequence[int] | None = None,
 ) -> DataFrame:
-    """Shuffle join on ``on`` with every key of ``big`` divided over ``salts`` tasks."""
+    """Shuffle join in which a key holding a large part of ``big`` is divided over ``salts`` tasks.
+
+    ``spread``, an expression over ``big``, picks a row's salt; the rows of ``small`` are repeated once
+    per salt. With ``hot``, hashes made by ``hot_keys``, only those keys are divided and repeated.
+    """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salting keeps only the rows of the left side whole, not {how}")
     salts = salts or max(2, min(32, shuffle_partitions(big.sparkSession)))
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    own, every, none = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"), F.sequence(F.lit(0), F.lit(salts - 1)), F.lit(0)
+    if hot is not None:
+        divided = F.xxhash64(*on).isin(list(hot))
+        own, every = F.when(divided, own).otherwise(none), F.when(divided, every).otherwise(F.array(none))
+    left = big.withColumn("_salt", own)
+    right = small.withColumn("_salt", F.explode(every))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
+def hot_keys(counts: DataFrame, on: Sequence[str], count: str) -> list[int]:
+    """Hashes of the keys with more than 1 / ``HOT_SHARE`` of all rows, from the rows per key."""
+    total = counts.agg(F.sum(count).alias("n")).first()["n"] or 0
+    rows = counts.where(F.col(count) > total / HOT_SHARE).select(F.xxhash64(*on).alias("h")).collect()
+    return [r["h"] for r in rows]

@@ -43,7 +43,7 @@ def query_terms(queries: DataFrame, index: SearchIndex, query_key: str = "query"
 def weighted_terms(terms: DataFrame, index: SearchIndex) -> DataFrame:
     """query, bucket, term and weight of the query terms the index knows."""
     stats = _of_terms(index.term_stats, terms)
-    known = join_small(stats, terms, ["bucket", "term"], F.col("term"))
+    known = join_small(stats, terms, ["bucket", "term"])
     weight = F.col("times") * idf(F.lit(index.docs), F.col("df"))
     return known.select("query", "bucket", "term", weight.alias("weight"))
 

@@ -18,6 +18,7 @@ from voxsift.functions.vectors import BLOCK_NUMBERS, DECIMALS, batch_matrix, cos
 from voxsift.operators.filters import matching, select_list
 from voxsift.operators.ranking import top_k
 from voxsift.operators.search import SEARCH_LIMIT
+from voxsift.staging import stage
 
 # Fixed value: rows at this cosine distance or farther are not hits.
 THRESHOLD = 0.6
@@ -40,9 +41,10 @@ def vector_search(
     measured = named.withColumn("distance", cosine_distance(F.col(vector), query)).where("distance is not null")
     if select and vector not in select:
         measured = measured.drop(vector)
-    nearest = top_k(measured, limit, [F.asc("distance"), F.asc(key)], F.col(key))
-    kept = nearest if threshold is None else nearest.where(F.col("distance") < threshold)
-    return select_list(kept, select, [*(conditions or {})], "distance")
+    # the nearest come first, so the rows beyond the threshold can go before the limit as well
+    kept = measured if threshold is None else measured.where(F.col("distance") < threshold)
+    nearest = top_k(kept, limit, [F.asc("distance"), F.asc(key)], F.col(key))
+    return select_list(nearest, select, [*(conditions or {})], "distance")
 
 
 def vector_search_text(rows: DataFrame, text: str, embed: Callable[[str], Sequence[float]], **options) -> DataFrame:
@@ -62,9 +64,13 @@ def nearest_many(
     """
     dim = queries.agg(F.max(F.size(query_vector)).alias("n")).first()["n"] or 1
     block = max(1, min(BLOCK_NUMBERS // dim, _HELD // max(1, k)))
-    found = [
-        _nearest_of_block(rows, held, k, key, vector) for held in _blocks(queries, block, query_key, query_vector)
-    ]
+    found = []
+    blocks = _blocks(queries, block, query_key, query_vector)
+    held = next(blocks, None)
+    while held is not None:
+        near, held = _nearest_of_block(rows, held, k, key, vector), next(blocks, None)
+        # one of several blocks is written at once, so that the driver lets go of its vectors
+        found.append(near if held is None and not found else stage(near, "nearest"))
     if not found:
         found = [rows.limit(0).select(F.lit(0).cast("bigint").alias("query"), key, F.lit(0.0).alias("distance"))]
     merged = reduce(DataFrame.unionByName, found)

@@ -62,14 +62,16 @@ class AnalysisTarget:
             return None
         return self.spark.read.schema(self.rows().schema).option("recursiveFileLookup", "true").parquet(path)
 
-    def pending(self) -> DataFrame:
-        """Rows without a result, answers counted in."""
+    def pending(self, batch_size: int | None = None) -> DataFrame:
+        """Rows without a result, answers counted in; the first ``batch_size`` by key when given."""
+        if batch_size is not None:
+            return self.pending().orderBy(self.key).limit(batch_size)
         rows, answers = pending(self.rows(), self.column), self.answers()
         if answers is None:
             return rows
         # compare keys alone, then fetch the few rows left, instead of moving every text
         left = rows.select(self.key).join(answers.select(self.key), self.key, "left_anti")
-        return join_small(rows, left, [self.key], F.col(self.key), "left_semi").select(*rows.columns)
+        return join_small(rows, left, [self.key], how="left_semi").select(*rows.columns)
 
     def read(self) -> DataFrame:
         """Every review with its current result."""

@@ -17,8 +17,9 @@ from voxsift.domains import CATCH_ALL_FIELDS, CATCH_ALL_KEY, DomainSet
 from voxsift.functions import documents as doc
 from voxsift.functions.domain_columns import split_categories, valid_categories
 from voxsift.functions.text import tokens
+from voxsift.operators.joins import hot_keys, join_salted
 from voxsift.plans.model import MakeComplete, ModelSettings, model_call
-from voxsift.staging import spread_input
+from voxsift.staging import spread_input, stage
 
 FEEDBACK_MARK = "\nfeedback: "
 IDENTIFY_TASK = "task: name the categories of one customer review"
@@ -114,16 +115,23 @@ class ModelExtraction(Extraction):
         return model_call(prompt, self.make_complete, self.settings, self.threads)
 
     def analyse(self, reviews: DataFrame) -> DataFrame:
-        if not self.once_per_text:
-            return self._analyse(reviews)
-        # the distinct pairs have at most one row per key, and adaptive execution splits the
-        # review side of a pair with very many copies
-        pair = [F.col(self.review).eqNullSafe(F.col("_review")), F.col(self.rating).eqNullSafe(F.col("_rating"))]
-        answers = self._analyse(reviews.select(self.review, self.rating).distinct()).select(
-            F.col(self.review).alias("_review"), F.col(self.rating).alias("_rating"), self.result
-        )
-        kept = [c for c in reviews.columns if c != self.result]
-        return reviews.drop(self.result).join(answers, pair).select(*kept, self.result)
+        return self._once_per_text(reviews) if self.once_per_text else self._analyse(reviews)
+
+    def _once_per_text(self, reviews: DataFrame) -> DataFrame:
+        """Analyse the distinct (review, rating) pairs and give each row its pair's document."""
+        rows = reviews.drop(self.result)
+        pair = {"_review": F.col(self.review), "_rating": F.col(self.rating)}
+        # NULL equals NULL here: a flag beside a value that is never NULL
+        keyed = rows
+        for name, value in pair.items():
+            keyed = keyed.withColumn(name, F.coalesce(value.cast("string"), F.lit(""))).withColumn(f"{name}_null", value.isNull())
+        on = [n for name in pair for n in (name, f"{name}_null")]
+        counted = keyed.groupBy(self.review, self.rating, *on).agg(F.count(F.lit(1)).alias("_copies"))
+        pairs = stage(counted, "distinct-reviews")
+        answers = self._analyse(pairs.drop("_copies")).select(*on, self.result)
+        # a pair with very many copies is divided over several tasks by the rows' other columns
+        joined = join_salted(keyed, answers, on, F.xxhash64(*rows.columns), hot=hot_keys(pairs, on, "_copies"))
+        return joined.select(*rows.columns, self.result)
 
     def _analyse(self, reviews: DataFrame) -> DataFrame:
         rows = reviews.drop(self.result)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from voxsift.functions.text import term_counts, term_positions, tokens
 from voxsift.functions.vectors import best_match
-from voxsift.operators.joins import has_at_most, join_salted, join_small
+from voxsift.operators.joins import has_at_most, hot_keys, join_salted, join_small
 from voxsift.operators.ranking import top_k
 from voxsift.operators.vector_search import similarity, unit_vectors
 from voxsift.plans.model import MakeComplete, ModelSettings, model_call
@@ -314,7 +314,9 @@ def topic_distribution(
 
     spread = spread_input(docs.select(key, text), key)
     words = spread.select(key, tokens(F.col(text), WORD_CHARS).alias("_t")).withColumn("_len", F.size("_t"))
-    known = join_salted(term_positions(words, "_t", [key, "_len"]), packed, ["term"], F.col(key))
+    # a common word occurs in most texts: its rows are divided over several tasks
+    hot = hot_keys(weights.groupBy("term").agg(F.sum("tf").alias("tf")), ["term"], "tf")
+    known = join_salted(term_positions(words, "_t", [key, "_len"]), packed, ["term"], F.col(key), hot=hot)
     entry = F.struct("positions", "idf", F.col("by_topic.at").alias("at"), F.col("by_topic.w").alias("w"))
     per_doc = known.groupBy(key, "_len").agg(F.collect_list(entry).alias("words"))
 

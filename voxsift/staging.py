@@ -54,7 +54,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def spread_input(df: DataFrame, *keys: str) -> DataFrame:
     """A scan of fewer files than there are cores, divided over all cores before heavy work.
 
-    Large tables have more files than that and are left as they are.
+    Large tables have more files than that and are left as they are; only the number of their files
+    leaves the JVM.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if 0 < len(df.inputFiles()) < cores else df
+    return df.repartition(cores, *keys) if 0 < len(df._jdf.inputFiles()) < cores else df
