@@ -174,6 +174,19 @@ def test_postings_of_a_query_are_pruned(indexes):
     assert "EqualTo(term,movie)" in plan or "In(term, [movie])" in plan
 
 
+def test_hits_are_fetched_from_their_buckets(indexes):
+    plan = text_search("movie", indexes["plain"], limit=3)._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruningexpression(_doc_bucket" in plan
+
+
+@pytest.mark.parametrize("limit", [3, 100_000])
+def test_scores_are_never_ranked_whole_in_one_task(indexes, limit):
+    """Every exchange below the scores is by key; a single task sees only rows cut to the limit."""
+    plan = text_search("movie", indexes["plain"], limit=limit)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange SinglePartition" not in plan
+    assert ("WindowGroupLimit" if limit == 3 else "_slice") in plan
+
+
 def test_republishing_replaces_all_rows(spark, folder):
     with pytest.raises(ValueError, match="no index"):
         open_index(spark, folder)

@@ -124,7 +124,9 @@ def test_diverse_and_central_words(spark):
     assert [r.term for r in central] == ["a", "b"]
 
 
-def test_word_vectors_are_means_of_their_documents(spark):
+@pytest.mark.parametrize("listed", [2000, 0])
+def test_word_vectors_are_means_of_their_documents(spark, monkeypatch, listed):
+    monkeypatch.setattr(tm, "LISTED_WORDS", listed)
     docs = spark.createDataFrame(
         [(["a", "a", "b"], [1.0, 0.0]), (["a"], [0.0, 1.0]), (["c"], [9.0, 9.0])], "tokens array<string>, vector array<float>"
     )

@@ -11,7 +11,7 @@ from voxsift.functions.text import tokens
 from voxsift.operators.filters import matching
 from voxsift.operators.joins import BROADCAST_ROWS, has_at_most, join_small
 from voxsift.operators.ranking import top_k
-from voxsift.sources.search_index import SearchIndex, stemmed_if, term_bucket
+from voxsift.sources.search_index import OWN_COLUMNS, SearchIndex, stemmed_if, term_bucket
 
 # BM25 parameters and the default number of hits.
 K1 = 1.2
@@ -92,10 +92,12 @@ def text_search_many(
 ) -> DataFrame:
     """Hits of many queries in one job, with the wanted columns of the documents."""
     hits = ranked_hits(queries, index, limit, conditions, query_key, text).withColumnRenamed("doc", index.doc_key)
-    columns = select or [c for c in index.documents.columns if c != "_tokens"]
-    wanted = index.documents.select(*dict.fromkeys([index.doc_key, *columns]))
+    hits = hits.withColumn("_doc_bucket", term_bucket(F.col(index.doc_key), index.doc_buckets))
+    columns = select or [c for c in index.documents.columns if c not in OWN_COLUMNS]
+    wanted = index.documents.select(*dict.fromkeys(["_doc_bucket", index.doc_key, *columns]))
     few = has_at_most(queries.select(query_key), BROADCAST_ROWS // max(1, limit))
-    found = wanted.join(F.broadcast(hits) if few else hits, index.doc_key)
+    # with the bucket among the keys, only the folders holding a hit are read
+    found = wanted.join(F.broadcast(hits) if few else hits, ["_doc_bucket", index.doc_key])
     return found.select("query", "rank", *dict.fromkeys(columns), "score")
 
 
@@ -104,5 +106,6 @@ def text_search(
     select: Sequence[str] | None = None,
 ) -> DataFrame:
     """Documents with any word of ``query``, best first by ``rank``, with their ``score``."""
-    one = index.spark.range(1).select(F.lit(0).alias("query"), F.lit(query).alias("text"))
+    # the query number is a column and no literal: ranking per constant would be one task's work
+    one = index.spark.range(1).select(F.col("id").alias("query"), F.lit(query).alias("text"))
     return text_search_many(one, index, limit, conditions, select).drop("query")

@@ -41,6 +41,8 @@ REPRESENTATIVES = 3
 WORD_CHARS = 2
 # Topics are declared by people or found by a clustering with a given k.
 MAX_TOPICS = 10_000
+# Up to this many words are looked for as a list, more by a join.
+LISTED_WORDS = 2000
 
 
 # --- embedding --------------------------------------------------------------------------------------
@@ -217,12 +219,17 @@ def topic_info(assigned: DataFrame, words: DataFrame, key: str, text: str) -> Da
 
 def word_vectors(docs: DataFrame, words: DataFrame, token_column: str = "tokens", vector: str = "vector") -> DataFrame:
     """term, vector: mean of the vectors of the documents using the term, for the terms in ``words``."""
+    terms = words.select("term").distinct()
+    distinct = F.array_distinct(token_column)
+    few = [r["term"] for r in terms.limit(LISTED_WORDS + 1).collect()]
+    if len(few) <= LISTED_WORDS:  # drop the other words before a vector is repeated for each
+        distinct = F.array_intersect(distinct, F.array(*[F.lit(t) for t in few]).cast("array<string>"))
     used = docs.select(
-        F.explode(F.array_distinct(token_column)).alias("term"),
+        F.explode(distinct).alias("term"),
         array_to_vector(F.col(vector).cast("array<double>")).alias("_v"),
-        F.monotonically_increasing_id().alias("_row"),
+        F.xxhash64(vector).alias("_spread"),
     )
-    wanted = join_small(used, words.select("term").distinct(), ["term"], F.col("_row"), "left_semi")
+    wanted = used if len(few) <= LISTED_WORDS else join_small(used, terms, ["term"], F.col("_spread"), "left_semi")
     return wanted.groupBy("term").agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("vector"))
 
 

@@ -1,6 +1,6 @@
 """A published search index: ordinary parquet tables under one version folder.
 
-documents   the indexed rows, all columns
+documents   the indexed rows, all columns, partitioned by bucket of the document key
 postings    bucket, term, doc, tf, len   one row per term and document, partitioned by bucket of term
 term_stats  bucket, term, df             partitioned likewise
 corpus      docs, avg_len                one row
@@ -24,8 +24,12 @@ TOKENIZERS = ("en_stem", "plain")
 TERM_BUCKETS = 64
 
 
-def term_bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+# Columns the index adds to its documents: token count and bucket of the key.
+OWN_COLUMNS = ("_tokens", "_doc_bucket")
+
+
+def term_bucket(value: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(buckets)).cast("int")
 
 
 def stemmed_if(frame: DataFrame, tokenizer: str) -> DataFrame:
@@ -60,6 +64,17 @@ def merged_postings(terms: DataFrame, buckets: int) -> DataFrame:
     )
 
 
+def document_frequencies(postings: DataFrame, buckets: int) -> DataFrame:
+    """bucket, term, df in the layout they are stored in.
+
+    Counted first, next to the postings; only one row per term is then moved to its bucket's files.
+    """
+    slices = max(1, shuffle_partitions(postings.sparkSession) // buckets)
+    counted = postings.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
+    slice_of_term = F.pmod(F.xxhash64("term", F.lit("slice")), F.lit(slices))
+    return counted.repartition(buckets * slices, "bucket", slice_of_term)
+
+
 @dataclass(frozen=True)
 class SearchIndex:
     """An opened version. Its tables do not change, so frames are made once."""
@@ -69,6 +84,7 @@ class SearchIndex:
     doc_key: str
     tokenizer: str
     buckets: int
+    doc_buckets: int
 
     @cached_property
     def documents(self) -> DataFrame:
@@ -106,28 +122,37 @@ class SearchIndex:
 
 def publish_index(
     rows: DataFrame, root: str, doc_key: str = "review_id", text_column: str = "review", tokenizer: str = "en_stem",
-    buckets: int = TERM_BUCKETS,
+    buckets: int = TERM_BUCKETS, doc_buckets: int | None = None,
 ) -> SearchIndex:
     """Build an index from ``rows`` and make it the current one under ``root``. Earlier versions stay
-    readable until ``versions.drop_old_versions``."""
+    readable until ``versions.drop_old_versions``.
+
+    ``doc_buckets``, by default the number of shuffle partitions, divides the documents so that the
+    few rows of a search are fetched from the folders that hold them.
+    """
     spark = rows.sparkSession
     version = versions.new_version(root)
     path = f"{root}/{version}"
-    spread = spread_input(rows, doc_key)
-    sized = spread.withColumn("_tokens", F.size(F.coalesce(tokens(F.col(text_column)), F.array())))
-    sized.write.parquet(f"{path}/documents")
+    doc_buckets = doc_buckets or shuffle_partitions(spark)
+    bucketed = rows.withColumn("_doc_bucket", term_bucket(F.col(doc_key), doc_buckets))
+    sized = bucketed.repartition(doc_buckets, "_doc_bucket").withColumn(
+        "_tokens", F.size(F.coalesce(tokens(F.col(text_column)), F.array()))
+    )
+    sized.sortWithinPartitions("_doc_bucket", doc_key).write.partitionBy("_doc_bucket").parquet(f"{path}/documents")
 
+    spread = spread_input(rows, doc_key)
     postings = merged_postings(document_terms(spread, doc_key, text_column, tokenizer), buckets)
     # sorted by term: a reader skips the row groups of other terms of the bucket
     postings.sortWithinPartitions("bucket", "term", "doc").write.partitionBy("bucket").parquet(f"{path}/postings")
-    stored = spark.read.parquet(f"{path}/postings")
-    stored.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df")).write.partitionBy("bucket").parquet(
-        f"{path}/term_stats"
-    )
+    document_frequencies(spark.read.parquet(f"{path}/postings"), buckets).sortWithinPartitions("bucket", "term").write.partitionBy(
+        "bucket"
+    ).parquet(f"{path}/term_stats")
     corpus_stats(spark.read.parquet(f"{path}/documents").select(F.col("_tokens").alias("len"))).write.parquet(
         f"{path}/corpus"
     )
-    settings = json.dumps({"doc_key": doc_key, "tokenizer": tokenizer, "buckets": buckets})
+    settings = json.dumps(
+        {"doc_key": doc_key, "tokenizer": tokenizer, "buckets": buckets, "doc_buckets": doc_buckets}
+    )
     spark.range(1).select(F.lit(settings).alias("value")).write.text(f"{path}/settings")
     versions.publish(spark, root, version)
     return open_index(spark, root)
