@@ -60,6 +60,8 @@ def test_a_half_written_batch_is_completed(spark, folder):
     target.seed(reviews(spark, 50))
     half = lexicon().analyse(target.rows().where("review_id < 7"))
     half.write.parquet(f"{target._folder()}/answers/run=lost/batch=1")
+    # files of a write that was never committed do not count
+    half.write.parquet(f"{target._folder()}/answers/run=lost/batch=2/_temporary/0")
     log = run_batches(target, lexicon(), batch_size=20)
     assert [e["rows_in"] for e in log] == [20, 20, 3]
     assert target.read().count() == 50 and target.pending().isEmpty()

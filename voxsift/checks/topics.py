@@ -114,6 +114,16 @@ def tm6_centroid_words(spark, sf) -> DataFrame:
     return tm.centroid_words(_candidates(spark, sf), _word_vectors(spark, sf), tm.topic_means(_embedded(spark, sf)))
 
 
+def tm6_centroid_words_given(spark, sf) -> DataFrame:
+    """With the given vectors as those of the documents of the same number."""
+    docs = tm.with_tokens(table(spark, sf, "documents").select("doc_id", F.col("source").alias("topic"), "text"), "text")
+    vectors = _vectors(spark, sf).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    known = docs.join(vectors, "doc_id")
+    candidates = _candidates(spark, sf)
+    words = tm.centroid_words(candidates, tm.word_vectors(known, candidates), tm.topic_means(known))
+    return words.select("topic", "term", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
+
+
 def _first_words(settings):
     """Stand-in for a language model: the first three words of the prompt's word list."""
     return lambda prompts: prompts.map(lambda p: " / ".join(p.rsplit("words: ", 1)[1].split(", ")[:3]))
@@ -154,6 +164,7 @@ QUERIES: dict[str, Query] = {
     "tm4_topic_words": tm4_topic_words,
     "tm5_diverse_words": tm5_diverse_words,
     "tm6_centroid_words": tm6_centroid_words,
+    "tm6_centroid_words_given": tm6_centroid_words_given,
     "tm7_model_labels": tm7_model_labels,
     "tm8_topic_info": tm8_topic_info,
     "tm9_topic_distribution": tm9_topic_distribution,
@@ -193,6 +204,19 @@ ORACLE: dict[str, str] = {
     "tm2_zero_shot": f"""WITH {_MEANS} SELECT vec_id, CASE WHEN similarity >= {MIN_SIMILARITY} THEN label END AS topic,
         round(similarity, 6) AS similarity FROM best""",
     "tm4_topic_words": f"WITH {_weights_sql('lang')} SELECT topic, term, rank FROM ranked WHERE rank <= 10",
+    "tm6_centroid_words_given": f"""WITH {_weights_sql('source')},
+        cand AS (SELECT topic, term FROM ranked WHERE rank <= 30),
+        long AS (SELECT vec_id AS doc_id, unnest(embedding)::DOUBLE AS x,
+          unnest(generate_series(1, len(embedding))) AS pos FROM embeddings),
+        used AS (SELECT DISTINCT doc_id, term FROM words WHERE term IN (SELECT term FROM cand)),
+        wv AS (SELECT term, list(x ORDER BY pos) AS v FROM (SELECT term, pos, avg(x) AS x FROM used JOIN long USING (doc_id)
+          GROUP BY term, pos) GROUP BY term),
+        means AS (SELECT topic, list(x ORDER BY pos) AS mean FROM (SELECT topic, pos, avg(x) AS x FROM tok
+          JOIN long USING (doc_id) GROUP BY topic, pos) GROUP BY topic),
+        sims AS (SELECT topic, term, round(list_cosine_similarity(v, mean), 9) AS similarity
+          FROM cand JOIN wv USING (term) JOIN means USING (topic)),
+        best AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY similarity DESC, term) AS rank FROM sims)
+        SELECT topic, term, rank, round(similarity, 6) AS similarity FROM best WHERE rank <= 10""",
     "tm7_model_labels": f"""WITH {_weights_sql('source')} SELECT topic, string_agg(term, ' / ' ORDER BY rank) AS label,
         CAST(NULL AS VARCHAR) AS label_error FROM ranked WHERE rank <= 3 GROUP BY topic""",
     "tm8_topic_info": f"""WITH {_weights_sql('source')},

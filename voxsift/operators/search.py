@@ -12,6 +12,7 @@ from voxsift.operators.filters import matching
 from voxsift.operators.joins import BROADCAST_ROWS, has_at_most, join_small
 from voxsift.operators.ranking import top_k
 from voxsift.sources.search_index import OWN_COLUMNS, SearchIndex, stemmed_if, term_bucket
+from voxsift.staging import stage
 
 # BM25 parameters and the default number of hits.
 K1 = 1.2
@@ -64,8 +65,8 @@ def scores(terms: DataFrame, index: SearchIndex, allowed: DataFrame | None = Non
     ``allowed`` (a ``doc`` column) keeps only those documents, before any ranking; it is joined on
     the document, which is also how the scores are then grouped.
     """
-    weighted = weighted_terms(terms, index)
-    hits = join_small(_of_terms(index.postings, terms), weighted, ["bucket", "term"], F.col("doc"))
+    weighted = stage(weighted_terms(terms, index), "query-terms")  # measured, listed and joined
+    hits = join_small(_of_terms(index.postings, weighted), weighted, ["bucket", "term"], F.col("doc"))
     if allowed is not None:
         hits = hits.join(allowed.select("doc"), "doc", "left_semi")
     part = bm25(F.col("weight"), F.col("tf"), F.col("len"), F.lit(index.avg_len))
