@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, functions as F
 
 from voxsift.checks.common import (
-    EVERY_WORD, MATCHED, REFUSED, REVIEWS, SELECTION, WORDS, Query, domains, failing_model, lexicon, reviews,
-    sql_list, sql_matched, sql_text, sql_tokens, table,
+    EVERY_WORD, MATCHED, REFUSED, SELECTION, WORDS, Query, domains, failing_model, lexicon, reviews,
+    sql_list, sql_matched, sql_text, table,
+)
+from voxsift.domains import (
+    AI_RATING_TEXT, CATCH_ALL_FIELDS, KEYWORDS_TEXT, RATIONALE_TEXT, SENTIMENT_TEXT, DomainSet,
 )
-from voxsift.domains import AI_RATING_TEXT, BASE_FIELDS, KEYWORDS_TEXT, RATIONALE_TEXT, SENTIMENT_TEXT, Domain, DomainSet
 from voxsift.functions import documents as doc
 from voxsift.functions.domain_columns import (
     category_key, condition_map, config_rows, flat_rows, split_categories, valid_categories,
@@ -19,7 +23,9 @@ from voxsift.plans.extraction import (
     ANALYST, CATCH_ALL_WHEN, FEEDBACK_MARK, IDENTIFY_TASK, ModelExtraction, field_list, identify_prompt, lexicon_model,
 )
 from voxsift.plans.model import ModelSettings, embedding_call
-from voxsift.plans.views import build_analysis_views, ViewSource, catch_all_view, domain_summary, domain_view, error_view, read_view
+from voxsift.plans.views import (
+    ViewSource, build_analysis_views, catch_all_view, domain_summary, domain_view, error_view, read_view,
+)
 from voxsift.sources.config_table import load_domains, save_domains
 from voxsift.staging import fresh_path
 from voxsift.streaming.reviews import read_review_files, stream_analysis
@@ -408,23 +414,16 @@ def _view_sql(words: str, extra: str) -> str:
 
 def _prompt_head() -> str:
     d = domains()
-    marker = "\x00"
-    import json
-
     lines = [
         ANALYST, IDENTIFY_TASK, f"categories: {', '.join(d.keys())}",
         f"when to use each: {json.dumps(d.conditions(), ensure_ascii=False)}",
         "use catchalldetails if none of them applies",
         'reply: {"categories": [names], "rationale": the reasons, step by step}',
     ]
-    return "\n".join(lines).replace(marker, "") + FEEDBACK_MARK
+    return "\n".join(lines) + FEEDBACK_MARK
 
 
 def _field_texts() -> dict[str, str]:
-    import json
-
-    from voxsift.domains import CATCH_ALL_FIELDS
-
     texts = {d.key: {"when": d.condition, "fields": d.extracted_fields()} for d in domains()}
     texts["catchalldetails"] = {"when": CATCH_ALL_WHEN, "fields": CATCH_ALL_FIELDS}
     return {k: f'"{k}": ' + json.dumps(v, ensure_ascii=False) for k, v in texts.items()}

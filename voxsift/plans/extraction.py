@@ -9,6 +9,7 @@ network. It is a stand-in with reproducible results, not a model of comparable q
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -236,8 +237,6 @@ def matched_text(words: Column) -> Column:
 
 def lexicon_model(words: Mapping[str, Sequence[str]]) -> MakeComplete:
     """The lexicon rules behind the model contract, answering prompts; for tests and dry runs."""
-    import re
-
     lexicon = {topic.lower() + "details": [w.lower() for w in listed] for topic, listed in words.items()}
 
     def answer(prompt: str) -> str:
