@@ -21,7 +21,9 @@ from voxsift.operators.joins import join_small
 from voxsift.staging import stage
 
 HEADS = ("bad", "toxic")
-WORDS, GRAMS = 1 << 20, 1 << 17
+#: Feature numbers: words, runs of six bytes (which hold stems and beginnings), runs of three, then shapes.
+WORDS, STEMS, GRAMS = 1 << 20, 1 << 20, 1 << 17
+GROUPS = 4
 #: Labelled documents of each class that a fit reads.
 TRAIN_DOCS = 8000
 #: A feature counts if this many labelled documents have it and its share in a class is this far from chance.
@@ -29,31 +31,43 @@ LEAST_DOCS, LEAST_Z = 5, 5.0
 PRIOR_DOCS = 1.0
 THRESHOLD = 0.5
 _NO_SITE = "\u0000"
+IS_MARK = np.array([33 <= c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
 def bucket(share: float, steps: int = 20) -> int:
     return min(steps, int(share * steps))
 
 
-def features(text: str | None) -> np.ndarray:
-    """Numbers of the features that a text has, each once: words, runs of three bytes, and bins of its shape."""
+def groups(text: str | None) -> list[np.ndarray]:
+    """Feature numbers of a text by group, with repetitions: words, runs of six and of three bytes, shape bins."""
     data = (text or "").encode()
     codes = byte_array(data)
     starts, ends = word_bounds(codes)
     if not len(starts):
-        return np.empty(0, np.int64)
-    words = word_hashes(byte_array(data.translate(LOWER)), starts, ends)
-    kinds = np.unique(words)
+        return []
+    lower = byte_array(data.translate(LOWER))
+    words = word_hashes(lower, starts, ends)
     solid = codes[~IS_SPACE[codes]]
     upper = np.count_nonzero((solid >= 65) & (solid <= 90)) / len(solid)
-    marks = np.count_nonzero((solid < 48) | ((solid > 57) & (solid < 65)) | ((solid > 90) & (solid < 97)) | ((solid > 122) & (solid < 128))) / len(solid)
+    marks = np.count_nonzero(IS_MARK[solid]) / len(solid)
     again = np.count_nonzero(words[1:] == words[:-1]) / len(words)
+    kinds = len(set(words.tolist()))
     shape = [
-        bucket(upper), 32 + bucket(marks), 64 + bucket(len(kinds) / len(words)), 96 + int(np.log2(len(words))),
+        bucket(upper), 32 + bucket(marks), 64 + bucket(kinds / len(words)), 96 + int(np.log2(len(words))),
         128 + min(31, int(len(solid) / len(words))), 160 + bucket(again, 31),
     ]
-    grams = np.unique(char_grams(codes, 3) % np.uint64(GRAMS)).astype(np.int64)
-    return np.concatenate([np.unique((kinds % np.uint64(WORDS)).astype(np.int64)), WORDS + grams, WORDS + GRAMS + np.array(shape)])
+    return [
+        (words % np.uint64(WORDS)).astype(np.int64),
+        (char_grams(lower, 6) % np.uint64(STEMS)).astype(np.int64) + WORDS,
+        (char_grams(codes, 3) % np.uint64(GRAMS)).astype(np.int64) + (WORDS + STEMS),
+        np.array(shape) + (WORDS + STEMS + GRAMS),
+    ]
+
+
+def features(text: str | None) -> np.ndarray:
+    """Numbers of the features that a text has, each once."""
+    found = groups(text)
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
 
 
 def fit_calibration(x: np.ndarray, truth: np.ndarray) -> np.ndarray:
@@ -76,7 +90,7 @@ def fit_calibration(x: np.ndarray, truth: np.ndarray) -> np.ndarray:
 class Evidence:
     """Weight of each feature that counts, and the calibration, for each head.
 
-    Words, byte runs and shape are weighed apart, each by the sum and by the mean of their weights, because a sum counts
+    Words, runs of either length and shape are weighed apart, each by the sum and by the mean of their weights, because a sum counts
     features that always come together many times over.
     """
 
@@ -84,22 +98,24 @@ class Evidence:
     weights: np.ndarray
     calibrations: list[np.ndarray]
 
-    def raw(self, text: str | None) -> np.ndarray:
-        """Sums and means of the weights: one row for each head."""
-        found = features(text)
-        out = np.zeros((len(HEADS), 6))
-        if not len(found) or not len(self.numbers):
-            return out
-        at = np.minimum(np.searchsorted(self.numbers, found), len(self.numbers) - 1)
-        weights = np.where((self.numbers[at] == found)[:, None], self.weights[at], 0.0)
-        cuts = [0, *np.searchsorted(found, [WORDS, WORDS + GRAMS]), len(found)]
-        for k, (start, end) in enumerate(zip(cuts, cuts[1:])):
-            out[:, 2 * k] = weights[start:end].sum(axis=0)
-            out[:, 2 * k + 1] = out[:, 2 * k] / max(end - start, 1)
+    def places(self) -> np.ndarray:
+        """Row of ``weights`` for each feature number, or -1."""
+        table = np.full(WORDS + STEMS + GRAMS + 256, -1, np.int32)
+        table[self.numbers] = np.arange(len(self.numbers))
+        return table
+
+    def raw(self, text: str | None, places: np.ndarray) -> np.ndarray:
+        """Sums and means of the weights of distinct features: one row for each head."""
+        out = np.zeros((len(HEADS), 2 * GROUPS))
+        for k, found in enumerate(groups(text)):
+            rows = places[found]
+            rows = np.unique(rows[rows >= 0])
+            out[:, 2 * k] = self.weights[rows].sum(axis=0)
+            out[:, 2 * k + 1] = out[:, 2 * k] / max(len(found), 1)
         return out
 
-    def logits(self, text: str | None) -> list[float]:
-        return [float(x @ theta[:-1] + theta[-1]) for x, theta in zip(self.raw(text), self.calibrations)]
+    def logits(self, text: str | None, places: np.ndarray) -> list[float]:
+        return [float(x @ theta[:-1] + theta[-1]) for x, theta in zip(self.raw(text, places), self.calibrations)]
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", toxic: str = "toxic", most: int = TRAIN_DOCS) -> Evidence:
@@ -138,17 +154,18 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             odds = np.log((have + PRIOR_DOCS * share) / (inside + PRIOR_DOCS)) - np.log((counts["n"].to_numpy() - have + PRIOR_DOCS * share) / (outside + PRIOR_DOCS))
             weights[:, k] = np.where(np.abs(z) >= LEAST_Z, odds, 0.0)
     used = weights.any(axis=1)
-    evidence = Evidence(counts["f"].to_numpy()[used], weights[used], [np.zeros(7)] * len(HEADS))
+    evidence = Evidence(counts["f"].to_numpy()[used], weights[used], [np.zeros(2 * GROUPS + 1)] * len(HEADS))
 
     @pandas_udf("array<double>")
     def raw(texts: pd.Series) -> pd.Series:
-        return pd.Series([evidence.raw(t).ravel() for t in texts])
+        places = evidence.places()
+        return pd.Series([evidence.raw(t, places).ravel() for t in texts])
 
     checked = held.select(raw("t").alias("x"), *HEADS).toPandas()
     for k, head in enumerate(HEADS):
         y = checked[head].to_numpy(float)
         if 0 < y.sum() < len(y):
-            evidence.calibrations[k] = fit_calibration(np.stack(checked["x"])[:, 6 * k : 6 * k + 6], y)
+            evidence.calibrations[k] = fit_calibration(np.stack(checked["x"])[:, 2 * GROUPS * k : 2 * GROUPS * (k + 1)], y)
     return evidence
 
 
@@ -189,25 +206,27 @@ def site_rates(scored: DataFrame) -> DataFrame:
     return rows.select("host", "path", *(shrunk(rows, h, F.col(f"host_{h}")).alias(f"site_{h}") for h in HEADS), *(F.lit(rate[h]).alias(f"all_{h}") for h in HEADS))
 
 
-def judge(docs: DataFrame, evidence: Evidence, text: str = "text", host: str = "source", path: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
+def judge(docs: DataFrame, evidence: Evidence, text: str = "text", host: str = "source", path: str = "lang", threshold: float = THRESHOLD, carry_text: bool = True) -> DataFrame:
     """Adds ``p_bad``, ``p_toxic``, ``site_bad``, ``site_toxic`` and ``kept``; columns of these names are replaced.
 
     Rows of a null host or path form a site of their own. Null and empty texts have no evidence beyond the calibration's
     offset. Every row is judged by its text and site alone, so repeated rows agree. Evidence is summed by site where the
-    rows are, so a hot site moves one row per task.
+    rows are, so a hot site moves one row per task. Texts are read once: the rows are staged with their evidence, without
+    ``text`` if it isn't to be carried on.
     """
     shared = docs.sparkSession.sparkContext.broadcast(evidence)
 
     @pandas_udf("logit_bad double, logit_toxic double")
     def score(texts: pd.Series) -> pd.DataFrame:
         evidence = shared.value
-        return pd.DataFrame([evidence.logits(t) for t in texts], columns=["logit_bad", "logit_toxic"])
+        places = evidence.places()
+        return pd.DataFrame([evidence.logits(t, places) for t in texts], columns=["logit_bad", "logit_toxic"])
 
-    added = ["p_bad", "p_toxic", "site_bad", "site_toxic", "kept"]
-    base = docs.drop(*added)
+    base = docs.drop("p_bad", "p_toxic", "site_bad", "site_toxic", "kept")
+    kept = [F.col(f"`{c}`") for c in base.columns if carry_text or c != text]
     site = [F.coalesce(F.col(c).cast("string"), F.lit(_NO_SITE)) for c in (host, path)]
-    row = base.select(F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("row"), site[0].alias("host"), site[1].alias("path"), score(F.col(text)).alias("s"))
-    scored = row.select("row", "host", "path", "s.*")
+    row = base.select(F.struct(*kept).alias("row"), site[0].alias("host"), site[1].alias("path"), score(F.col(text)).alias("s"))
+    scored = stage(row.select("row", "host", "path", "s.*"), "evidence")
     rates = stage(site_rates(scored.drop("row")), "sites")
     both = join_small(scored, rates, ["host", "path"], spread=F.col("logit_bad"))
     chance = {h: logistic(F.col(f"logit_{h}") + logit(F.col(f"site_{h}")) - logit(F.col(f"all_{h}"))) for h in HEADS}

@@ -31,51 +31,50 @@ IS_SYMBOL[list(b"#*$%&|<>")] = True
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
-def measures(text: str | None) -> tuple[int, int, int, int, int]:
-    """Number of words, their characters, symbols, repeated lines and words in repeated windows; null is empty."""
-    if not text:
-        return 0, 0, 0, 0, 0
-    data = text.encode()
+def measures(data: bytes, starts: np.ndarray, words: np.ndarray) -> tuple[int, int, int, int, int]:
+    """Number of words, their characters, symbols, repeated lines and words in repeated windows."""
     codes = byte_array(data)
-    starts, ends = word_bounds(codes)
-    points = (codes & 0xC0) != 0x80
-    n_chars = int(np.count_nonzero(points & ~IS_SPACE[codes]))
+    n_chars = int(np.count_nonzero(((codes & 0xC0) != 0x80) & ~IS_SPACE[codes]))
     seen, repeated = set(), 0
     for line in data.split(b"\n"):
         if line in seen:
             repeated += 1
         elif line.split():
             seen.add(line)
-    windows = runs(word_hashes(codes, starts, ends), WINDOW)
+    windows = runs(words, WINDOW)
     covered = 0
-    if len(windows) > 1:
-        _, kind, counts = np.unique(windows, return_inverse=True, return_counts=True)
-        twice = counts[kind] > 1
-        if twice.any():
-            steps = np.zeros(len(starts) + 1, np.int64)
-            found = np.flatnonzero(twice)
-            steps[found] += 1
-            steps[found + WINDOW] -= 1
-            covered = int(np.count_nonzero(np.cumsum(steps)[:-1]))
+    order = np.sort(windows)
+    twice = order[1:][order[1:] == order[:-1]]
+    if len(twice):
+        found = np.flatnonzero(np.isin(windows, twice))
+        steps = np.zeros(len(starts) + 1, np.int64)
+        steps[found] += 1
+        steps[found + WINDOW] -= 1
+        covered = int(np.count_nonzero(np.cumsum(steps)[:-1]))
     return len(starts), n_chars, int(np.count_nonzero(IS_SYMBOL[codes])), repeated, covered
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words, pairs of words and runs of three and four bytes: index and weight, of length one."""
-    if not text:
+def features(codes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words, pairs of words and runs of three bytes: index and weight, of length one."""
+    parts = [grams for grams in (words, runs(words, 2), char_grams(codes, 3)) if len(grams)]
+    if not parts:
         return np.empty(0, np.int64), np.empty(0, np.float32)
-    codes = byte_array(text.encode())
-    words = word_hashes(codes, *word_bounds(codes))
-    parts = [words, runs(words, 2), char_grams(codes, 3), char_grams(codes, 4)]
-    total = np.zeros(DIMENSIONS)
-    for grams in parts:
-        if len(grams):
-            total += np.bincount((grams % np.uint64(DIMENSIONS)).astype(np.int64), minlength=DIMENSIONS) / len(grams)
+    index = (np.concatenate(parts) % np.uint64(DIMENSIONS)).astype(np.int64)
+    share = np.repeat([1.0 / len(p) for p in parts], [len(p) for p in parts])
+    total = np.bincount(index, weights=share, minlength=DIMENSIONS)
     found = np.flatnonzero(total)
     values = np.sqrt(total[found])
     return found, (values / np.linalg.norm(values)).astype(np.float32)
 
 
+def parsed(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, their codes, starts and hashes of the words; null is empty."""
+    data = (text or "").encode()
+    codes = byte_array(data)
+    starts, ends = word_bounds(codes)
+    return data, codes, starts, word_hashes(codes, starts, ends)
+
+
 @dataclass
 class QualityModel:
     """Weights of the regression, and slope and offset that turn its score into a probability."""
@@ -85,8 +84,8 @@ class QualityModel:
     slope: float
     offset: float
 
-    def chance(self, text: str | None) -> float:
-        index, values = features(text)
+    def chance(self, codes: np.ndarray, words: np.ndarray) -> float:
+        index, values = features(codes, words)
         score = float(values @ self.weights[index]) + self.bias
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * score + self.offset, -500, 500)))
 
@@ -142,7 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     @pandas_udf("index array<long>, value array<float>")
     def featured(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(i, v) for i, v in map(features, texts)], columns=["index", "value"])
+        found = [features(codes, words) for _, codes, _, words in map(parsed, texts)]
+        return pd.DataFrame(found, columns=["index", "value"])
 
     rows = (
         docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null").join(chosen, "k")
@@ -175,7 +175,8 @@ def judge(docs: DataFrame, model: QualityModel, text: str = "text", threshold: f
     def measured(texts: pd.Series) -> pd.DataFrame:
         model = shared.value
         names = [part.split()[0] for part in MEASURES.split(",")] + ["chance"]
-        return pd.DataFrame([(*measures(t), model.chance(t)) for t in texts], columns=names)
+        rows = [(*measures(data, starts, words), model.chance(codes, words)) for data, codes, starts, words in map(parsed, texts)]
+        return pd.DataFrame(rows, columns=names)
 
     added = [part.split()[0] for part in MEASURES.split(",")] + ["chance", "base_failed", "kept"]
     base = docs.drop(*added)

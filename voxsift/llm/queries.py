@@ -41,7 +41,7 @@ def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 def op7_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "source", "lang")
     evidence = quality_classifier.train(docs, table(spark, sf, "labels"))
-    return quality_classifier.judge(docs, evidence).drop("text")
+    return quality_classifier.judge(docs, evidence, carry_text=False)
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
