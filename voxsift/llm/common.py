@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def bounded_sample(rows: DataFrame, key: str, by: str, most: int) -> DataFrame:
@@ -17,3 +17,11 @@ def bounded_sample(rows: DataFrame, key: str, by: str, most: int) -> DataFrame:
         bar = int(min(1.0, most / n) * 1_000_000)
         wanted = wanted | ((F.col(by) == F.lit(value)) & (F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)) < bar))
     return rows.where(wanted)
+
+
+def long_rows(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in an Arrow batch than Spark's default, which is made for short rows: a Python worker holds a batch
+    of whole texts and what it makes of them. A session that has set another number keeps it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, str(rows))

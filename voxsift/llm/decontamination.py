@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from voxsift.llm.common import long_rows
 from voxsift.llm.textbytes import ALNUM, byte_array, word_bounds, word_hashes
 from voxsift.staging import stage
 
@@ -182,6 +183,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
     are replaced. Items are read to the driver in blocks of at most BLOCK_WORDS words; beyond one block the rows
     are staged between passes.
     """
+    long_rows(docs.sparkSession)
     names = [part.split()[0] for part in ("n_words long", "hits array", "items array", "longest long")]
     rows = docs.drop(*names, "n_hit", "contaminated")
     kept = [F.col(f"`{c}`") for c in rows.columns]

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from voxsift.llm.common import bounded_sample
+from voxsift.llm.common import bounded_sample, long_rows
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -97,6 +97,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     Runs are counted where the rows are and summed by language and bucket, so that at most languages x BUCKETS
     sums reach the driver.
     """
+    long_rows(docs.sparkSession)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
 
     def count(batches):

@@ -1,7 +1,6 @@
 """Deletes later copies of long repeated runs of lines, found with a suffix array over sequences of line numbers.
 
-A text is a sequence of units: its lines, cut at sentence ends so that a passage inside a line is found too. Prefix
-doubling sorts the suffixes by their first 1, 2, 4, ... units: the rank of a suffix at one level is that of the pair
+A text is a sequence of units: its lines, or its sentences if asked for. Prefix doubling sorts the suffixes by their first 1, 2, 4, ... units: the rank of a suffix at one level is that of the pair
 (its rank, the rank of the suffix that many units later). Suffixes of one rank form an interval of the suffix array
 whose common prefix is at least that long. A run is repeated when the intervals of its first and its last block
 are those of another run of the same number of units. Only DataFrame and SQL functions are used.
@@ -13,11 +12,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxsift.staging import stage
 
-#: Units end after a line break, or after a sentence end and a space. Joined again, units give the text.
-UNIT_END = r"(?<=\n)|(?<=[.!?] )"
+#: Where units end; joined again, units give the text.
 LINE_END = r"(?<=\n)"
+SENTENCE_END = r"(?<=\n)|(?<=[.!?] )"
 #: Words that a repeated run must have.
-MIN_WORDS = 40
+MIN_WORDS = 50
 
 DOC = ["doc", "copy"]
 SEGMENT = [*DOC, "segment"]
@@ -114,11 +113,13 @@ def later_copies(docs: DataFrame, min_words: int, unit_end: str) -> DataFrame:
     place = F.struct("doc", "copy", "start")
     kinds = runs.groupBy("length", "head", "tail").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
     copies = runs.join(kinds, ["length", "head", "tail"]).where(place != F.col("first"))
-    spans = copies.select(*DOC, F.explode(F.sequence("start", F.col("start") + F.col("length").cast("int") - 1)).alias("pos")).distinct()
-    return spans.join(rows.select(*DOC, "pos", "at"), [*DOC, "pos"]).groupBy(*DOC).agg(F.collect_set("at").alias("gone"))
+    ends = copies.groupBy(*DOC, F.col("start").alias("pos")).agg(F.max(F.col("start") + F.col("length")).alias("end"))
+    reach = F.max("end").over(Window.partitionBy(*DOC).orderBy("pos"))  # of the runs that begin here or before
+    gone = rows.select(*DOC, "pos", "at").join(ends, [*DOC, "pos"], "left").withColumn("reach", reach).where("reach > pos")
+    return gone.groupBy(*DOC).agg(F.collect_set("at").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, unit_end: str = UNIT_END) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, unit_end: str = LINE_END) -> DataFrame:
     """``docs`` with later copies deleted from ``text``, plus ``n_units`` and ``deleted`` (places of deleted units).
 
     A run of consecutive units with at least ``min_words`` words that equals one before it (in order of ``key``, a

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from voxsift.llm.common import bounded_sample
+from voxsift.llm.common import bounded_sample, long_rows
 from voxsift.llm.textbytes import IS_SPACE, LOWER, byte_array, char_grams, word_bounds, word_hashes
 from voxsift.operators.joins import join_small
 from voxsift.staging import stage
@@ -124,6 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     Null labels count as not bad and not toxic; rows without key or text are not used. Without labels there is no
     evidence and every document has even odds on both heads before its site is known; it is then kept.
     """
+    long_rows(docs.sparkSession)
     truth = labels.select(
         F.col(key).alias("k"), F.coalesce((F.col(quality) == 0).cast("int"), F.lit(0)).alias("bad"), F.coalesce((F.col(toxic) == 1).cast("int"), F.lit(0)).alias("toxic")
     ).where("k is not null").groupBy("k").agg(F.max("bad").alias("bad"), F.max("toxic").alias("toxic"))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from voxsift.llm.common import bounded_sample
+from voxsift.llm.common import bounded_sample, long_rows
 from voxsift.llm.textbytes import IS_SPACE, byte_array, char_grams, runs, word_bounds, word_hashes
 
 DIMENSIONS = 1 << 14
@@ -136,6 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     Rows without label or text are not used. With no row, or only one class, every text gets the same chance.
     """
+    long_rows(docs.sparkSession)
     truth = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)").distinct()
     chosen = bounded_sample(truth, "k", "y", most)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from voxsift.llm import decontamination, language_id, line_dedup, near_duplicates, packing, quality_classifier, quality_rules
+from voxsift.llm import decontamination, html_extraction, language_id, line_dedup, near_duplicates, packing, personal_data, quality_classifier, quality_rules, url_filter
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,6 +23,12 @@ def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language_id.identify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", "proportions")
 
 
+def op2_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    found = html_extraction.extract(pages, html_extraction.train(pages))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op3_bestfit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
 
@@ -32,6 +38,13 @@ def op4_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_units", "deleted", "text")
 
 
+def op5_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    found = personal_data.find(table(spark, sf, "documents").select("doc_id", "text"))
+    counts = [personal_data.count_of(k, F.col("base")).alias(f"n_{k}") for k in personal_data.KINDS]
+    base, every = personal_data.written(F.col("base")), personal_data.written(F.sort_array(F.concat("base", "added")))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
+
+
 def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     model = quality_rules.train(docs, table(spark, sf, "labels"))
@@ -44,6 +57,16 @@ def op7_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return quality_classifier.judge(docs, evidence, carry_text=False)
 
 
+URL_RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
+
+
+def op8_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf, "pages"), URL_RULES)
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf, "documents"), words=2, percent=80)
 
@@ -93,10 +116,13 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_html_extraction": op2_html_extraction,
     "op3_bestfit_packing": op3_bestfit_packing,
     "op4_line_dedup": op4_line_dedup,
+    "op5_personal_data": op5_personal_data,
     "op6_quality_rules": op6_quality_rules,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_url_filter": op8_url_filter,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_decontamination": op10_decontamination,
 }
