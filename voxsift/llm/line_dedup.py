@@ -133,7 +133,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     keyed = docs.withColumn("_doc", last).withColumn("_copy", F.xxhash64(F.col(text)))
     plain = keyed.where(F.col(text).isNotNull()).select(F.col("_doc").alias("doc"), F.col("_copy").alias("copy"), F.col(text).alias("text"))
     found = stage(later_copies(plain, min_words, unit_end).select(F.col("doc").alias("_doc"), F.col("copy").alias("_copy"), "gone"), "deleted")
-    rows = keyed.join(found, ["_doc", "_copy"], "left")
+    rows = keyed.join(found.hint("merge"), ["_doc", "_copy"], "left")  # as long as the texts: not to be broadcast
     pieces = pieces_of(F.col(text), unit_end)
     rest = F.array_join(F.filter(pieces, lambda piece, at: ~F.array_contains("gone", at)), "")
     body = F.when(F.col("gone").isNull(), F.col(text)).otherwise(rest)
