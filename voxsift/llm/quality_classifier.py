@@ -118,6 +118,17 @@ class Evidence:
         return [float(x @ theta[:-1] + theta[-1]) for x, theta in zip(self.raw(text, places), self.calibrations)]
 
 
+def weight(head: str, n: int, inside: int) -> Column:
+    """Log odds of a feature in a class of ``inside`` of ``n`` documents, 0 where its share there is near chance."""
+    outside = n - inside
+    if not inside or not outside:
+        return F.lit(0.0)
+    have, rest, share = F.col(head), F.col("n") - F.col(head), F.col("n") / n
+    z = (have - inside * share) / F.sqrt(F.greatest(inside * share * (1 - share) * (outside / n), F.lit(1e-9)))
+    odds = F.log((have + PRIOR_DOCS * share) / (inside + PRIOR_DOCS)) - F.log((rest + PRIOR_DOCS * share) / (outside + PRIOR_DOCS))
+    return F.when(F.abs(z) >= LEAST_Z, odds).otherwise(0.0)
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", toxic: str = "toxic", most: int = TRAIN_DOCS) -> Evidence:
     """Learns from about ``most`` labelled documents of each of the four classes; a fifth is left for the calibration.
 
@@ -129,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         F.col(key).alias("k"), F.coalesce((F.col(quality) == 0).cast("int"), F.lit(0)).alias("bad"), F.coalesce((F.col(toxic) == 1).cast("int"), F.lit(0)).alias("toxic")
     ).where("k is not null").groupBy("k").agg(F.max("bad").alias("bad"), F.max("toxic").alias("toxic"))
     chosen = bounded_sample(truth.withColumn("kind", F.col("bad") * 2 + F.col("toxic")), "k", "kind", most)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null").join(chosen, "k")
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(chosen), "k")  # about 4 x most rows
     rows = stage(rows.select("bad", "toxic", "t", (F.pmod(F.xxhash64("k", F.lit(7)), F.lit(5)) == 0).alias("held")), "labelled")
     fit, held = rows.where("not held"), rows.where("held")
 
@@ -142,20 +153,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pd.DataFrame({"f": numbers, "n": sums[0], "bad": sums[1].astype(int), "toxic": sums[2].astype(int)})
 
     sums = fit.select("t", *HEADS).mapInPandas(count, "f long, n long, bad long, toxic long").groupBy("f").agg(*(F.sum(c).alias(c) for c in ("n", *HEADS)))
-    counts = sums.where(F.col("n") >= LEAST_DOCS).orderBy("f").toPandas()  # at most one row for each feature number
     totals = fit.agg(F.count(F.lit(1)).alias("n"), *(F.sum(h).alias(h) for h in HEADS)).first()
-    n, weights = totals["n"] or 0, np.zeros((len(counts), len(HEADS)))
-    share = counts["n"].to_numpy() / max(n, 1)
-    for k, head in enumerate(HEADS):
-        inside = totals[head] or 0
-        outside = n - inside
-        if inside and outside:
-            have = counts[head].to_numpy()
-            z = (have - inside * share) / np.sqrt(np.maximum(inside * share * (1 - share) * outside / n, 1e-9))
-            odds = np.log((have + PRIOR_DOCS * share) / (inside + PRIOR_DOCS)) - np.log((counts["n"].to_numpy() - have + PRIOR_DOCS * share) / (outside + PRIOR_DOCS))
-            weights[:, k] = np.where(np.abs(z) >= LEAST_Z, odds, 0.0)
-    used = weights.any(axis=1)
-    evidence = Evidence(counts["f"].to_numpy()[used], weights[used], [np.zeros(2 * GROUPS + 1)] * len(HEADS))
+    weighed = sums.where(F.col("n") >= LEAST_DOCS).select("f", *(weight(h, totals["n"] or 0, totals[h] or 0).alias(h) for h in HEADS))
+    used = weighed.where(" or ".join(f"{h} != 0" for h in HEADS)).orderBy("f").collect()  # the few features that tell classes apart
+    weights = np.array([[r[h] for h in HEADS] for r in used]).reshape(len(used), len(HEADS))
+    evidence = Evidence(np.array([r["f"] for r in used], np.int64), weights, [np.zeros(2 * GROUPS + 1)] * len(HEADS))
 
     @pandas_udf("array<double>")
     def raw(texts: pd.Series) -> pd.Series:

@@ -140,13 +140,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     truth = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)").distinct()
     chosen = bounded_sample(truth, "k", "y", most)
 
-    @pandas_udf("index array<long>, value array<float>")
+    @pandas_udf("index binary, value binary")
     def featured(texts: pd.Series) -> pd.DataFrame:
         found = [features(codes, words) for _, codes, _, words in map(parsed, texts)]
-        return pd.DataFrame(found, columns=["index", "value"])
+        return pd.DataFrame([(i.astype(np.int32).tobytes(), v.tobytes()) for i, v in found], columns=["index", "value"])
 
     rows = (
-        docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null").join(chosen, "k")
+        docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(chosen), "k")  # about 2 x most rows
         .select("k", "y", featured("t").alias("f")).select("k", "y", "f.*").toPandas().sort_values(["k", "y"], kind="stable")
     )
     y = rows["y"].to_numpy(float)
@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     held = hashed % 5 == 0
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held[:] = False
-    parts = list(zip(rows["index"], rows["value"]))
+    parts = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for i, v in zip(rows["index"], rows["value"])]
     kept = [p for p, h in zip(parts, held) if not h]
     weights, bias = fit_logistic(sparse_rows(kept), y[~held], DIMENSIONS)
     checked = [p for p, h in zip(parts, held) if h] or kept
