@@ -151,3 +151,34 @@ def test_stream_needs_its_columns(spark, folder):
     arriving = read_review_files(spark, folder + "/in", "review_id long, review string")
     with pytest.raises(ValueError, match="rating"):
         stream_analysis(arriving, AnalysisTarget(spark, folder), lexicon(), folder + "/progress")
+
+
+def test_missing_and_repeated_keys_are_refused_and_nothing_is_lost(spark, folder):
+    rows = reviews(spark, 6)
+    without = rows.withColumn("review_id", F.expr("nullif(review_id, 3)"))
+    twice = rows.unionByName(reviews(spark, 1))
+    for bad, message in ((without, "1 rows without"), (twice, "1 values of")):
+        target = AnalysisTarget(spark, folder + "/bad")
+        with pytest.raises(ValueError, match=message):
+            target.seed(bad)
+        assert not AnalysisTarget(spark, folder + "/bad").exists()
+    target = AnalysisTarget(spark, folder + "/good")
+    target.seed(rows)
+    for bad in (without, reviews(spark, 3, 6).unionByName(reviews(spark, 1, 7))):
+        with pytest.raises(ValueError, match="review_id"):
+            target.append(bad)
+    with pytest.raises(ValueError, match="without review_id"):
+        analyse_micro_batch(target, lexicon(), without, 1)
+    assert target.read().count() == 6 and target.pending().count() == 6
+
+
+def test_a_key_answered_twice_has_one_result(spark, folder):
+    target = AnalysisTarget(spark, folder)
+    target.seed(reviews(spark, 20))
+    analysed = lexicon().analyse(target.rows())
+    target.record(analysed, "one", 1)
+    entry = target.record(analysed.where("review_id < 5"), "one", 1)
+    assert entry["rows_in"] == 5
+    assert target.read().count() == target.processed().count() == 20
+    target.fold()
+    assert target.read().count() == 20 and target.pending().isEmpty()

@@ -135,6 +135,20 @@ def test_replies_of_every_kind(spark):
     assert extra["category_breakdown"] == {"productdetails": {"details": "d"}}
 
 
+def test_replies_of_a_wrong_shape_are_errors(spark):
+    replies = {
+        "a": {"productdetails": "just text"},
+        "b": {"productdetails": {"details": "x", "keywords": "k, l"}},
+        "c": {"productdetails": {"details": "x", "keywords": None}, "deliverydetails": 5},
+        "d": {"productdetails": None},
+    }
+    frame = spark.createDataFrame([(i, t, 1) for i, t in enumerate("abcd")], "review_id long, review string, rating int")
+    model = scripted(lambda t: json.dumps({"categories": ["productdetails"]}), lambda t: json.dumps(replies[t]))
+    got = {k: d["category_breakdown"].get("error") for k, d in documents(ModelExtraction(two_domains(), model).analyse(frame)).items()}
+    shape = "reply has a wrong shape in productdetails"
+    assert got == {0: shape, 1: shape + ".keywords", 2: None, 3: shape}
+
+
 def test_failures_become_data_in_both_passes(spark):
     def identify(feedback):
         if feedback == "first fails":

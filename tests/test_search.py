@@ -12,6 +12,7 @@ from voxsift.functions.text import (
     HIGHLIGHT_CLOSE, HIGHLIGHT_OPEN, clean_query, highlight, sentences, term_counts, term_positions, tokens,
 )
 from voxsift.operators import vector_search as vs
+from voxsift.operators.ranking import top_k
 from voxsift.operators.search import text_search, text_search_many
 from voxsift.sources import versions
 from voxsift.sources.search_index import open_index, publish_index
@@ -38,10 +39,12 @@ def test_stems(spark):
     assert frame.select(F.col("want"), stem(F.col("w")).alias("got")).where("NOT want <=> got").count() == 0
 
 
-def test_tokens_keep_accents_and_drop_very_long_words(spark):
+def test_tokens_keep_accents_and_long_words(spark):
     frame = spark.createDataFrame([("Größe, naïve-CAFÉ 42!",), ("x" * 40 + " " + "y" * 39,), ("",), (None,)], "t string")
     got = [r.v for r in frame.select(tokens(F.col("t")).alias("v")).collect()]
-    assert got == [["größe", "naïve", "café", "42"], ["y" * 39], [], None]
+    assert got == [["größe", "naïve", "café", "42"], ["x" * 40, "y" * 39], [], None]
+    short = frame.select(tokens(F.col("t"), below_bytes=40).alias("v")).collect()
+    assert [r.v for r in short] == [["größe", "naïve", "café", "42"], ["y" * 39], [], None]
 
 
 def test_terms_of_a_row(spark):
@@ -169,7 +172,7 @@ def test_index_tables(indexes):
 
 
 def test_postings_of_a_query_are_pruned(indexes):
-    plan = text_search("movie", indexes["plain"])._jdf.queryExecution().toString()
+    plan = text_search("movie", indexes["plain"], limit=100_000)._jdf.queryExecution().toString()
     assert re.search(r"PartitionFilters: \[[^]]*bucket[^]]*(=|IN)", plan)
     assert "EqualTo(term,movie)" in plan or "In(term, [movie])" in plan
 
@@ -214,6 +217,17 @@ def test_vectors_without_direction_are_no_hits(spark):
     assert [(r.review_id, r.distance) for r in hits] == [(1, 0.0), (5, 0.0), (7, 1.0)]
     with pytest.raises(ValueError, match="length"):
         vs.vector_search(frame, [0.0, 0.0])
+    with pytest.raises(ValueError, match="length, 3"):
+        vs.vector_search(frame, [1.0, 0.0, 0.0])
+    assert vs.vector_search(frame.limit(0), [1.0, 0.0, 0.0]).isEmpty()
+
+
+def test_places_without_a_limit(spark):
+    frame = spark.createDataFrame([(q, d, float(d % 3)) for q in "ab" for d in range(50)], "query string, doc int, score double")
+    order = [F.desc("score"), F.asc("doc")]
+    every = top_k(frame, None, order, F.col("doc"), by=["query"], rank="rank")
+    bounded = top_k(frame, 50, order, F.col("doc"), by=["query"], rank="rank")
+    assert sorted(every.select("query", "rank", "doc").collect()) == sorted(bounded.select("query", "rank", "doc").collect())
 
 
 def test_limit_comes_before_the_threshold_and_near_rows_are_kept(spark):

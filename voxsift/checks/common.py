@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voxsift.domains import Domain, DomainSet
@@ -72,6 +74,19 @@ def failing_model(settings):
     return checked
 
 
+def wordy_model(settings):
+    """The lexicon model, except that it fills in text where an object is asked for, in reviews with a certain word."""
+    complete = lexicon_model(WORDS)(settings)
+
+    def filled(prompt: str, reply: str) -> str:
+        head, _, feedback = prompt.partition(FEEDBACK_MARK)
+        if FILL_TASK in head and f" {REFUSED} " in feedback:
+            return json.dumps({category: "just text" for category in json.loads(reply)})
+        return reply
+
+    return lambda prompts: pd.Series([filled(p, r) for p, r in zip(prompts, complete(prompts))])
+
+
 def search_index(spark: SparkSession, sf: str, tokenizer: str = "plain") -> SearchIndex:
     return once(
         spark, sf, f"index-{tokenizer}", lambda: scratch_index(reviews(spark, sf), tokenizer=tokenizer)
@@ -80,7 +95,7 @@ def search_index(spark: SparkSession, sf: str, tokenizer: str = "plain") -> Sear
 
 def sql_tokens(text: str, min_chars: int = 1) -> str:
     words = rf"regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{N}}]+')"
-    return f"list_filter({words}, lambda w: length(w) >= {min_chars} AND strlen(w) < 40)"
+    return f"list_filter({words}, lambda w: length(w) >= {min_chars})"
 
 
 def sql_list(values) -> str:

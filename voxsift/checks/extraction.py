@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, functions as F
 
 from voxsift.checks.common import (
-    EVERY_WORD, MATCHED, REFUSED, SELECTION, WORDS, Query, domains, failing_model, lexicon, reviews,
+    EVERY_WORD, MATCHED, REFUSED, SELECTION, WORDS, Query, domains, failing_model, lexicon, reviews, wordy_model,
     sql_list, sql_matched, sql_text, table,
 )
 from voxsift.domains import (
@@ -282,6 +282,12 @@ def v2_catch_all_view(spark, sf) -> DataFrame:
     return _view_rows(read_view(_analysed(spark, sf), catch_all_view))
 
 
+def l5_wrong_shape(spark, sf) -> DataFrame:
+    """A model that replies with text in place of an object for reviews with a certain word."""
+    analysed = ModelExtraction(domains(), wordy_model).analyse(reviews(spark, sf))
+    return analysed.select("review_id", doc.error_of().alias("error"))
+
+
 def v3_error_view(spark, sf) -> DataFrame:
     return read_view(ModelExtraction(domains(), failing_model).analyse(reviews(spark, sf)), error_view)
 
@@ -339,6 +345,16 @@ def b3_reprocessed_run(spark, sf) -> DataFrame:
     return _filled(target.read())
 
 
+def s12_retried_commit(spark, sf) -> DataFrame:
+    """A micro-batch committed twice: each entry of the log counts what that commit wrote, the target holds it once."""
+    target = _seeded(spark, sf)
+    analysed = lexicon().analyse(target.rows()).select(*target.rows().columns)
+    target.record(analysed, "stream", 0, "stream")
+    target.record(analysed.where("review_id % 2 = 0"), "stream", 0, "stream")
+    logged = target.history().where("operation = 'stream'").select(F.lit("logged").alias("what"), F.col("rows_in").alias("rows"))
+    return logged.unionByName(target.read().agg(F.count("analysis").alias("rows")).select(F.lit("held").alias("what"), "rows"))
+
+
 def b4_stream(spark, sf) -> DataFrame:
     """The documents arriving as files, into a target that already holds those with a label."""
     target = AnalysisTarget(spark, fresh_path(spark, "target"))
@@ -354,6 +370,8 @@ def b4_stream(spark, sf) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "domain_sentiment": domain_sentiment,
+    "l5_wrong_shape": l5_wrong_shape,
+    "s12_retried_commit": s12_retried_commit,
     "f1_category_key": f1_category_key,
     "f2_condition_map": f2_condition_map,
     "f5_flat_fields": f5_flat_fields,
@@ -502,6 +520,11 @@ ORACLE: dict[str, str] = {
     "v2_catch_all_view": f"""WITH {MATCHED} SELECT review_id, 'mentions no listed word' AS details, mood AS sentiment,
         '' AS keywords, CAST(rating AS VARCHAR) AS ai_rating, 'matched no listed word' AS rationale
         FROM m WHERE len(p) = 0 AND len(d) = 0""",
+    "l5_wrong_shape": f"""WITH {MATCHED} SELECT review_id, CASE WHEN refused THEN 'reply has a wrong shape in ' ||
+        CASE WHEN len(p) = 0 AND len(d) = 0 THEN 'catchalldetails' ELSE replace({SELECTION}, ',', ', ') END END AS error FROM m""",
+    "s12_retried_commit": """SELECT 'logged' AS what, count(*) AS rows FROM documents
+        UNION ALL SELECT 'logged', count(*) FROM documents WHERE doc_id % 2 = 0
+        UNION ALL SELECT 'held', count(*) FROM documents""",
     "v3_error_view": f"""WITH {MATCHED} SELECT review_id, {sql_text(f"cannot read '{REFUSED}'")} AS error_details
         FROM m WHERE refused""",
     "v4_all_views": f"""WITH {MATCHED}

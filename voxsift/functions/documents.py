@@ -18,9 +18,9 @@ def fields_type(fields, keywords: str = "STRING") -> str:
     return "STRUCT<" + ", ".join(f"{quoted(f)}: {keywords if f == 'keywords' else 'STRING'}" for f in fields) + ">"
 
 
-def breakdown_type(domains: DomainSet, catch_all=CATCH_ALL_FIELDS) -> str:
+def breakdown_type(domains: DomainSet, catch_all=CATCH_ALL_FIELDS, keywords: str = "ARRAY<STRING>") -> str:
     """Type of a model's filled-in reply: one optional struct per category."""
-    parts = [f"{quoted(d.key)}: {fields_type(d.extracted_fields(), 'ARRAY<STRING>')}" for d in domains]
+    parts = [f"{quoted(d.key)}: {fields_type(d.extracted_fields(), keywords)}" for d in domains]
     parts.append(f"{quoted(CATCH_ALL_KEY)}: {fields_type(catch_all)}")
     return "STRUCT<" + ", ".join(parts) + ">"
 

@@ -10,9 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 QUERY_NOISE = "[^a-zA-Z0-9 ]"
 HIGHLIGHT_OPEN = '<div style="background-color: yellow; display: inline;">'
 HIGHLIGHT_CLOSE = "</div>"
-# Fixed value: index tokens are shorter than this many bytes.
-TOKEN_BYTES = 40
-
 # Letters and digits of every script, so that accented words stay whole.
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 SENTENCE = r"([^.!?]+[.!?]*)"
@@ -21,10 +18,10 @@ SENTENCE = r"([^.!?]+[.!?]*)"
 _OPEN, _CLOSE = "\ue000", "\ue001"
 
 
-def tokens(text: Column, min_chars: int = 1) -> Column:
-    """Lower-cased words of ``text`` in order, without the very long ones."""
-    words = F.split(F.lower(text), WORD_BREAK)
-    return F.filter(words, lambda w: (F.length(w) >= min_chars) & (F.octet_length(w) < TOKEN_BYTES))
+def tokens(text: Column, min_chars: int = 1, below_bytes: int | None = None) -> Column:
+    """Lower-cased words of ``text`` in order; with ``below_bytes``, only those shorter than that many bytes."""
+    words = F.filter(F.split(F.lower(text), WORD_BREAK), lambda w: F.length(w) >= min_chars)
+    return words if below_bytes is None else F.filter(words, lambda w: F.octet_length(w) < below_bytes)
 
 
 def term_counts(df: DataFrame, token_column: str, keep: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxsift.staging import shuffle_partitions, stage
 
@@ -13,7 +13,7 @@ _POSITION_BITS = 33
 
 
 def with_surrogate_key(
-    df: DataFrame, key: str, order_by: Sequence[str], tie_break: Sequence[str] = (), drop: Sequence[str] = ()
+    df: DataFrame, key: str, order_by: Sequence[str | Column], tie_break: Sequence[str] = (), drop: Sequence[str] = ()
 ) -> DataFrame:
     """``row_number() over (order by order_by, tie_break)`` as column ``key``, computed in parallel.
 
@@ -24,7 +24,7 @@ def with_surrogate_key(
     them apart. ``drop`` names helper columns not to keep.
     """
     parts = shuffle_partitions(df.sparkSession)
-    columns = [F.col(c) for c in (*order_by, *tie_break)]
+    columns = [F.col(c) if isinstance(c, str) else c for c in (*order_by, *tie_break)]
     sorted_parts = (
         df.repartitionByRange(parts, *columns)
         .sortWithinPartitions(*columns)

@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from voxsift.staging import shuffle_partitions
+from voxsift.operators.joins import join_small
+from voxsift.operators.keys import with_surrogate_key
+from voxsift.staging import shuffle_partitions, stage
 
 # Spark itself cuts each task's rows to k before shuffling them: for a plain top-k, and per group.
 # Up to these k the tasks x k rows that are left fit one task.
@@ -15,9 +17,9 @@ SMALL_GROUP_K = 100
 
 
 def top_k(
-    df: DataFrame, k: int, order: Sequence[Column], spread: Column, by: Sequence[str] = (), rank: str | None = None
+    df: DataFrame, k: int | None, order: Sequence[Column], spread: Column, by: Sequence[str] = (), rank: str | None = None
 ) -> DataFrame:
-    """The first ``k`` rows in ``order``, per group of ``by`` when given. Exact, ``order`` must be total.
+    """The first ``k`` rows in ``order``, all when ``k`` is None, per group of ``by`` when given. ``order`` must be total.
 
     With a large k a group is ranked in two steps, first within slices of it (``spread`` picks the
     slice, for example the primary key), then over the at most k rows left of each slice. The second
@@ -25,6 +27,8 @@ def top_k(
     """
     order = list(order)
     by = list(by)
+    if k is None:
+        return df.orderBy(*order) if rank is None else _numbered(df, order, by, rank)
     if k <= SMALL_K and not by and rank is None:
         return df.orderBy(*order).limit(k)
     if k <= SMALL_GROUP_K and by:
@@ -46,3 +50,14 @@ def top_k(
     over = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     out = kept.withColumn(position, F.row_number().over(over.orderBy(*order))).where(F.col(position) <= k)
     return out if rank else out.drop(position)
+
+
+def _numbered(df: DataFrame, order: list[Column], by: list[str], rank: str) -> DataFrame:
+    """Every row with its place in its group: numbered over range partitions, so that no group is one task's work."""
+    numbered = with_surrogate_key(df, "_n", [*by, *order])
+    if not by:
+        return numbered.withColumnRenamed("_n", rank)
+    numbered = stage(numbered, "numbered")
+    first = numbered.groupBy(*by).agg(F.min("_n").alias("_first"))
+    ranked = join_small(numbered, first, by, spread=F.col("_n"))
+    return ranked.withColumn(rank, (F.col("_n") - F.col("_first") + 1).cast("long")).drop("_n", "_first")

@@ -14,10 +14,9 @@ from voxsift.operators.ranking import top_k
 from voxsift.sources.search_index import OWN_COLUMNS, SearchIndex, stemmed_if, term_bucket
 from voxsift.staging import stage
 
-# BM25 parameters and the default number of hits.
+# BM25 parameters.
 K1 = 1.2
 B = 0.75
-SEARCH_LIMIT = 100_000
 # Up to this many distinct query terms are looked up by name.
 PRUNED_TERMS = 1000
 
@@ -74,10 +73,10 @@ def scores(terms: DataFrame, index: SearchIndex, allowed: DataFrame | None = Non
 
 
 def ranked_hits(
-    queries: DataFrame, index: SearchIndex, limit: int = SEARCH_LIMIT, conditions: Mapping[str, Any] | None = None,
+    queries: DataFrame, index: SearchIndex, limit: int | None = None, conditions: Mapping[str, Any] | None = None,
     query_key: str = "query", text: str = "text",
 ) -> DataFrame:
-    """query, doc, score, rank: the ``limit`` best documents of each query, ties by document key."""
+    """query, doc, score, rank: the ``limit`` best documents of each query, all without one, ties by document key."""
     allowed = None
     if conditions:
         allowed = matching(index.documents, conditions).select(F.col(index.doc_key).alias("doc"))
@@ -88,7 +87,7 @@ def ranked_hits(
 
 
 def text_search_many(
-    queries: DataFrame, index: SearchIndex, limit: int = SEARCH_LIMIT, conditions: Mapping[str, Any] | None = None,
+    queries: DataFrame, index: SearchIndex, limit: int | None = None, conditions: Mapping[str, Any] | None = None,
     select: Sequence[str] | None = None, query_key: str = "query", text: str = "text",
 ) -> DataFrame:
     """Hits of many queries in one job, with the wanted columns of the documents."""
@@ -96,14 +95,14 @@ def text_search_many(
     hits = hits.withColumn("_doc_bucket", term_bucket(F.col(index.doc_key), index.doc_buckets))
     columns = select or [c for c in index.documents.columns if c not in OWN_COLUMNS]
     wanted = index.documents.select(*dict.fromkeys(["_doc_bucket", index.doc_key, *columns]))
-    few = has_at_most(queries.select(query_key), BROADCAST_ROWS // max(1, limit))
+    few = limit is not None and has_at_most(queries.select(query_key), BROADCAST_ROWS // max(1, limit))
     # with the bucket among the keys, only the folders holding a hit are read
     found = wanted.join(F.broadcast(hits) if few else hits, ["_doc_bucket", index.doc_key])
     return found.select("query", "rank", *dict.fromkeys(columns), "score")
 
 
 def text_search(
-    query: str, index: SearchIndex, limit: int = SEARCH_LIMIT, conditions: Mapping[str, Any] | None = None,
+    query: str, index: SearchIndex, limit: int | None = None, conditions: Mapping[str, Any] | None = None,
     select: Sequence[str] | None = None,
 ) -> DataFrame:
     """Documents with any word of ``query``, best first by ``rank``, with their ``score``."""

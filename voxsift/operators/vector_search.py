@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from voxsift.functions.vectors import BLOCK_NUMBERS, DECIMALS, batch_matrix, cosine_distance, unit
 from voxsift.operators.filters import matching, select_list
 from voxsift.operators.ranking import top_k
-from voxsift.operators.search import SEARCH_LIMIT
 from voxsift.staging import stage
 
 # Fixed value: rows at this cosine distance or farther are not hits.
@@ -28,13 +27,17 @@ _HELD = 2_000_000
 
 def vector_search(
     rows: DataFrame, query: Sequence[float], key: str = "review_id", vector: str = "vector",
-    conditions: Mapping[str, Any] | None = None, limit: int = SEARCH_LIMIT, select: Sequence[str] | None = None,
+    conditions: Mapping[str, Any] | None = None, limit: int | None = None, select: Sequence[str] | None = None,
     threshold: float | None = THRESHOLD,
 ) -> DataFrame:
-    """The ``limit`` nearest rows meeting ``conditions``, of these the ones nearer than ``threshold``.
+    """The ``limit`` nearest rows meeting ``conditions`` (all without a limit), of these the ones nearer than ``threshold``.
 
-    With ``select`` the columns of the conditions are added to it. The distance is column ``distance``.
+    With ``select`` the columns of the conditions are added to it. The distance is column ``distance``. Single
+    vectors of another length are no hits; a query whose length no vector has is an error.
     """
+    size = F.size(vector)
+    if rows.where(size == len(query)).select(vector).isEmpty() and not rows.where(size > 0).select(vector).isEmpty():
+        raise ValueError(f"no vector has the query's length, {len(query)}")
     named = matching(rows, conditions)
     if select:
         named = named.select(*dict.fromkeys([key, vector, *select, *(conditions or {})]))

@@ -1,8 +1,11 @@
 """Resumable analysis of a review table: batch after batch, each committed on its own.
 
 Layout under ``root``: a published version holds ``rows`` (all reviews, sorted by key, the result
-NULL until analysed) and ``answers/run=/batch=`` (rows as analysed). A batch only appends answers;
+NULL until analysed) and ``answers/run=/batch=/commit=`` (keys and results). A batch only appends answers;
 folding them into a new version of ``rows`` is one job per run, not one rewrite per batch.
+
+Every review needs a key of its own: NULL and repeated keys are refused when rows come in, before anything
+is published. A key that was answered twice, by two runs at once, has one result: the smaller one.
 """
 
 from __future__ import annotations
@@ -57,10 +60,12 @@ class AnalysisTarget:
         return self.spark.read.parquet(f"{self._folder()}/rows")
 
     def answers(self) -> DataFrame | None:
+        """Keys and results as written since the current version; a key may be there twice."""
         path = f"{self._folder()}/answers"
         if not versions.path_exists(self.spark, path):
             return None
-        return self.spark.read.schema(self.rows().schema).option("recursiveFileLookup", "true").parquet(path)
+        schema = self.rows().select(self.key, self.column).schema
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
 
     def pending(self, batch_size: int | None = None) -> DataFrame:
         """Rows without a result, answers counted in; the first ``batch_size`` by key when given."""
@@ -78,11 +83,19 @@ class AnalysisTarget:
         rows, answers = self.rows(), self.answers()
         if answers is None:
             return rows
-        return processed(rows, self.column).unionByName(answers).unionByName(self.pending())
+        # grouped on the join key: the group and the join share one shuffle of the answers
+        given = answers.groupBy(self.key).agg(F.min(self.column).alias("_given"))
+        both = rows.join(given, self.key, "left")
+        result = F.coalesce(F.col(self.column), F.col("_given")).alias(self.column)
+        return both.select(*[result if c == self.column else F.col(c) for c in rows.columns])
 
     def processed(self) -> DataFrame:
-        rows, answers = processed(self.rows(), self.column), self.answers()
-        return rows if answers is None else rows.unionByName(answers)
+        return processed(self.read(), self.column)
+
+    def processed_keys(self) -> DataFrame:
+        """Keys with a result, without reading the other columns; a key may be there twice."""
+        keys, answers = processed(self.rows(), self.column).select(self.key), self.answers()
+        return keys if answers is None else keys.unionByName(answers.select(self.key))
 
     def failures(self) -> DataFrame:
         return self.processed().where(error_of(self.column).isNotNull())
@@ -112,6 +125,7 @@ class AnalysisTarget:
 
     def append(self, reviews: DataFrame) -> None:
         """Append reviews that are known to be new, unanalysed."""
+        require_unique_keys(reviews, self.key)
         new = with_empty_result(reviews, self.column).select(*self.rows().columns)
         self._sorted(new).write.mode("append").parquet(f"{self._folder()}/rows")
 
@@ -127,10 +141,12 @@ class AnalysisTarget:
     def record(self, analysed: DataFrame, run_id: str, batch: int, operation: str = "analyse") -> dict[str, Any]:
         """Commit one batch of analysed rows and log it."""
         started = datetime.now(timezone.utc)
-        path = f"{self._folder()}/answers/run={run_id}/batch={batch}"
-        analysed.write.mode("append").parquet(path)
+        # a folder of its own: a repeated batch, or another stream with the same numbers, is not counted in
+        path = f"{self._folder()}/answers/run={run_id}/batch={batch}/commit={uuid.uuid4().hex[:12]}"
+        answers = analysed.select(self.key, self.column)
+        answers.write.parquet(path)
         # counted from what was written: counting `analysed` would call the model again
-        written = self.spark.read.schema(analysed.schema).parquet(path)
+        written = self.spark.read.schema(answers.schema).parquet(path)
         counts = written.agg(
             F.count(F.lit(1)).alias("rows_in"), F.count(error_of(self.column)).alias("rows_errored")
         ).first()
@@ -145,6 +161,8 @@ class AnalysisTarget:
         version = versions.new_version(self.root)
         path = f"{self.root}/{version}/rows"
         self._sorted(rows).write.parquet(path)
+        if operation == "seed":
+            require_unique_keys(self.spark.read.parquet(path), self.key)
         versions.publish(self.spark, self.root, version)
         self._current = f"{self.root}/{version}"
         counts = self.spark.read.parquet(path).agg(
@@ -159,6 +177,17 @@ class AnalysisTarget:
         return dict(zip(log.columns, entry))
 
 
+def require_unique_keys(rows: DataFrame, key: str) -> None:
+    """Raise when a key is NULL or repeated. Moves keys only, summed up before they are shuffled."""
+    copies = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    found = copies.agg(
+        F.coalesce(F.sum(F.when(F.col(key).isNull(), F.col("n"))), F.lit(0)).alias("null_keys"),
+        F.count_if(F.col(key).isNotNull() & (F.col("n") > 1)).alias("repeated"),
+    ).first()
+    if found["null_keys"] or found["repeated"]:
+        raise ValueError(f"{found['null_keys']} rows without {key}, {found['repeated']} values of {key} on several rows")
+
+
 def without_failures(df: DataFrame, column: str = RESULT_COLUMN) -> DataFrame:
     """Rows with a failed result set back to NULL."""
     return df.withColumn(column, F.when(error_of(column).isNull(), F.col(column)))
@@ -192,8 +221,8 @@ def run_batches(
     """Analyse all pending rows, ``batch_size`` per commit, and return the log entries.
 
     The batches are key intervals fixed at the start. A run that is stopped loses at most the batch
-    it was in: the next run finds the rows still pending. Each row gets a document, failures too, so
-    the run ends.
+    it was in: the next run finds the rows still pending. A row whose analysis fails gets a document
+    with the error, so the run ends.
     """
     target_rows, earlier = target.rows(), target.answers()
     run_id = uuid.uuid4().hex[:12]

@@ -150,25 +150,43 @@ class ModelExtraction(Extraction):
         schema = field_list(F.col("_valid"), self.domains, self.catch_all)
         second = F.when(F.col("_named.error").isNull(), self.fill(self.feedback, self.rating_text, schema))
         filled = chosen.withColumn("_filled", self._ask(second))
+        texts = doc.breakdown_type(self.domains, self.catch_all, keywords="STRING")
         parsed = filled.withColumn(
             "_reply", F.from_json("_filled.reply", self.breakdown_type(), {"mode": "PERMISSIVE"})
-        ).withColumn("_problem", self._problem())
+        ).withColumn("_sent", F.from_json("_filled.reply", texts, {"mode": "PERMISSIVE"}))
+        parsed = parsed.withColumn("_problem", self._problem())
         return parsed.select(
             *kept,
             doc.encode(self._breakdown(), F.col("_listed"), F.col("_why"), keys).alias(self.result),
         )
 
+    def _misshapen(self) -> Column:
+        """Names of what a reply holds in another shape than asked for: chosen categories, and keywords of these."""
+        found = []
+        for category in [*self.domains.keys(), CATCH_ALL_KEY]:
+            chosen = F.array_contains("_valid", category)
+            found.append(F.when(chosen & F.col("_reply")[category].isNull(), F.lit(category)))
+        for d in self.domains:
+            if "keywords" in d.extracted_fields():  # the one field that is no text, which takes any value
+                lost = F.col("_sent")[d.key]["keywords"].isNotNull() & F.col("_reply")[d.key]["keywords"].isNull()
+                found.append(F.when(F.array_contains("_valid", d.key) & lost, F.lit(f"{d.key}.keywords")))
+        return F.array_compact(F.array(*found))
+
     def _problem(self) -> Column:
-        """Why a row has no breakdown: a failed call, or a reply without a chosen category."""
+        """Why a row has no breakdown: a failed call, or a reply that lacks a chosen category or has a wrong shape."""
         missing = F.filter(
             F.col("_valid"), lambda c: ~F.array_contains(F.coalesce(F.json_object_keys("_filled.reply"), F.array()), c)
         )
+        misshapen = self._misshapen()
         return F.coalesce(
             F.col("_named.error"),
             F.col("_filled.error"),
             F.when(
                 F.size(missing) > 0, F.concat(F.lit("reply lacks "), F.array_join(missing, ", "))
             ),
+            F.when(
+                F.size(misshapen) > 0, F.concat(F.lit("reply has a wrong shape in "), F.array_join(misshapen, ", "))
+            ),
         )
 
     def _breakdown(self) -> Column:

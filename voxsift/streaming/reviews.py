@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from voxsift.operators.merge import missing_from_large
@@ -24,13 +24,16 @@ def analyse_micro_batch(target: AnalysisTarget, extraction: Extraction, batch: D
     """Add the batch's new reviews and analyse those without an answer. Safe to repeat.
 
     A repeat after a lost driver finds the rows inserted and the answers that were written, and does
-    the rest; a review arriving twice is taken once, its values from one of the copies.
+    the rest; a review arriving twice is taken once, its values from one of the copies. A review without
+    a key stops the stream with an error, before anything of its batch is stored.
     """
+    if not batch.where(F.col(target.key).isNull()).isEmpty():
+        raise ValueError(f"micro-batch {batch_id} has reviews without {target.key}")
     rows = stage(batch.dropDuplicates([target.key]), "micro-batch")
     if rows.isEmpty():
         return
     target.append(missing_from_large(target.rows(), rows, target.key))
-    fresh = missing_from_large(target.processed(), rows, target.key)
+    fresh = missing_from_large(target.processed_keys(), rows, target.key)
     analysed = extraction.analyse(fresh).select(*target.rows().columns)
     target.record(analysed, "stream", batch_id, "stream")
 
