@@ -18,25 +18,39 @@ def connected(edges: DataFrame) -> DataFrame:
     rounds grow with the logarithm of its size. Minima are taken where the edges are before they are shuffled, and
     each round is written, so lineage stays short. Only the number of edges left comes to the driver.
     """
-    ends = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
-    labels = stage(ends.select("id", F.col("id").alias("label")), "labels")
-    left = edges
-    while not left.isEmpty():
+    labels, left = None, edges
+    while labels is None or not left.isEmpty():
         turned = left.select("a", "b").union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = stage(turned.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("to")), "pointers")
         for _ in range(JUMPS):
             to = to.join(to.select(F.col("id").alias("to"), F.col("to").alias("next")), "to", "left").select("id", F.coalesce("next", "to").alias("to"))
         to = stage(to, "pointers")
-        labels = stage(
-            labels.join(to.select(F.col("id").alias("label"), "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label")),
-            "labels",
-        )
+        if labels is None:
+            labels = to.select("id", F.col("to").alias("label"))
+        else:
+            labels = stage(relabelled(labels, to.select("id", F.col("to").alias("new"))), "labels")
         moved = to.select(F.col("id").alias("a"), F.col("to").alias("x"))
         ends = left.join(moved, "a").join(moved.select(F.col("a").alias("b"), F.col("x").alias("y")), "b")
         left = stage(ends.where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "left")
     return labels
 
 
+def relabelled(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """``labels`` with each label replaced by its ``id, new``, where it has one."""
+    return labels.join(new.select(F.col("id").alias("label"), "new"), "label", "left").select("id", F.coalesce("new", "label").alias("label"))
+
+
+def extended(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` of the components after further edges: only components that these join are worked on."""
+    met = with_labels(with_labels(edges.select("a", "b"), labels, "a", "x"), labels, "b", "y").where("x != y")
+    met = stage(met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "met")
+    if met.isEmpty():
+        return labels
+    joined = connected(met)
+    fresh = joined.join(labels, "id", "left_anti").select("id", "label")
+    return stage(relabelled(labels, joined.withColumnRenamed("label", "new")).unionByName(fresh), "labels")
+
+
 def with_labels(rows: DataFrame, labels: DataFrame, key: str = "id", name: str = "label") -> DataFrame:
     """Adds the component of ``key``: the key itself where it has no edge."""
     own = labels.select(F.col("id").alias(key), F.col("label").alias("_label"))
