@@ -125,6 +125,39 @@ def test_line_dedup_against_all_runs(spark):
     assert got == plain_line_dedup(texts, 12)
 
 
+def plain_sentence_dedup(texts, least):
+    """As above, over sentences and lines, with places among all of them."""
+    units = {d: [(k, x.strip()) for k, x in enumerate(re.split(r"(?<=\n)|(?<=[.!?] )", t)) if x.strip()] for d, t in texts.items()}
+    first, gone = {}, {d: set() for d in texts}
+    for d in sorted(units):
+        for s in range(len(units[d])):
+            count = 0
+            for e in range(s, len(units[d])):
+                count += len(units[d][e][1].split())
+                if count >= least:
+                    key = tuple(x for _, x in units[d][s : e + 1])
+                    if first.setdefault(key, (d, s)) != (d, s):
+                        gone[d].update(k for k, _ in units[d][s : e + 1])
+    return {d: sorted(g) for d, g in gone.items()}
+
+
+def test_line_dedup_finds_passages_inside_lines(spark):
+    passage = ". ".join(prose(400 + k, 9) for k in range(5)) + ". "
+    texts = {1: f"{prose(410, 8)}. {passage}{prose(411, 8)}.", 2: f"{prose(412, 8)}.\n{prose(413, 8)}. {passage}{prose(414, 8)}."}
+    draw = random.Random(6)  # and texts of short and long sentences, some of them copied in part, against all runs
+    pool = [prose(500 + k, draw.choice([1, 1, 2, 3, 5, 9, 14])) for k in range(60)]
+    made = [[draw.choice(pool) + draw.choice([". ", "! ", "\n", ".\n", ". \n\n"]) for _ in range(draw.randint(1, 60))] for _ in range(20)]
+    for k in range(20):
+        source, at = draw.choice(made), draw.randint(0, 30)
+        made.append(draw.choice(made)[:5] + source[at : at + draw.randint(3, 40)] + draw.choice(made)[:4])
+    texts |= {d: "".join(t) for d, t in enumerate(made, 10)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(frame).collect()}
+    assert got[2]["text"] == texts[2].replace(passage, "") and got[1]["text"] == texts[1]
+    want = plain_sentence_dedup(texts, 40)
+    assert {d: list(r["deleted"]) for d, r in got.items()} == want and sum(map(bool, want.values())) > 10
+
+
 def test_packing_holds_every_token_once(docs, rows):
     got = packing.pack(docs, capacity=100, same_source=2).toPandas()
     assert got["n_tokens"].sum() == sum(len(words_of(r[1])) for r in rows)

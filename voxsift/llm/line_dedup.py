@@ -1,9 +1,10 @@
-"""Deletes later copies of long repeated runs of lines, found with a suffix array over sequences of line numbers.
+"""Deletes later copies of long repeated runs of sentences and lines, found by the hashes of the shortest runs that are long enough.
 
-A text is a sequence of units: its lines, or its sentences if asked for. Prefix doubling sorts the suffixes by their first 1, 2, 4, ... units: the rank of a suffix at one level is that of the pair
-(its rank, the rank of the suffix that many units later). Suffixes of one rank form an interval of the suffix array
-whose common prefix is at least that long. A run is repeated when the intervals of its first and its last block
-are those of another run of the same number of units. Only DataFrame and SQL functions are used.
+A text is a sequence of units: its sentences, cut at line ends too, or its lines if asked for. Every repeated run is
+covered by repeated *least runs*: from each unit on, and up to each unit, the fewest units with enough words. Least
+runs are made only around units that can betray a copy: every stretch with enough words holds an *anchor*, a unit
+that no other of the stretch outranks by words, then by hash, so both copies of a run share one. Anchors are about a
+third of all units; they alone are shuffled and counted before anything else is. Only DataFrame and SQL functions are used.
 """
 
 from __future__ import annotations
@@ -16,127 +17,168 @@ from voxsift.staging import stage
 LINE_END = r"(?<=\n)"
 SENTENCE_END = r"(?<=\n)|(?<=[.!?] )"
 #: Words that a repeated run must have.
-MIN_WORDS = 50
+MIN_WORDS = 40
+#: Units on either side that are looked at to tell an anchor; where these do not decide, the unit is one.
+NEAR = 6
+#: Units of a run whose words are added up one by one; longer runs are counted in a loop that always goes to the end.
+FEW = 10
 
 DOC = ["doc", "copy"]
-SEGMENT = [*DOC, "segment"]
 
 
 def pieces_of(text: Column, unit_end: str) -> Column:
     return F.split(text, unit_end)
 
 
+def solid(piece: Column) -> Column:
+    """Whether a piece has a word."""
+    return piece.rlike(r"[^\x20\x09-\x0D]")
+
+
+def body_of(piece: Column) -> Column:
+    """A piece without white space at its ends, each white space in it a space."""
+    ends = F.btrim(piece, F.lit(" \t\n\x0b\x0c\r"))
+    inside = ends.contains("\t") | ends.contains("\n") | ends.contains("\x0b") | ends.contains("\x0c") | ends.contains("\r")
+    return F.when(inside, F.regexp_replace(ends, r"[\t-\r]", " ")).otherwise(ends)
+
+
+def words_of(body: Column) -> Column:
+    spaces = F.octet_length(body) - F.octet_length(F.replace(body, F.lit(" "), F.lit("")))
+    return F.when(body.contains("  "), F.size(F.split(body, " +"))).otherwise(spaces + 1)
+
+
 def units_of(docs: DataFrame, unit_end: str) -> DataFrame:
-    """``doc, copy, at, pos, unit, words`` of each unit with a word: its place among all units and among these.
+    """``doc, copy, n_pieces, at, unit, words``: the number of all units; of those with a word their places among all, hashes and numbers of words.
 
     ``copy`` is a hash of the text, so rows that share a key but not the text stay apart.
     """
+    pieces = docs.select(*DOC, pieces_of(F.col("text"), unit_end).alias("pieces"))
+    piece = F.transform("pieces", lambda piece, at: F.struct(at.alias("at"), body_of(piece).alias("body")))
     unit = F.transform(
-        pieces_of(F.col("text"), unit_end),
-        lambda piece, at: F.struct(at.alias("at"), F.trim(F.regexp_replace(piece, r"[\t-\r]", " ")).alias("body")),
+        F.filter(piece, lambda p: p["body"] != ""),
+        lambda p: F.struct(p["at"].alias("at"), F.xxhash64(p["body"]).alias("unit"), words_of(p["body"]).alias("words")),
     )
-    solid = F.filter(unit, lambda u: u["body"] != "")
-    rows = docs.select("doc", "copy", F.posexplode(solid).alias("pos", "u"))
-    words = F.size(F.split(F.col("u.body"), " +"))
-    return rows.select("doc", "copy", F.col("u.at").alias("at"), "pos", F.xxhash64("u.body").alias("unit"), words.alias("words"))
+    rows = pieces.select(*DOC, F.size("pieces").alias("n_pieces"), unit.alias("u"))
+    return rows.select(*DOC, "n_pieces", F.col("u.at").alias("at"), F.col("u.unit").alias("unit"), F.col("u.words").alias("words"))
 
 
-def repeated_segments(units: DataFrame, min_words: int) -> DataFrame:
-    """The stretches of units that all occur more than once, if the stretch has enough words for a run.
+def anchors(units: DataFrame, min_words: int) -> DataFrame:
+    """``doc, copy, pos, score`` of each unit that outranks or equals a stretch around it with enough words."""
+    score = F.zip_with("unit", "words", lambda u, w: F.shiftleft(F.least(w, F.lit(32767)).cast("long"), 48) + u.bitwiseAND(F.lit(2**48 - 1)))
 
-    A unit that occurs once ends every repeated run, so no run is lost.
-    """
-    twice = units.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("unit")
-    again = units.join(twice, "unit").repartition(*DOC).dropDuplicates([*DOC, "pos"])  # rows equal in key and text are one
-    inside = Window.partitionBy(*DOC).orderBy("pos")
-    rows = again.withColumn("segment", F.col("pos") - F.row_number().over(inside))
-    return rows.withColumn("_all", F.sum("words").over(Window.partitionBy(*SEGMENT))).where(F.col("_all") >= min_words).drop("_all")
+    def side(at: Column, own: Column, step: int) -> Column:
+        """Words of the neighbours on one side up to the first that outranks the unit."""
+        words = F.lit(min_words).cast("long")
+        for k in range(NEAR, 0, -1):
+            other = F.get("scores", at + k * step)
+            words = F.when(other <= own, F.shiftright(other, 48) + words).otherwise(F.lit(0).cast("long"))
+        return words
 
+    def stands_out(x: Column) -> Column:
+        return F.shiftright(x["score"], 48) + side(x["pos"], x["score"], -1) + side(x["pos"], x["score"], 1) >= min(min_words, 32767)
 
-def doubled(segments: DataFrame, min_words: int) -> tuple[DataFrame, int]:
-    """Adds ``r0, r1, ...``: ranks by the first 1, 2, 4, ... units, null where no other suffix starts the same way.
+    every = F.transform("scores", lambda s, at: F.struct(at.alias("pos"), s.alias("score")))
+    rows = units.select(*DOC, score.alias("scores"))
+    return rows.select(*DOC, F.explode(F.filter(every, stands_out)).alias("x")).select(*DOC, "x.*")
 
-    Pairs of ranks are sorted over range partitions, and a pair's row number in that order is the next rank. Levels
-    end when no run is that long, at the latest when a block has ``min_words`` units.
-    """
-    rows, level = stage(segments.withColumnRenamed("unit", "r0"), "ranks"), 0
-    along = Window.partitionBy(*SEGMENT).orderBy("pos")
-    while 2 << level <= min_words:
-        first, second, new = f"r{level}", "_second", f"r{level + 1}"
-        pairs = rows.withColumn(second, F.lead(first, 1 << level).over(along))
-        kinds = pairs.where(F.col(first).isNotNull() & F.col(second).isNotNull()).groupBy(first, second).agg(F.count(F.lit(1)).alias("n"))
-        order = stage(kinds.where("n > 1").orderBy(first, second).select(first, second, F.monotonically_increasing_id().alias(new)), "order")
-        if order.isEmpty():
-            break
-        rows = stage(pairs.join(order, [first, second], "left").drop(second), "ranks")
-        level += 1
-    return rows, level
-
-
-def least_runs(rows: DataFrame, levels: int, min_words: int) -> DataFrame:
-    """``doc, copy, start, length, head, tail``: from each unit on, and up to each unit, the shortest run with enough
-    words, with the ranks of its first and last block. Together these runs cover every repeated run that is long enough."""
-    along = Window.partitionBy(*SEGMENT).orderBy("pos")
-    before = F.coalesce(F.sum("words").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("before", before).withColumn("after", F.col("before") + F.col("words"))
-    onward = Window.partitionBy(*SEGMENT).orderBy("before").rangeBetween(Window.currentRow, min_words - 1)
-    backward = Window.partitionBy(*SEGMENT).orderBy("after").rangeBetween(-(min_words - 1), Window.currentRow)
-    rows = rows.withColumn("ahead", F.when(F.sum("words").over(onward) >= min_words, F.count(F.lit(1)).over(onward)))
-    rows = rows.withColumn("behind", F.when(F.sum("words").over(backward) >= min_words, F.count(F.lit(1)).over(backward)))
-    ranks = [f"r{k}" for k in range(levels + 1)]
-    row = F.struct("pos", "ahead", "behind", F.array(*ranks).alias("ranks"))
-    whole = rows.groupBy(*SEGMENT).agg(F.sort_array(F.collect_list(row)).alias("rows"))  # lines of one text
-
-    def run(start: Column, length: Column, all_rows: Column) -> Column:
-        level = F.floor(F.log2(length)).cast("int")
-        block = F.pow(F.lit(2), level).cast("int")
-
-        def rank(at: Column) -> Column:
-            return F.get(F.get(all_rows, at)["ranks"], level)
-
-        first = F.get(all_rows, start)["pos"]
-        return F.struct(first.alias("start"), length.alias("length"), rank(start).alias("head"), rank(start + length - block).alias("tail"))
-
-    def both(all_rows: Column) -> Column:
-        forward = F.transform(all_rows, lambda r, i: F.when(r["ahead"].isNotNull(), run(i, r["ahead"].cast("int"), all_rows)))
-        back = F.transform(all_rows, lambda r, i: F.when(r["behind"].isNotNull(), run(i - r["behind"].cast("int") + 1, r["behind"].cast("int"), all_rows)))
-        return F.filter(F.array_distinct(F.concat(forward, back)), lambda x: x["head"].isNotNull() & x["tail"].isNotNull())
-
-    return whole.select(*DOC, F.explode(both(F.col("rows"))).alias("run")).select(*DOC, "run.*")
 
+def least_runs(units: DataFrame, min_words: int) -> DataFrame:
+    """``doc, copy, start, length, first_at, last_at, head, run``: the least runs that hold one of the units ``marks``,
+    with the hashes of their first unit and of all their units in order."""
 
-def later_copies(docs: DataFrame, min_words: int, unit_end: str) -> DataFrame:
-    """``doc, copy, gone``: places of the units to delete, of the documents that have any."""
-    units = units_of(docs, unit_end)
-    rows, levels = doubled(repeated_segments(units, min_words), min_words)
-    runs = stage(least_runs(rows, levels, min_words), "runs")
-    place = F.struct("doc", "copy", "start")
-    kinds = runs.groupBy("length", "head", "tail").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
-    copies = runs.join(kinds, ["length", "head", "tail"]).where(place != F.col("first"))
-    ends = copies.groupBy(*DOC, F.col("start").alias("pos")).agg(F.max(F.col("start") + F.col("length")).alias("end"))
-    reach = F.max("end").over(Window.partitionBy(*DOC).orderBy("pos"))  # of the runs that begin here or before
-    gone = rows.select(*DOC, "pos", "at").join(ends, [*DOC, "pos"], "left").withColumn("reach", reach).where("reach > pos")
-    return gone.groupBy(*DOC).agg(F.collect_set("at").alias("gone"))
+    def counted(some_words: Column) -> Column:
+        """How many units one can take from the left with fewer than ``min_words`` words."""
+        none = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"))
+
+        def take(so_far: Column, words: Column) -> Column:
+            more = F.struct((so_far["sum"] + words).alias("sum"), (so_far["n"] + 1).alias("n"))
+            return F.when(so_far["sum"] + words < min_words, more).otherwise(F.struct(F.lit(min_words).alias("sum"), so_far["n"].alias("n")))
+
+        return F.aggregate(some_words, none, take, lambda end: end["n"])
 
+    def reach(at: Column, step: int, every: Column) -> Column:
+        """The same from a unit on or back; a few units most often are enough words, so these are tried first."""
+        few, words = F.when(F.get("words", at) >= min_words, F.lit(0)), F.get("words", at)
+        for k in range(1, FEW):
+            words = words + F.get("words", at + k * step)
+            few = few.when(words >= min_words, F.lit(k))
+        return few.otherwise(counted(every))
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, unit_end: str = LINE_END) -> DataFrame:
+    def ahead(at: Column) -> Column:
+        return reach(at, 1, F.slice("words", at + 1, min_words))
+
+    def behind(at: Column) -> Column:
+        begin = F.greatest(at - (min_words - 1), F.lit(0))
+        return reach(at, -1, F.reverse(F.slice("words", begin + 1, at - begin + 1)))
+
+    def code(start: Column, length: Column) -> Column:
+        return F.shiftleft(start.cast("long"), 32) + length
+
+    size = F.size("words")
+    # a least run holds a mark if less than enough words lie between its first (last) unit and the mark
+    begins = F.transform("marks", lambda p: F.sequence(F.when(p > 0, p - behind(p - 1)).otherwise(p), p))
+    ends = F.transform("marks", lambda p: F.sequence(p, F.when(p + 1 < size, p + ahead(p + 1)).otherwise(p)))
+    rows = units.select(*DOC, "at", "unit", "words", F.array_distinct(F.flatten(begins)).alias("begins"), F.array_distinct(F.flatten(ends)).alias("ends"))
+    onward = F.transform("begins", lambda i: F.struct(i.alias("i"), ahead(i).alias("n")))
+    onward = F.transform(F.filter(onward, lambda x: x["i"] + x["n"] < size), lambda x: code(x["i"], x["n"] + 1))
+    back = F.transform("ends", lambda j: F.struct(j.alias("j"), behind(j).alias("n")))
+    back = F.transform(F.filter(back, lambda x: x["j"] - x["n"] >= 0), lambda x: code(x["j"] - x["n"], x["n"] + 1))
+    rows = rows.select(*DOC, "at", "unit", F.array_distinct(F.concat(onward, back)).alias("codes"))
+
+    def run(code: Column) -> Column:
+        start, length = F.shiftright(code, 32).cast("int"), code.bitwiseAND(F.lit(2**32 - 1)).cast("int")
+        return F.struct(
+            start.alias("start"), length.alias("length"), F.get("at", start).alias("first_at"), F.get("at", start + length - 1).alias("last_at"),
+            F.get("unit", start).alias("head"), F.xxhash64(F.slice("unit", start + 1, length)).alias("run"),
+        )
+
+    return rows.select(*DOC, F.explode(F.transform("codes", run)).alias("r")).select(*DOC, "r.*")
+
+
+def later_copies(docs: DataFrame, min_words: int, unit_end: str) -> DataFrame:
+    """``doc, copy, n_pieces, gone`` of each text: stretches from one place to another in which all units are to be deleted, null if none."""
+    units = stage(units_of(docs, unit_end), "units")
+    marked = anchors(units, min_words)
+    again = marked.groupBy("score").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("score")
+    marks = marked.join(again, "score").groupBy(*DOC).agg(F.collect_set("pos").alias("marks"))
+    runs = stage(least_runs(units.join(marks, DOC), min_words), "runs")
+    place = F.struct("doc", "copy", "start")
+    kind = ["length", "head", "run"]
+    kinds = runs.groupBy(*kind).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
+    copies = runs.join(kinds, kind).where(place != F.col("first"))
+    along = Window.partitionBy(*DOC).orderBy("first_at")
+    apart = F.col("first_at") > F.coalesce(F.max("last_at").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    part = F.sum(F.col("apart").cast("int")).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = copies.groupBy(*DOC, "first_at").agg(F.max("last_at").alias("last_at"))
+    merged = ends.withColumn("apart", apart).withColumn("part", part).groupBy(*DOC, "part")
+    stretch = merged.agg(F.min("first_at").alias("a"), F.max("last_at").alias("b"))
+    gone = stretch.groupBy(*DOC).agg(F.collect_list(F.struct("a", "b")).alias("gone"))
+    return units.select(*DOC, "n_pieces").dropDuplicates(DOC).join(gone, DOC, "left")
+
+
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, unit_end: str = SENTENCE_END) -> DataFrame:
     """``docs`` with later copies deleted from ``text``, plus ``n_units`` and ``deleted`` (places of deleted units).
 
     A run of consecutive units with at least ``min_words`` words that equals one before it (in order of ``key``, a
     number, then of a hash of the text, then of place) is deleted; its first copy stays. Units are compared without
     white space at their ends, and units without a word are passed over. Copies may lie in one text and overlap, so of
-    a line repeated in a row the first stays. Rows with a null key come last. Rows equal in key and text are one document:
+    a unit repeated in a row the first stays. Rows with a null key come last. Rows equal in key and text are one document:
     nothing is deleted from one because of the other, and both get the same text. Null texts stay null, with no unit. Columns
     named ``n_units`` and ``deleted`` are replaced; others stay.
     """
     last = F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1))
     keyed = docs.withColumn("_doc", last).withColumn("_copy", F.xxhash64(F.col(text)))
     plain = keyed.where(F.col(text).isNotNull()).select(F.col("_doc").alias("doc"), F.col("_copy").alias("copy"), F.col(text).alias("text"))
-    found = stage(later_copies(plain, min_words, unit_end).select(F.col("doc").alias("_doc"), F.col("copy").alias("_copy"), "gone"), "deleted")
+    found = stage(later_copies(plain, min_words, unit_end).select(F.col("doc").alias("_doc"), F.col("copy").alias("_copy"), "n_pieces", "gone"), "deleted")
     rows = keyed.join(found.hint("merge"), ["_doc", "_copy"], "left")  # as long as the texts: not to be broadcast
     pieces = pieces_of(F.col(text), unit_end)
-    rest = F.array_join(F.filter(pieces, lambda piece, at: ~F.array_contains("gone", at)), "")
+
+    def goes(piece: Column, at: Column) -> Column:
+        return F.exists("gone", lambda g: (g["a"] <= at) & (at <= g["b"])) & solid(piece)
+
+    rest = F.array_join(F.filter(pieces, lambda piece, at: ~goes(piece, at)), "")
+    places = F.filter(F.transform(pieces, lambda piece, at: F.when(goes(piece, at), at)), lambda at: at.isNotNull())
     body = F.when(F.col("gone").isNull(), F.col(text)).otherwise(rest)
     out = [body.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c not in ("n_units", "deleted")]
-    n_units = F.when(F.col(text).isNull() | (F.col(text) == ""), F.lit(0)).otherwise(F.size(pieces))
-    return rows.select(*out, n_units.alias("n_units"), F.sort_array(F.coalesce("gone", F.array().cast("array<int>"))).alias("deleted"))
+    n_units = F.when(F.col(text).isNull() | (F.col(text) == ""), F.lit(0)).otherwise(F.col("n_pieces"))
+    return rows.select(*out, n_units.alias("n_units"), F.when(F.col("gone").isNull(), F.array().cast("array<int>")).otherwise(places).alias("deleted"))
