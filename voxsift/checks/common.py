@@ -7,7 +7,7 @@ from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxsift.domains import Domain, DomainSet
 from voxsift.plans.extraction import FILL_TASK, FEEDBACK_MARK, LexiconExtraction, lexicon_model
@@ -98,6 +98,26 @@ def sql_tokens(text: str, min_chars: int = 1) -> str:
     return f"list_filter({words}, lambda w: length(w) >= {min_chars})"
 
 
+#: Frequent words of the four languages; a document's vector is 1 and how often it has each, which SQL can state too.
+COUNTED = ("the", "that", "of", "and", "la", "de", "que", "der", "und", "el")
+
+
+def counted_vector(tokens: Column) -> Column:
+    listed = F.array(*[F.lit(w) for w in COUNTED])
+    counts = F.transform(listed, lambda w: F.size(F.filter(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: t == w)).cast("double"))
+    return F.concat(F.array(F.lit(1.0)), counts)
+
+
+def counted_embedding(sentence: str) -> list[float]:
+    words = sentence.lower().split()
+    return [1.0, *(float(words.count(w)) for w in COUNTED)]
+
+
+def sql_counted_vector(toks: str) -> str:
+    counts = f"list_transform({sql_list(COUNTED)}, lambda x: len(list_filter(coalesce({toks}, []), lambda t: t = x))::DOUBLE)"
+    return f"list_concat([1.0::DOUBLE], {counts})"
+
+
 def sql_list(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 

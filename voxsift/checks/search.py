@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from voxsift.checks.common import Query, reviews, search_index, sql_tokens, table
+from voxsift.checks.common import Query, counted_embedding, counted_vector, once, reviews, search_index, sql_counted_vector, sql_tokens, table
 from voxsift.functions.text import clean_query, highlight, sentences, tokens
 from voxsift.functions.vectors import cosine_distance
 from voxsift.operators.joins import join_small
@@ -12,7 +12,7 @@ from voxsift.operators.search import query_terms, text_search, text_search_many
 from voxsift.operators.vector_search import approximate_nearest, nearest_many, vector_search
 from voxsift.plans.review_search import search_reviews
 from voxsift.plans.topics import topic_means
-from voxsift.sources.search_index import document_terms, open_index, publish_index
+from voxsift.sources.search_index import document_terms, open_index, publish_index, scratch_index
 from voxsift.staging import fresh_path
 
 TOP = 10
@@ -115,6 +115,24 @@ def a4_page_counts(spark, sf) -> DataFrame:
     return search_reviews(search_index(spark, sf), QUERY_TEXT, brand="src3").counts
 
 
+def _whole_page(spark, sf):
+    """The page with its semantic half, over documents that all have a vector."""
+    def make():
+        rows = reviews(spark, sf).withColumn("vector", counted_vector(tokens(F.col("review"))))
+        return search_reviews(scratch_index(rows), QUERY_TEXT, embed=counted_embedding, brand="src3", shown=20)
+
+    return once(spark, sf, "whole-page", make)
+
+
+def t4_search_page_near(spark, sf) -> DataFrame:
+    """The nearest reviews of the page, highlighted."""
+    return _whole_page(spark, sf).near.select("review_id", F.md5("marked").alias("marked_md5"))
+
+
+def a4_page_counts_whole(spark, sf) -> DataFrame:
+    return _whole_page(spark, sf).counts
+
+
 def _vectors(spark, sf) -> DataFrame:
     return table(spark, sf, "embeddings")
 
@@ -184,6 +202,8 @@ QUERIES: dict[str, Query] = {
     "t4_display_cap": t4_display_cap,
     "t4_search_page": t4_search_page,
     "a4_page_counts": a4_page_counts,
+    "t4_search_page_near": t4_search_page_near,
+    "a4_page_counts_whole": a4_page_counts_whole,
     "t3_vector_search": t3_vector_search,
     "t3_vector_search_filtered": t3_vector_search_filtered,
     "p8_distance_threshold": p8_distance_threshold,
@@ -214,6 +234,8 @@ def _bm25(queries: str, allowed: str = "true") -> str:
 
 _Q = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
 _DISTANCE = f"1 - list_cosine_similarity(embedding::DOUBLE[], {_Q})"
+_NEAR = f"""near AS (SELECT doc_id AS doc, 1 - list_cosine_similarity({sql_counted_vector('toks')},
+    {counted_embedding('the that reason of')}::DOUBLE[]) AS distance FROM tok WHERE source = 'src3')"""
 _MEANS = """means AS (SELECT label, list(x ORDER BY pos) AS mean FROM (SELECT label, pos, avg(x) AS x FROM
       (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(generate_series(1, len(embedding))) AS pos FROM embeddings)
     GROUP BY label, pos) GROUP BY label)"""
@@ -254,6 +276,17 @@ ORACLE: dict[str, str] = {
         FROM escaped""",
     "a4_page_counts": f"""WITH {_TOKENS} SELECT 'total' AS measure, count(*) AS rows FROM tok WHERE source = 'src3'
         UNION ALL SELECT 'text', count(*) FROM tok WHERE source = 'src3' AND len(list_intersect(toks, ['reason', 'that', 'the', 'of'])) > 0""",
+    "t4_search_page_near": rf"""WITH {_TOKENS}, {_NEAR},
+        hits AS (SELECT doc, text FROM near JOIN documents ON doc = doc_id WHERE distance < 0.7
+          ORDER BY round(distance, 12), doc LIMIT 20),
+        escaped AS (SELECT doc, replace(replace(replace(replace(regexp_replace(text, '(?i)(reason|that|the|of)',
+            chr(57344) || '\1' || chr(57345), 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS t FROM hits)
+        SELECT doc AS review_id, md5(replace(replace(t, chr(57344),
+            '<div style="background-color: yellow; display: inline;">'), chr(57345), '</div>')) AS marked_md5
+        FROM escaped""",
+    "a4_page_counts_whole": f"""WITH {_TOKENS}, {_NEAR} SELECT 'total' AS measure, count(*) AS rows FROM tok WHERE source = 'src3'
+        UNION ALL SELECT 'text', count(*) FROM tok WHERE source = 'src3' AND len(list_intersect(toks, ['reason', 'that', 'the', 'of'])) > 0
+        UNION ALL SELECT 'semantic', count(*) FROM near WHERE distance < 0.7""",
     "t3_vector_search": f"""SELECT vec_id, label, round({_DISTANCE}, 6) AS distance FROM embeddings
         ORDER BY round({_DISTANCE}, 12), vec_id LIMIT {TOP}""",
     "t3_vector_search_filtered": f"""SELECT vec_id, label, round({_DISTANCE}, 6) AS distance FROM embeddings

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from voxsift.checks.common import Query, once, sql_tokens, table
+from voxsift.checks.common import Query, counted_vector, once, sql_counted_vector, sql_tokens, table
 from voxsift.plans import topics as tm
 from voxsift.plans.model import ModelSettings
 from voxsift.staging import stage
@@ -124,6 +124,15 @@ def tm6_centroid_words_given(spark, sf) -> DataFrame:
     return words.select("topic", "term", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
 
 
+def tm6_centroid_words_counted(spark, sf) -> DataFrame:
+    """With a vector made of each document's own words, so that all documents count."""
+    docs = tm.with_tokens(table(spark, sf, "documents").select("doc_id", F.col("source").alias("topic"), "text"), "text")
+    known = docs.withColumn("vector", counted_vector(F.col("tokens")))
+    candidates = _candidates(spark, sf)
+    words = tm.centroid_words(candidates, tm.word_vectors(known, candidates), tm.topic_means(known))
+    return words.select("topic", "term", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
+
+
 def _first_words(settings):
     """Stand-in for a language model: the first three words of the prompt's word list."""
     return lambda prompts: prompts.map(lambda p: " / ".join(p.rsplit("words: ", 1)[1].split(", ")[:3]))
@@ -165,6 +174,7 @@ QUERIES: dict[str, Query] = {
     "tm5_diverse_words": tm5_diverse_words,
     "tm6_centroid_words": tm6_centroid_words,
     "tm6_centroid_words_given": tm6_centroid_words_given,
+    "tm6_centroid_words_counted": tm6_centroid_words_counted,
     "tm7_model_labels": tm7_model_labels,
     "tm8_topic_info": tm8_topic_info,
     "tm9_topic_distribution": tm9_topic_distribution,
@@ -217,6 +227,19 @@ ORACLE: dict[str, str] = {
           FROM cand JOIN wv USING (term) JOIN means USING (topic)),
         best AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY similarity DESC, term) AS rank FROM sims)
         SELECT topic, term, rank, round(similarity, 6) AS similarity FROM best WHERE rank <= 10""",
+    "tm6_centroid_words_counted": f"""WITH {_weights_sql('source')},
+        cand AS (SELECT topic, term FROM ranked WHERE rank <= 30),
+        long AS (SELECT doc_id, unnest(v) AS x, unnest(generate_series(1, len(v))) AS pos
+          FROM (SELECT doc_id, {sql_counted_vector('toks')} AS v FROM tok)),
+        used AS (SELECT DISTINCT doc_id, term FROM words WHERE term IN (SELECT term FROM cand)),
+        wv AS (SELECT term, list(x ORDER BY pos) AS v FROM (SELECT term, pos, avg(x) AS x FROM used JOIN long USING (doc_id)
+          GROUP BY term, pos) GROUP BY term),
+        means AS (SELECT topic, list(x ORDER BY pos) AS mean FROM (SELECT topic, pos, avg(x) AS x FROM tok
+          JOIN long USING (doc_id) GROUP BY topic, pos) GROUP BY topic),
+        sims AS (SELECT topic, term, round(list_cosine_similarity(v, mean), 9) AS similarity
+          FROM cand JOIN wv USING (term) JOIN means USING (topic)),
+        best AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY similarity DESC, term) AS rank FROM sims)
+        SELECT topic, term, rank, round(similarity, 6) AS similarity FROM best WHERE rank <= 10""",
     "tm7_model_labels": f"""WITH {_weights_sql('source')} SELECT topic, string_agg(term, ' / ' ORDER BY rank) AS label,
         CAST(NULL AS VARCHAR) AS label_error FROM ranked WHERE rank <= 3 GROUP BY topic""",
     "tm8_topic_info": f"""WITH {_weights_sql('source')},
