@@ -71,6 +71,11 @@ def test_near_duplicates_of_a_star(spark):
     assert {r["component_id"] for r in found} == {0}
 
 
+def test_near_duplicates_refuse_a_lower_threshold(docs):
+    with pytest.raises(ValueError, match="below 80"):
+        near_duplicates.near_duplicates(docs, percent=60)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
