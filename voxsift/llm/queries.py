@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from voxsift.llm import conversation_repair, decontamination, html_extraction, language_id, line_dedup, near_duplicates, packing, personal_data, quality_classifier, quality_rules, url_filter
+from voxsift.llm import conversation_repair, decontamination, html_extraction, language_id, line_dedup, near_duplicates, packing, personal_data, quality_classifier, quality_rules, token_alignment, url_filter
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -114,6 +114,10 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(it.n
   sha256(coalesce(it.s, '')) AS items_sha256, coalesce(hit.n > 0 AND 20 * hit.n >= len(d.w), false) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
+def op11_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations")
     found = conversation_repair.repair(conversation_repair.damage(rows))
@@ -184,6 +188,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_token_alignment": op11_token_alignment,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
