@@ -65,12 +65,12 @@ def mixed_text(seed):
     return "".join(draw.choice(parts) for _ in range(draw.randint(1, 60)))
 
 
-@pytest.mark.parametrize("chunk_tokens", [1, 300, 400_000])
-def test_against_plain_version(spark, chunk_tokens):
-    texts = [mixed_text(n) for n in range(60)] + [None, "", " ", "\n", "a", "▁", "a" * 5000, "long words " * 4000, mixed_text(3)]
+@pytest.mark.parametrize("chunk_chars", [1, 300, 3_000_000])
+def test_against_plain_version(spark, chunk_chars):
+    texts = [mixed_text(n) for n in range(60)] + ["two  spaces", "end ", "end  ", " start", "a \n b", "x\u00a0 y", "a\u2028 b c"] + [None, "", " ", "\n", "a", "▁", "a" * 5000, "long words " * 4000, mixed_text(3)]
     rows = list(enumerate(texts)) + [(0, texts[0]), (None, "the end"), (None, None), (2**60 + 1, "large key")]
     frame = spark.createDataFrame([(k, t, "x", "y", "z") for k, t in rows], SCHEMA)
-    assert values(alignment.align(frame, chunk_tokens=chunk_tokens)) == plain(rows)
+    assert values(alignment.align(frame, chunk_chars=chunk_chars)) == plain(rows)
 
 
 def test_irregular_groups_against_sets():
@@ -94,10 +94,29 @@ def test_wide_groups_are_counted_by_id(monkeypatch):
     a, b = np.arange(90) % 7, np.arange(80) % 5
     groups = [(3, 60, 3, 50), (70, 72, 60, 63)]
     a, b = a[:85], b[: 3 + 47 + 10 + 3 + 13]  # the rest one to one
-    usual = alignment.links(a, b, groups)
+
+    def counted():
+        where, codes, times = alignment.links(a, b, groups)
+        total = Counter()
+        for code, n in zip(codes.tolist(), times.tolist()):
+            total[code] += n
+        return total, len(where)
+
+    usual = counted()
     monkeypatch.setattr(alignment, "WIDE", 4)
-    other = alignment.links(a, b, groups)
-    assert [list(x) if hasattr(x, "__len__") else x for x in usual] == [list(x) if hasattr(x, "__len__") else x for x in other]
+    assert usual[0] == counted()[0] and usual[1] > counted()[1]
+
+
+def test_segments_are_encoded_as_in_the_whole_text():
+    (one, _), (two, _) = alignment.first_tokenizer(FIRST), alignment.second_tokenizer(SECOND)
+    assert alignment.separable(one, two)
+    for n in range(3000):
+        text = mixed_text(n)
+        own = alignment.SEGMENT.findall(" " + text)
+        assert "".join(own) == " " + text
+        assert [t for s in own for t in one.encode_ordinary(s)] == one.encode_ordinary(" " + text)
+        if "▁" not in text:
+            assert [t for s in own for t in two.encode(s[1:])] == two.encode(text)
 
 
 def test_a_file_without_ordered_ids_uses_the_general_encoder(tmp_path):

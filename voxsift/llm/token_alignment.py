@@ -4,9 +4,11 @@ The ends of both token sequences are byte offsets. Where tokens stand one to one
 index shift; doubling steps find how far that holds, so such stretches are jumped over. What lies between is an irregular
 group, found by moving on whichever side is behind until both end together; the shift changes there.
 
-Texts are worked on in chunks of bounded size. A chunk lists its different id pairs once, so counts are added up and
-looked up per chunk and not per occurrence. A pair stands in a chunk's list at most once, so no pair holds more rows than
-there are chunks, however common it is.
+Texts are worked on in chunks of bounded size. Before a space that follows other text no encoder of the given kinds joins
+anything, so a text is a row of segments (mostly words) that are encoded and aligned alike wherever they stand: the
+different segments of a chunk are laid end to end and aligned once. A chunk also lists its different id pairs once, so
+counts are added up and looked up per chunk and not per occurrence; a pair holds no more rows than there are chunks,
+however common it is.
 """
 
 from __future__ import annotations
@@ -14,10 +16,12 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from itertools import accumulate
+import re
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -26,8 +30,8 @@ from voxsift.staging import stage
 
 FOLDER = "/opt/tokenizers"
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Tokens of a chunk of texts; a longer text is a chunk of its own.
-CHUNK_TOKENS = 400_000
+#: Characters of a chunk of texts; a longer text is a chunk of its own.
+CHUNK_CHARS = 3_000_000
 #: Groups of more links than this are counted by their different ids instead of link by link.
 WIDE = 4096
 
@@ -114,34 +118,31 @@ def irregular_groups(x: list[int], y: list[int]) -> list[tuple[int, int, int, in
     return found
 
 
-def links(a: np.ndarray, b: np.ndarray, groups: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Different linked pairs as ``first id * 2^32 + second id`` with their numbers of links, and the numbers of groups
-    and of all links."""
+def links(a: np.ndarray, b: np.ndarray, groups: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links as index of a first token, code of the id pair (``first id * 2^32 + second id``), and number; a group of one
+    token against one, or a small one, has a row per link, a wide one a row per different pair."""
     high = a.astype(np.int64) << 32
     irregular = np.array(groups, np.int64).reshape(-1, 4)
-    alone_a, alone_b = np.ones(len(a), bool), np.ones(len(b), bool)
     spans_a, spans_b = irregular[:, 1] - irregular[:, 0], irregular[:, 3] - irregular[:, 2]
+    alone_a, alone_b = np.ones(len(a), bool), np.ones(len(b), bool)
     alone_a[spread(irregular[:, 0], spans_a)] = False
     alone_b[spread(irregular[:, 2], spans_b)] = False
-    ones = high[alone_a] + b[alone_b]
     sizes = spans_a * spans_b
     small = sizes <= WIDE
-    rows = irregular[small]
-    nth = spread(np.zeros(len(rows), np.int64), sizes[small])
-    width = np.repeat(spans_b[small], sizes[small])
-    left = np.repeat(rows[:, 0], sizes[small]) + nth // width
-    right = np.repeat(rows[:, 2], sizes[small]) + nth % width
-    pairs, times = np.unique(np.concatenate([ones, high[left] + b[right]]), return_counts=True)
-    wide = [(pairs, times)]
+    rows, many = irregular[small], sizes[small]
+    nth = spread(np.zeros(len(rows), np.int64), many)
+    width = np.repeat(spans_b[small], many)
+    left, right = np.repeat(rows[:, 0], many) + nth // width, np.repeat(rows[:, 2], many) + nth % width
+    where = [np.flatnonzero(alone_a), left]
+    codes = [high[alone_a] + b[alone_b], high[left] + b[right]]
+    times = [np.ones(len(where[0]) + len(left), np.int64)]
     for at, to, other, end in irregular[~small]:
         ids, n = np.unique(high[at:to], return_counts=True)
         others, m = np.unique(b[other:end], return_counts=True)
-        wide.append(((ids[:, None] + others[None, :]).ravel(), (n[:, None] * m[None, :]).ravel()))
-    if len(wide) > 1:
-        pairs, where = np.unique(np.concatenate([p for p, _ in wide]), return_inverse=True)
-        times = np.zeros(len(pairs), np.int64)
-        np.add.at(times, where, np.concatenate([t for _, t in wide]))
-    return pairs, times, len(ones) + len(irregular), len(ones) + int(sizes.sum())
+        codes.append((ids[:, None] + others[None, :]).ravel())
+        times.append((n[:, None] * m[None, :]).ravel())
+        where.append(np.full(len(codes[-1]), at))
+    return np.concatenate(where), np.concatenate(codes), np.concatenate(times)
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -150,24 +151,177 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(lengths.sum())) + np.repeat(starts - before, lengths)
 
 
-def groups_text(a: list[str], b: list[str], groups: list[tuple[int, int, int, int]]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: ids of each group in order."""
-    out, i, j = [], 0, 0
-    for at, to, other, end in [*groups, (len(a), len(a), len(b), len(b))]:
-        out += map("|".join, zip(a[i:at], b[j:other]))
-        if at < to:
-            out.append(f"{','.join(a[at:to])}|{','.join(b[other:end])}")
+def group_texts(a: list[str], b: list[str], groups: list[tuple[int, int, int, int]]) -> tuple[list[str], np.ndarray]:
+    """``a1,a2|b1,b2`` of each group in order, and the index of its first token."""
+    out, at = [], np.ones(len(a), bool)
+    i = j = 0
+    for start, to, other, end in [*groups, (len(a), len(a), len(b), len(b))]:
+        out += map("|".join, zip(a[i:start], b[j:other]))
+        if start < to:
+            out.append(f"{','.join(a[start:to])}|{','.join(b[other:end])}")
+            at[start + 1 : to] = False
         i, j = to, end
-    return ";".join(out)
-
+    return out, np.flatnonzero(at)
+
+
+#: A text, with a space before it, cut before each space that follows something that is neither white space nor the sign
+#: that stands for a space in pieces; white space at the end stays with what it follows.
+SEGMENT = re.compile(r" [^ ]*(?:(?<=[\s▁]) [^ ]*| +\Z)*")
+
+
+def separable(first: object, second: object) -> bool:
+    """Whether segments may be encoded on their own: the first encoder divides texts by the byte-level pattern, in which
+    nothing goes on from other text into a space, and no piece of the second holds a space behind other text."""
+    pieces = [second.id_to_piece(n) for n in range(second.get_piece_size())]
+    return hasattr(first, "encode_ordinary") and not any("▁" in p.lstrip("▁") for p in pieces)
+
+
+class Tools:
+    """Both encoders with what is needed of their ids; made once per task from what was sent."""
+
+    def __init__(self, first: object, bytes_a: list[bytes], second: object, bytes_b: list[bytes]):
+        self.first, self.bytes_a, self.second, self.bytes_b = first, bytes_a, second, bytes_b
+        self.size_a, self.size_b = (np.array([len(t) for t in x], np.int64) for x in (bytes_a, bytes_b))
+        self.shown = [str(n) for n in range(max(len(bytes_a), len(bytes_b)))]
+
+    def ids(self, text: str) -> tuple[list[int], list[int]]:
+        """Ids of a text that begins with the added space."""
+        if hasattr(self.first, "encode_ordinary"):
+            return self.first.encode_ordinary(text), self.second.encode(text[1:])
+        return self.first.encode(text, add_special_tokens=False).ids, self.second.encode(text[1:])
+
+    def encoded(self, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all segments one after another and their numbers per segment, for both encoders, and which segments both
+        give back; the others have no ids. Segments are encoded in a row where that changes nothing, else one by one."""
+        data = [n.encode() for n in names]
+        whole, a, b = np.ones(len(names), bool), [], []
+        n_a, n_b = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        for low, high in in_a_row(names):
+            x, y = self.ids("".join(names[low:high]))
+            own = b"".join(data[low:high])
+            if self.gives(x, y, own):
+                ends = np.cumsum([len(d) for d in data[low:high]])
+                n_a[low:high], n_b[low:high] = per_segment(self.size_a[x], ends), per_segment(self.size_b[y], ends)
+                a.append(x)
+                b.append(y)
+                continue
+            for k in range(low, high):
+                x, y = self.ids(names[k])
+                whole[k] = self.gives(x, y, data[k])
+                if whole[k]:
+                    n_a[k], n_b[k] = len(x), len(y)
+                    a.append(x)
+                    b.append(y)
+        return np.fromiter(chain.from_iterable(a), np.int64), n_a, np.fromiter(chain.from_iterable(b), np.int64), n_b, whole
+
+    def gives(self, a: list[int], b: list[int], data: bytes) -> bool:
+        return b"".join(map(self.bytes_a.__getitem__, a)) == data and b"".join(map(self.bytes_b.__getitem__, b)) == data
+
+
+#: Characters of segments that are encoded in one call.
+ROW_CHARS = 10_000
+
+
+def in_a_row(names: list[str]):
+    """Ranges of segments that may be encoded as one text: all but the last of a range end in something that is neither
+    white space nor the sign of a space, so that the next one's space begins anew."""
+    low = chars = 0
+    for k, own in enumerate(names):
+        chars += len(own)
+        if own[-1].isspace() or own[-1] == "▁" or chars >= ROW_CHARS:
+            yield low, k + 1
+            low, chars = k + 1, 0
+    if low < len(names):
+        yield low, len(names)
+
+
+def per_segment(sizes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many tokens of these sizes end within each segment, given the segments' ends."""
+    return np.bincount(np.searchsorted(ends, np.cumsum(sizes)), minlength=len(ends))
+
+
+class Segments:
+    """The different segments of a chunk of texts, encoded and aligned.
+
+    Per segment: ``whole`` (both encoders give its bytes back), numbers of tokens ``n_a`` and ``n_b``, of ``groups`` and
+    ``links``, its groups as ``text``, and its different pairs with their numbers of links (``slots`` into ``codes``,
+    ``times``) from ``starts[k]`` to ``starts[k + 1]``.
+    """
 
-DOC = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, slots array<int>, times array<long>"
-NO_TOKENS = (0, 0, 0, 0, "", "", [], [])
+    def __init__(self, names: list[str], tools: Tools):
+        a, self.n_a, b, self.n_b, self.whole = tools.encoded(names)
+        groups = irregular_groups(np.cumsum(tools.size_a[a]).tolist(), np.cumsum(tools.size_b[b]).tolist())
+        segment_of = np.repeat(np.arange(len(names)), self.n_a)
+        where, codes, times = links(a, b, groups)
+        self.codes, slot = np.unique(codes, return_inverse=True)
+        own, place = np.unique(segment_of[where] * max(1, len(self.codes)) + slot, return_inverse=True)
+        self.times = np.zeros(len(own), np.int64)
+        np.add.at(self.times, place, times)
+        of, self.slots = np.divmod(own, max(1, len(self.codes)))
+        self.starts = np.searchsorted(of, np.arange(len(names) + 1))
+        self.links = sums(self.times, self.starts)
+        texts, at = group_texts(list(map(tools.shown.__getitem__, a)), list(map(tools.shown.__getitem__, b)), groups)
+        firsts = np.searchsorted(segment_of[at], np.arange(len(names) + 1))
+        self.groups = np.diff(firsts)
+        self.text = [";".join(texts[x:y]) for x, y in zip(firsts, firsts[1:])]
+
+    def rows_with(self, row: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """In how many rows each pair is, from the different segments ``own`` of each ``row``, which is sorted."""
+        n, out = self.starts[own + 1] - self.starts[own], np.zeros(len(self.codes), np.int64)
+        cuts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))[::64] if len(row) else []  # some rows at a time
+        for low, high in zip(cuts, [*cuts[1:], len(row)]):
+            slots = self.slots[spread(self.starts[own[low:high]], n[low:high])]
+            seen = np.unique((np.repeat(row[low:high] - row[low], n[low:high]) << 32) + slots)
+            out += np.bincount(seen & 0xFFFFFFFF, minlength=len(out))
+        return out
+
+
+def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The sum of ``values`` from each start to the next."""
+    before = np.concatenate([[0], np.cumsum(values)])
+    return before[starts[1:]] - before[starts[:-1]]
+
+
+DOC = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, segments array<int>, times array<int>"
+#: Of a chunk: its pairs and in how many of its texts each is; its segments' pairs.
+CHUNK = "codes array<long>, held array<long>, starts array<int>, slots array<int>, links array<long>"
+WRITTEN = pa.schema(
+    [("chunk", pa.int64()), ("key", pa.string()), *[(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")], ("groups_sha256", pa.string()),
+     ("groups", pa.string()), ("segments", pa.list_(pa.int32())), ("times", pa.list_(pa.int32())), ("codes", pa.list_(pa.int64())),
+     ("held", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("slots", pa.list_(pa.int32())), ("links", pa.list_(pa.int64()))]
+)
+
+
+def encoded_chunk(number: int, keys: list, texts: list, tools: Tools, apart: bool, with_groups: bool) -> pa.RecordBatch:
+    """A row per text, and one of the chunk behind them."""
+    cut = [(SEGMENT.findall(" " + t) if apart else [" " + t]) if t else [] for t in texts]
+    names = list(dict.fromkeys(chain.from_iterable(cut)))
+    index = dict(zip(names, range(len(names))))
+    ids = [list(map(index.__getitem__, own)) for own in cut]
+    del cut, index
+    found = Segments(names, tools)
+    sizes = np.array([len(own) for own in ids], np.int64)
+    row, every = np.repeat(np.arange(len(keys)), sizes), np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum()))
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    good = (sizes > 0) & (sums(found.whole[every], starts) == sizes)
+    counts = [np.where(good, sums(x[every], starts), 0).tolist() for x in (found.n_a, found.n_b, found.groups, found.links)]
+    shown = [";".join(map(found.text.__getitem__, own)) if ok else "" for own, ok in zip(ids, good)]
+    digests = [hashlib.sha256(x.encode()).hexdigest() if ok else "" for x, ok in zip(shown, good)]
+    del ids
+    of, times = np.unique((row * max(1, len(names)) + every)[good[row]], return_counts=True)
+    row, own = np.divmod(of, max(1, len(names)))
+    held = found.rows_with(row, own)
+    own, times = (np.split(x, np.searchsorted(row, np.arange(1, len(keys)))) for x in (own, times))
+    rows = list(zip([number] * len(keys), keys, *counts, digests, shown if with_groups else [""] * len(keys), own, times))
+    rows.append((number, *[None] * 9))
+    none = [None] * len(keys)
+    columns = [*map(list, zip(*rows)), *[[*none, x] for x in (found.codes, held, found.starts, found.slots, found.times)]]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, WRITTEN)], schema=WRITTEN)
 
 
 def align(
     docs: DataFrame, key: str = "doc_id", text: str = "text", first: str = f"{FOLDER}/{FIRST}", second: str = f"{FOLDER}/{SECOND}",
-    with_groups: bool = False, chunk_tokens: int = CHUNK_TOKENS,
+    with_groups: bool = False, chunk_chars: int = CHUNK_CHARS,
 ) -> DataFrame:
     """``key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256`` for every row of ``docs``.
 
@@ -182,62 +336,28 @@ def align(
     """
     spark = docs.sparkSession
     long_rows(spark)
-    (one, bytes_a), (two, bytes_b) = first_tokenizer(os.fspath(first)), second_tokenizer(os.fspath(second))
-    sent = spark.sparkContext.broadcast((one, bytes_a, two, bytes_b))
-    names = [part.split()[0] for part in DOC.split(", ")]
+    tools = (*first_tokenizer(os.fspath(first)), *second_tokenizer(os.fspath(second)))
+    apart = separable(tools[0], tools[2])
+    sent = spark.sparkContext.broadcast(tools)  # objects of the libraries, some MB
 
     def encoded(batches):
-        one, bytes_a, two, bytes_b = sent.value
-        size_a, size_b = [len(t) for t in bytes_a], [len(t) for t in bytes_b]
-        shown_a, shown_b = [str(n) for n in range(len(size_a))], [str(n) for n in range(len(size_b))]
-        ranks = hasattr(one, "encode_ordinary")
-
-        def document(body: str | None) -> tuple:
-            if not body:
-                return NO_TOKENS, None
-            whole = " " + body
-            a = one.encode_ordinary(whole) if ranks else one.encode(whole, add_special_tokens=False).ids
-            b = two.encode(body)
-            data = whole.encode()
-            if b"".join([bytes_a[t] for t in a]) != data or b"".join([bytes_b[t] for t in b]) != data:
-                return NO_TOKENS, None
-            groups = irregular_groups(list(accumulate([size_a[t] for t in a])), list(accumulate([size_b[t] for t in b])))
-            pairs, times, n_groups, n_links = links(np.array(a, np.int64), np.array(b, np.int64), groups)
-            shown = groups_text([shown_a[t] for t in a], [shown_b[t] for t in b], groups)
-            digest = hashlib.sha256(shown.encode()).hexdigest()
-            return (len(a), len(b), n_groups, n_links, digest, shown if with_groups else ""), (pairs, times)
-
-        def chunk(rows: list) -> pd.DataFrame:
-            nonlocal number
-            held = [p[0] for _, _, p in rows if p is not None]
-            codes, slots, docs_with = np.unique(np.concatenate(held or [np.empty(0, np.int64)]), return_inverse=True, return_counts=True)
-            own, out, at = (TaskContext.get().partitionId() << 32) + number, [], 0
-            for key, found, p in rows:
-                if p is None:
-                    out.append((own, key, *found, None, None))
-                else:
-                    out.append((own, key, *found, slots[at : at + len(p[0])], p[1], None, None))
-                    at += len(p[0])
-            number += 1
-            out.append((own, None, *([None] * len(names)), codes, docs_with))
-            return pd.DataFrame(out, columns=["chunk", "key", *names, "codes", "held"])
-
-        number, rows, tokens = 0, [], 0
+        tools = Tools(*sent.value)
+        number, keys, texts, chars = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:
-            for key, body in zip(batch["key"], batch["text"]):
-                found, pairs = document(body)
-                rows.append((key, found, pairs))
-                tokens += found[0] + 1
-                if tokens >= chunk_tokens:
-                    yield chunk(rows)
-                    rows, tokens = [], 0
-        if rows:
-            yield chunk(rows)
+            for key, body in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
+                keys.append(key)
+                texts.append(body)
+                chars += len(body or "") + 1
+                if chars >= chunk_chars:
+                    yield encoded_chunk(number, keys, texts, tools, apart, with_groups)
+                    number, keys, texts, chars = number + 1, [], [], 0
+        if keys:
+            yield encoded_chunk(number, keys, texts, tools, apart, with_groups)
 
     # the key goes along as text, so that a null or a large number comes back as it was
     kind = docs.schema[key].dataType
     own = docs.select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{text}`").alias("text"))
-    done = stage(own.mapInPandas(encoded, f"chunk long, key string, {DOC}, codes array<long>, held array<long>"), "token-chunks")
+    done = stage(own.mapInArrow(encoded, f"chunk long, key string, {DOC}, {CHUNK}"), "token-chunks")
     lists = done.where("codes is not null").select("chunk", F.posexplode(F.arrays_zip("codes", "held")).alias("slot", "x"))
     lists = lists.select("chunk", "slot", F.col("x.codes").alias("code"), F.col("x.held").alias("held"))
     counts = stage(lists.groupBy("code").agg(F.sum("held").alias("count")), "pair-counts").withColumn("id", F.shiftright("code", 32))
@@ -248,17 +368,17 @@ def align(
     def summed(rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values("slot")
         count, best = table["count"].to_numpy(np.int64), table["best"].to_numpy(bool)
-        totals, bests = [], []
-        for slots, times in zip(rows["slots"], rows["times"]):
-            slots = np.asarray([] if slots is None else slots, np.int64)
-            times = np.asarray([] if times is None else times, np.int64)
-            totals.append(int((count[slots] * times).sum()))
-            bests.append(int(times[best[slots]].sum()))
-        return rows.drop(columns=["chunk", "slots", "times"]).assign(n_best=bests, count_sum=totals)
+        last = rows[rows["starts"].notna()].iloc[0]
+        starts, slots, times = (np.asarray(last[c], np.int64) for c in ("starts", "slots", "links"))
+        total, bests = sums(count[slots] * times, starts), sums(best[slots] * times, starts)
+        rows = rows[rows["starts"].isna()]
+        of = [(np.asarray(x, np.int64), np.asarray(n, np.int64)) for x, n in zip(rows["segments"], rows["times"])]
+        values = {"n_best": [int((bests[x] * n).sum()) for x, n in of], "count_sum": [int((total[x] * n).sum()) for x, n in of]}
+        return rows[["key", *kept]].astype({c: "int64" for c in kept if c.startswith("n_")}).assign(**values)
 
     kept = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", *(["groups"] if with_groups else [])]
-    rows = done.where("codes is null").select("chunk", "key", *kept, "slots", "times")
     types = "key string, " + ", ".join(f"{c} {'string' if c.startswith('groups') else 'long'}" for c in kept) + ", n_best long, count_sum long"
+    rows = done.select("chunk", "key", *kept, "segments", "times", "starts", "slots", "links")
     result = rows.groupBy("chunk").cogroup(looked_up.groupBy("of")).applyInPandas(summed, types)
     last = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", *(["groups"] if with_groups else [])]
     return result.select(F.col("key").cast(kind).alias(key), *last)
