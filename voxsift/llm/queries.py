@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from voxsift.llm import conversation_repair, decontamination, html_extraction, language_id, line_dedup, near_duplicates, packing, personal_data, quality_classifier, quality_rules, token_alignment, url_filter
+from voxsift.llm import conversation_repair, decontamination, html_extraction, language_id, line_dedup, near_duplicates, packing, personal_data, quality_classifier, quality_rules, signature_trees, token_alignment, url_filter
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -118,6 +118,26 @@ def op11_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return token_alignment.align(table(spark, sf, "documents"))
 
 
+def op12_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return signature_trees.ngram_links(table(spark, sf, "documents"), words=5, percent=80)
+
+
+_OP12 = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+  k AS (SELECT list_sort(s) AS s, min(doc_id) AS rep FROM s WHERE len(s) > 0 GROUP BY ALL),
+  e AS (SELECT rep, len(s) AS n, unnest(s) AS g FROM k),
+  p AS (SELECT x.rep AS a, y.rep AS b, any_value(x.n) AS m, any_value(y.n) AS n, count(*) AS c
+    FROM e x JOIN e y ON x.g = y.g AND x.rep < y.rep AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n) GROUP BY ALL),
+  l AS (SELECT a, b FROM p WHERE 100 * c >= 80 * (m + n - c)),
+  u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+  r(a, b) AS (SELECT rep, rep FROM k UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a),
+  c AS (SELECT a AS rep, min(b) AS c FROM r GROUP BY a),
+  m AS (SELECT s.doc_id, c.c FROM s JOIN k ON list_sort(s.s) = k.s JOIN c USING (rep))
+SELECT s.doc_id, coalesce(len(s.s), 0) AS n_shingles, coalesce(m.c, s.doc_id) AS component_id FROM s LEFT JOIN m USING (doc_id)"""
+
+
 def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations")
     found = conversation_repair.repair(conversation_repair.damage(rows))
@@ -189,7 +209,8 @@ QUERIES = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_decontamination": op10_decontamination,
     "op11_token_alignment": op11_token_alignment,
+    "op12_ngram_jaccard_join": op12_ngram_jaccard_join,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
-ORACLE = {"op9_minhash_near_dedup": _OP9, "op10_decontamination": _OP10, "op13_conversation_repair": _OP13}
+ORACLE = {"op9_minhash_near_dedup": _OP9, "op10_decontamination": _OP10, "op12_ngram_jaccard_join": _OP12, "op13_conversation_repair": _OP13}
