@@ -75,6 +75,8 @@ def made_rows():
 def test_against_all_pairs(spark, monkeypatch, words, percent, frequent, block):
     """Small limits make most n-grams frequent and cut trees into blocks of a few rows."""
     monkeypatch.setattr(trees, "FREQUENT", frequent)
+    monkeypatch.setattr(trees, "MOST_FREQUENT", 200 if block == 8 else 100_000)
+    monkeypatch.setattr(trees, "COUNTED", 500 if block == 8 else 1 << 20)
     monkeypatch.setattr(trees, "BLOCK", block)
     monkeypatch.setattr(trees, "FAN", 2 if block == 8 else 8)
     rows = made_rows()

@@ -1,12 +1,13 @@
 """Exact similarity join of texts on word n-grams by signature trees, one tree per shared n-gram.
 
 Equal sets are one node of the search. Two sets as similar as asked for must share one of the first n-grams of each, in an
-order all agree on; n-grams that many nodes hold come last in it, so common lines and templates bring nobody together
-unless a text has hardly anything else. The nodes that share such an n-gram are the leaves of a tree: rows carry a bitmap
-of their n-grams and their size, the nodes above them OR-combined bitmaps and ranges of sizes. A tree is walked against
-itself from the root: a pair of nodes is dropped if their sizes cannot fit, if all below them is linked already, or if
-the most that any two sets below them can have in common, judged by the bitmaps, is too little. Pairs of rows that are
-left are compared on their whole sets.
+order all agree on. A first pass over the texts counts n-grams that occur again within a batch; those counted most come
+last in the order, so common lines and templates bring nobody together unless a text has hardly anything else. A second
+pass takes each set's first n-grams. The nodes that share one are the leaves of a tree: rows carry a bitmap of their n-grams
+and their size, the nodes above them OR-combined bitmaps and ranges of sizes. A tree is walked against itself from the
+root: a pair of nodes is dropped if their sizes cannot fit, if all below them is linked already, or if the most that any
+two sets below them can have in common, judged by the bitmaps, is too little. Pairs of rows that are left are compared on
+their whole sets.
 
 A tree of many rows is cut into blocks; the blocks' bitmaps and ranges are the upper level, compared in Spark, and pairs
 of blocks that may hold a link go to tasks of their own. Before that, every row is compared with the first row of its
@@ -29,9 +30,14 @@ from voxsift.staging import stage
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 80
 #: Bits of a bitmap, and 64-bit words of it.
-BITS, WORDS = 1024, 16
-#: An n-gram that more nodes have among their first ones comes last in the order.
-FREQUENT = 64
+BITS, WORDS = 512, 8
+#: Bits of an n-gram's hash by which sets meet; whole sets are compared on all 64.
+GRAM_BITS = 48
+#: An n-gram counted more often comes last in the order; so many at most, the most frequent ones, are kept for it. What is
+#: left out of them costs time and loses nothing, as any order will do.
+FREQUENT, MOST_FREQUENT = 64, 100_000
+#: N-grams counted together in the first pass.
+COUNTED = 1 << 20
 #: Rows of a block of a tree, and children of a node.
 BLOCK = 512
 FAN = 8
@@ -56,21 +62,89 @@ def fingerprint(grams: np.ndarray) -> bytes:
     return np.array([np.bitwise_xor.reduce(place), place.sum() + np.uint64(len(grams))], np.uint64).tobytes()
 
 
-def signed_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``id, copy, n, print, first, bits`` per row: size of its set and what is needed to find and tell apart sets."""
+def set_of(text: str | None, words: int) -> np.ndarray:
+    return shingle_set((text or "").encode().translate(LOWER), words)
 
-    @pandas_udf("n long, print binary, first array<long>, bits binary")
+
+def short(grams: np.ndarray) -> np.ndarray:
+    """The n-grams as they are ordered and met by; still sorted."""
+    return (grams >> np.uint64(64 - GRAM_BITS)).astype(np.int64)
+
+
+def first_pass(docs: DataFrame, words: int) -> DataFrame:
+    """``id, n, print`` per row, and rows of ``grams, counts``: n-grams of several different sets of a batch."""
+
+    def passed(batches):
+        for batch in batches:
+            rows, sets, held = [], {}, 0
+            for key, text in zip(batch["id"].array, batch["text"]):
+                grams = set_of(text, words)
+                name = fingerprint(grams) if len(grams) else None
+                rows.append((None if pd.isna(key) else int(key), len(grams), name, None, None))
+                if name is not None and name not in sets:
+                    sets[name] = short(grams)
+                    held += len(grams)
+                if held >= COUNTED:
+                    rows.append(repeated(sets))
+                    sets, held = {}, 0
+            yield pd.DataFrame([*rows, repeated(sets)], columns=["id", "n", "print", "grams", "counts"]).astype({"id": "Int64"})
+
+    def repeated(sets: dict) -> tuple:
+        grams, counts = np.unique(np.concatenate([*sets.values(), np.empty(0, np.int64)]), return_counts=True)
+        return (None, -1, None, grams[counts > 1], counts[counts > 1])
+
+    return stage(docs.select("id", "text").mapInPandas(passed, "id long, n long, print binary, grams array<long>, counts array<long>"), "first-pass")
+
+
+def frequent_grams(passed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent n-grams in order, and their counts, MOST_FREQUENT at most: those above a power of two from which on
+    there are no more."""
+    rows = passed.where("n < 0").select(F.explode(F.arrays_zip("grams", "counts")).alias("x"))
+    counts = rows.groupBy(F.col("x.grams").alias("gram")).agg(F.sum("x.counts").alias("count")).where(F.col("count") > FREQUENT)
+    counts = stage(counts, "frequent")
+    bar, held = FREQUENT, 0
+    for power, n in sorted(counts.groupBy(F.floor(F.log2("count")).alias("power")).count().collect(), reverse=True):  # a row per power of two
+        held += n
+        if held > MOST_FREQUENT:
+            bar = max(FREQUENT, 2 ** (power + 1) - 1)
+            break
+    found = np.array([tuple(r) for r in counts.where(F.col("count") > bar).collect()], np.int64).reshape(-1, 2)
+    found = found[np.argsort(found[:, 0])]
+    return found[:, 0], found[:, 1]
+
+
+def second_pass(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``node, print, least, count, n, copy, bits, usual, last`` of each different set: its smallest id and number of rows,
+    the MD5 of one text that has it, and its first n-grams, usual and frequent ones."""
+    known, times = (docs.sparkSession.sparkContext.broadcast(x) for x in frequent)  # MOST_FREQUENT numbers each at most
+
+    @pandas_udf("n long, print binary, bits binary, usual array<long>, last array<long>")
     def sign(texts: pd.Series) -> pd.DataFrame:
-        rows = []
+        rows, common, counts = [], known.value, times.value
         for body in texts:
-            grams = shingle_set((body or "").encode().translate(LOWER), words)
-            if len(grams):
-                rows.append((len(grams), fingerprint(grams), grams[: first_many(len(grams), percent)].view(np.int64), bitmap(grams)))
-            else:
-                rows.append((0, None, None, None))
-        return pd.DataFrame(rows, columns=["n", "print", "first", "bits"])
+            whole = set_of(body, words)
+            if not len(whole):
+                rows.append((0, None, None, None, None))
+                continue
+            grams, many = np.unique(short(whole)), first_many(len(whole), percent)
+            at = np.minimum(np.searchsorted(common, grams), max(0, len(common) - 1))
+            often = common[at] == grams if len(common) else np.zeros(len(grams), bool)
+            usual, rest = grams[~often][:many], grams[often]
+            rest = rest[np.lexsort((rest, counts[at[often]]))][: many - len(usual)] if len(usual) < many else rest[:0]
+            rows.append((len(whole), fingerprint(whole), bitmap(whole), usual, rest))
+        return pd.DataFrame(rows, columns=["n", "print", "bits", "usual", "last"])
+
+    rows = docs.select("id", F.unhex(F.md5("text")).alias("copy"), sign("text").alias("f")).select("id", "copy", "f.*").where("print is not null")
+    grouped = rows.groupBy("print").agg(
+        F.min("id").alias("least"), F.count(F.lit(1)).alias("count"), *[F.max(c).alias(c) for c in ("n", "copy", "bits", "usual", "last")]
+    )
+    return stage(grouped.withColumn("node", F.monotonically_increasing_id()), "kinds")
+
 
-    return docs.select("id", F.unhex(F.md5("text")).alias("copy"), sign("text").alias("f")).select("id", "copy", "f.*")
+def trees(kinds: DataFrame) -> DataFrame:
+    """``gram, node`` of the n-grams that are among the first ones of two nodes or more."""
+    usual = kinds.select(F.explode("usual").alias("gram"), "node").withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("gram")))
+    return stage(usual.where("many > 1").select("gram", "node").union(kinds.select(F.explode("last").alias("gram"), "node")), "trees")
 
 
 def whole_sets(docs: DataFrame, kinds: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -78,66 +152,18 @@ def whole_sets(docs: DataFrame, kinds: DataFrame, nodes: DataFrame, words: int)
 
     @pandas_udf("print binary, set array<long>")
     def made(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set((t or "").encode().translate(LOWER), words) for t in texts]
+        sets = [set_of(t, words) for t in texts]
         return pd.DataFrame({"print": [fingerprint(s) if len(s) else None for s in sets], "set": [s.view(np.int64) for s in sets]})
 
-    wanted = stage(kinds.join(nodes.distinct(), "node", "left_semi").select("node", "print", "copy"), "wanted")
+    wanted = stage(kinds.select("node", "print", "copy").join(nodes.distinct(), "node", "left_semi"), "wanted")
     rows = docs.select("text", F.unhex(F.md5("text")).alias("copy"), F.monotonically_increasing_id().alias("at"))
     texts = join_small(rows, wanted.select("copy"), ["copy"], spread=F.col("at"), how="left_semi").dropDuplicates(["copy"])
     found = texts.select(made("text").alias("f")).select("f.*")
     return stage(found.join(wanted.select("node", "print"), "print").select("node", "set"), "sets")
 
 
-def reordered(sets: DataFrame, frequent: DataFrame, percent: int) -> DataFrame:
-    """``node, gram, last`` with frequent n-grams at the end of the order, the rarest of them first; ``last`` marks them."""
-    rows = sets.select("node", F.explode("set").alias("gram"))
-    held = join_small(rows, frequent.select("gram", "count"), ["gram"], spread=F.col("node")).groupBy("node").agg(F.collect_list(F.struct("gram", "count")).alias("held"))
-
-    @pandas_udf("usual array<long>, last array<long>")
-    def divided(sets: pd.Series, held: pd.Series) -> pd.DataFrame:
-        out = []
-        for grams, common in zip(sets, held):
-            grams, common = np.asarray(grams, np.int64).view(np.uint64), [] if common is None else common
-            known = np.array([c["gram"] for c in common], np.int64).view(np.uint64)
-            counts = np.array([c["count"] for c in common], np.int64)
-            usual, many = grams[~np.isin(grams, known)], first_many(len(grams), percent)
-            rest = known[np.lexsort((known, counts))][: max(0, many - len(usual))]
-            out.append((np.sort(usual)[:many].view(np.int64), rest.view(np.int64)))
-        return pd.DataFrame(out, columns=["usual", "last"])
-
-    found = stage(sets.join(held, "node", "left").select("node", divided("set", "held").alias("f")).select("node", "f.*"), "reordered")
-    return found.select("node", F.explode("usual").alias("gram"), F.lit(False).alias("last")).union(found.select("node", F.explode("last"), F.lit(True)))
-
-
-def trees(docs: DataFrame, kinds: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """``gram, node`` of the n-grams among the first ones of two nodes or more, and the whole sets of these nodes.
-
-    An n-gram is frequent if more than FREQUENT nodes have it among their first ones, or if as many of the nodes that hold
-    such a one have it anywhere. Nodes with a frequent one among their first ones are given new first ones; all others keep
-    theirs, which are the same in the new order. So a usual n-gram brings at most some times FREQUENT nodes together.
-    """
-    first = kinds.select("node", F.explode("first").alias("gram"))
-    counts = stage(first.groupBy("gram").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") > FREQUENT), "frequent")
-    spread = F.col("node")
-    if counts.isEmpty():
-        rows = first.select("gram", "node", F.lit(False).alias("last"))
-        sets = None
-    else:
-        touched = stage(join_small(first, counts.select("gram"), ["gram"], spread, "left_semi").select("node").distinct(), "touched")
-        sets = whole_sets(docs, kinds, touched, words)
-        within = sets.select(F.explode("set").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") > FREQUENT)
-        frequent = stage(counts.union(within).groupBy("gram").agg(F.max("count").alias("count")), "frequent")
-        again = stage(join_small(first, frequent.select("gram"), ["gram"], spread, "left_semi").select("node").distinct(), "again")
-        sets = sets.union(whole_sets(docs, kinds, again.join(touched, "node", "left_anti"), words))
-        kept = kinds.join(again, "node", "left_anti").select("node", F.explode("first").alias("gram"))
-        rows = stage(reordered(sets, frequent, percent), "first").select("gram", "node", "last")
-        rows = rows.union(kept.select("gram", "node", F.lit(False)))
-    usual = rows.where(~F.col("last")).select("gram", "node").withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("gram")))
-    met = stage(usual.where("many > 1").select("gram", "node").union(rows.where("last").select("gram", "node")), "trees")
-    members = met.select("node").distinct()
-    if sets is None:
-        return met, whole_sets(docs, kinds, members, words)
-    return met, sets.union(whole_sets(docs, kinds, members.join(sets.select("node"), "node", "left_anti"), words))
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -276,10 +302,12 @@ def block_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def open_trees(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """``gram, node, label`` of the trees whose rows are of several components."""
-    rows = with_labels(met, labels, "node", "label")
-    several = rows.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("many")).where("low < high")
-    return rows.join(several.select("gram", "many"), "gram")
+    """``gram, node, label, many`` of the trees of three rows or more that are of several components; the two rows of a
+    smaller one have been compared already."""
+    rows = stage(with_labels(met, labels, "node", "label"), "labelled-trees")
+    sizes = rows.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("many"))
+    several = stage(sizes.where("low < high and many > 2").select("gram", "many"), "several")
+    return join_salted(rows, several, ["gram"], F.col("node"), hot=hot_keys(several, ["gram"], "many"))
 
 
 def walked(met: DataFrame, labels: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
@@ -314,18 +342,19 @@ def ngram_links(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
         raise ValueError(f"percent {percent} is not from 1 to 100")
     long_rows(docs.sparkSession)
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    signed = stage(signed_rows(docs, words, percent), "signed")
-    grouped = signed.where("print is not null").groupBy("print").agg(
-        F.min("id").alias("least"), F.count(F.lit(1)).alias("count"), F.max("n").alias("n"), F.max("copy").alias("copy"),
-        F.max("bits").alias("bits"), F.max("first").alias("first"),
-    )
-    kinds = stage(grouped.withColumn("node", F.monotonically_increasing_id()), "kinds")
-    met, sets = trees(docs, kinds, words, percent)
-
-    leader = met.groupBy("gram").agg(F.min("node").alias("b"))
-    near = met.join(leader, "gram").where("node != b").select(F.col("b").alias("a"), F.col("node").alias("b")).distinct()
-    labels = connected(similar(near_enough(near, kinds, percent), sets, percent))
-    labels = extended(labels, similar(walked(met, labels, kinds, percent), sets, percent))
+    passed = first_pass(docs, words)
+    signed = passed.where("n >= 0").select("id", "n", "print")
+    kinds = second_pass(docs, words, percent, frequent_grams(passed))
+    met = trees(kinds)
+
+    leaders = stage(met.groupBy("gram").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("many")), "leaders")
+    near = join_salted(met, leaders.select("gram", "a"), ["gram"], F.col("node"), hot=hot_keys(leaders, ["gram"], "many"))
+    near = stage(near_enough(near.where("node != a").select("a", F.col("node").alias("b")).distinct(), kinds, percent), "near")
+    sets = whole_sets(docs, kinds, ends(near), words)
+    labels = connected(similar(near, sets, percent))
+    more = walked(met, labels, kinds, percent)
+    sets = sets.union(whole_sets(docs, kinds, ends(more).join(sets.select("node"), "node", "left_anti"), words))
+    labels = extended(labels, similar(more, sets, percent))
 
     hot = hot_keys(kinds, ["print"], "count")
     nodes = kinds.select("print", "node")
