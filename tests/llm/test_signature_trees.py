@@ -99,6 +99,19 @@ def test_percent_is_checked(spark):
         found(spark, [], percent=0)
 
 
+def test_wide_bitmaps_bound_what_sets_share():
+    draw = np.random.default_rng(8)
+    for n, m, shared in [(3, 3, 3), (10, 12, 9), (100, 90, 50), (500, 300, 280), (1025, 1024, 1000), (40, 400, 0)]:
+        every = draw.integers(0, 2**64, n + m - shared, dtype=np.uint64)
+        x, y = every[:n], every[n - shared :]
+        assert len(y) == m
+        most = trees.most_shared(trees.wide_bitmap(x), trees.wide_bitmap(y), n, m)
+        assert shared <= most <= min(n, m)
+        if max(n, m) < 2 * min(n, m):
+            assert most <= shared + 0.3 * min(n, m) + 2
+        assert most == trees.most_shared(trees.wide_bitmap(y), trees.wide_bitmap(x), m, n)
+
+
 def test_traversal_finds_what_bounds_allow():
     """Every pair of one tree, or of its two sides, whose rows pass the bound comes out once."""
     draw = np.random.default_rng(3)

@@ -147,19 +147,42 @@ def trees(kinds: DataFrame) -> DataFrame:
     return stage(usual.where("many > 1").select("gram", "node").union(kinds.select(F.explode("last").alias("gram"), "node")), "trees")
 
 
+def wide_bitmap(grams: np.ndarray) -> bytes:
+    """A bitmap with eight bits or more for each n-gram, a power of two of them."""
+    bits = 8 << max(3, int(len(grams) - 1).bit_length())
+    marked = np.zeros(bits, bool)
+    marked[(mixed(grams) & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(marked).tobytes()
+
+
+def most_shared(x: bytes, y: bytes, n: int, m: int) -> int:
+    """The most n-grams that two sets of sizes ``n`` and ``m`` with these wide bitmaps can share."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    spare = min(n - int(np.bitwise_count(a).sum()), m - int(np.bitwise_count(b).sum()))
+    while len(a) != len(b):  # the larger one as it would be with half the bits: its unused bits grow
+        if len(a) > len(b):
+            a, spare = a[: len(a) // 2] | a[len(a) // 2 :], None
+        else:
+            b, spare = b[: len(b) // 2] | b[len(b) // 2 :], None
+    if spare is None:
+        spare = min(n - int(np.bitwise_count(a).sum()), m - int(np.bitwise_count(b).sum()))
+    return spare + int(np.bitwise_count(a & b).sum())
+
+
 def whole_sets(docs: DataFrame, kinds: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """``node, set`` of the given nodes, from one text of each."""
+    """``node, n, wide, set`` of the given nodes, from one text of each."""
 
-    @pandas_udf("print binary, set array<long>")
+    @pandas_udf("print binary, n long, wide binary, set array<long>")
     def made(texts: pd.Series) -> pd.DataFrame:
         sets = [set_of(t, words) for t in texts]
-        return pd.DataFrame({"print": [fingerprint(s) if len(s) else None for s in sets], "set": [s.view(np.int64) for s in sets]})
+        rows = [(fingerprint(s), len(s), wide_bitmap(s), s.view(np.int64)) if len(s) else (None, 0, None, None) for s in sets]
+        return pd.DataFrame(rows, columns=["print", "n", "wide", "set"])
 
     wanted = stage(kinds.select("node", "print", "copy").join(nodes.distinct(), "node", "left_semi"), "wanted")
     rows = docs.select("text", F.unhex(F.md5("text")).alias("copy"), F.monotonically_increasing_id().alias("at"))
     texts = join_small(rows, wanted.select("copy"), ["copy"], spread=F.col("at"), how="left_semi").dropDuplicates(["copy"])
     found = texts.select(made("text").alias("f")).select("f.*")
-    return stage(found.join(wanted.select("node", "print"), "print").select("node", "set"), "sets")
+    return stage(found.join(wanted.select("node", "print"), "print").select("node", "n", "wide", "set"), "sets")
 
 
 def ends(pairs: DataFrame) -> DataFrame:
@@ -167,8 +190,17 @@ def ends(pairs: DataFrame) -> DataFrame:
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose whole sets are similar enough, written."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    """The pairs ``a, b`` whose whole sets are similar enough, written. Wide bitmaps, an eighth as large as the sets, are
+    looked at first, so that whole sets are moved only for pairs that are similar or nearly so."""
+
+    def test(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([most_shared(*pair) * (100 + percent) >= (pair[2] + pair[3]) * percent for pair in zip(x, y, n, m)], dtype=bool)
+
+    may = pandas_udf(test, "boolean").asNondeterministic()  # else it is worked out again for the filter
+    likely = pairs.join(sets.select(F.col("node").alias("a"), F.col("wide").alias("x"), F.col("n").alias("s")), "a")
+    likely = likely.join(sets.select(F.col("node").alias("b"), F.col("wide").alias("y"), F.col("n").alias("t")), "b")
+    likely = stage(likely.select("a", "b", may("x", "y", "s", "t").alias("may")).where("may").select("a", "b"), "likely")
+    both = likely.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return stage(both.where(common * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select("a", "b"), "links")
 
