@@ -1,8 +1,8 @@
 """Exact similarity join of texts on word n-grams by signature trees, one tree per shared n-gram.
 
 Equal sets are one node of the search. Two sets as similar as asked for must share one of the first n-grams of each, in an
-order all agree on. A first pass over the texts counts n-grams that occur again within a batch; those counted most come
-last in the order, so common lines and templates bring nobody together unless a text has hardly anything else. A second
+order all agree on. A first pass over the texts counts n-grams that occur again within a stretch of rows; those counted most
+come last in the order, so common lines and templates bring nobody together unless a text has hardly anything else. A second
 pass takes each set's first n-grams. The nodes that share one are the leaves of a tree: rows carry a bitmap of their n-grams
 and their size, the nodes above them OR-combined bitmaps and ranges of sizes. A tree is walked against itself from the
 root: a pair of nodes is dropped if their sizes cannot fit, if all below them is linked already, or if the most that any
@@ -72,11 +72,13 @@ def short(grams: np.ndarray) -> np.ndarray:
 
 
 def first_pass(docs: DataFrame, words: int) -> DataFrame:
-    """``id, n, print`` per row, and rows of ``grams, counts``: n-grams of several different sets of a batch."""
+    """``id, n, print`` per row, and rows of ``grams, counts``: n-grams of several different sets among some
+    thousands of rows."""
 
     def passed(batches):
+        sets, held = {}, 0
         for batch in batches:
-            rows, sets, held = [], {}, 0
+            rows = []
             for key, text in zip(batch["id"].array, batch["text"]):
                 grams = set_of(text, words)
                 name = fingerprint(grams) if len(grams) else None
@@ -87,12 +89,15 @@ def first_pass(docs: DataFrame, words: int) -> DataFrame:
                 if held >= COUNTED:
                     rows.append(repeated(sets))
                     sets, held = {}, 0
-            yield pd.DataFrame([*rows, repeated(sets)], columns=["id", "n", "print", "grams", "counts"]).astype({"id": "Int64"})
+            yield pd.DataFrame(rows, columns=names).astype({"id": "Int64"})
+        if sets:
+            yield pd.DataFrame([repeated(sets)], columns=names).astype({"id": "Int64"})
 
     def repeated(sets: dict) -> tuple:
         grams, counts = np.unique(np.concatenate([*sets.values(), np.empty(0, np.int64)]), return_counts=True)
         return (None, -1, None, grams[counts > 1], counts[counts > 1])
 
+    names = ["id", "n", "print", "grams", "counts"]
     return stage(docs.select("id", "text").mapInPandas(passed, "id long, n long, print binary, grams array<long>, counts array<long>"), "first-pass")
 
 
@@ -121,17 +126,26 @@ def second_pass(docs: DataFrame, words: int, percent: int, frequent: tuple[np.nd
     @pandas_udf("n long, print binary, bits binary, usual array<long>, last array<long>")
     def sign(texts: pd.Series) -> pd.DataFrame:
         rows, common, counts = [], known.value, times.value
+        marked = np.zeros(1 << 20, bool)  # most n-grams are not frequent, which this tells at once
+        marked[common & 0xFFFFF] = True
+        none = np.empty(0, np.int64)
         for body in texts:
             whole = set_of(body, words)
             if not len(whole):
                 rows.append((0, None, None, None, None))
                 continue
-            grams, many = np.unique(short(whole)), first_many(len(whole), percent)
-            at = np.minimum(np.searchsorted(common, grams), max(0, len(common) - 1))
-            often = common[at] == grams if len(common) else np.zeros(len(grams), bool)
-            usual, rest = grams[~often][:many], grams[often]
-            rest = rest[np.lexsort((rest, counts[at[often]]))][: many - len(usual)] if len(usual) < many else rest[:0]
-            rows.append((len(whole), fingerprint(whole), bitmap(whole), usual, rest))
+            grams, many, often = short(whole), first_many(len(whole), percent), none
+            may = np.flatnonzero(marked[grams & 0xFFFFF])
+            if len(may):
+                at = np.minimum(np.searchsorted(common, grams[may]), len(common) - 1)
+                found = common[at] == grams[may]
+                often, at = may[found], at[found]
+            if len(often):
+                usual = np.delete(grams, often)
+                rest = grams[often][np.lexsort((grams[often], counts[at]))][: max(0, many - len(usual))]
+            else:
+                usual, rest = grams, none
+            rows.append((len(whole), fingerprint(whole), bitmap(whole), usual[:many], rest))
         return pd.DataFrame(rows, columns=["n", "print", "bits", "usual", "last"])
 
     rows = docs.select("id", F.unhex(F.md5("text")).alias("copy"), sign("text").alias("f")).select("id", "copy", "f.*").where("print is not null")
@@ -372,7 +386,7 @@ def ngram_links(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     """
     if not 1 <= percent <= 100:
         raise ValueError(f"percent {percent} is not from 1 to 100")
-    long_rows(docs.sparkSession)
+    long_rows(docs.sparkSession, 400)
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     passed = first_pass(docs, words)
     signed = passed.where("n >= 0").select("id", "n", "print")
