@@ -119,11 +119,11 @@ def frequent_grams(passed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def second_pass(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``node, print, least, count, n, copy, bits, usual, last`` of each different set: its smallest id and number of rows,
+    """``node, print, least, count, n, copy, bits, wide, usual, last`` of each different set: its smallest id and number of rows,
     the MD5 of one text that has it, and its first n-grams, usual and frequent ones."""
     known, times = (docs.sparkSession.sparkContext.broadcast(x) for x in frequent)  # MOST_FREQUENT numbers each at most
 
-    @pandas_udf("n long, print binary, bits binary, usual array<long>, last array<long>")
+    @pandas_udf("n long, print binary, bits binary, wide binary, usual array<long>, last array<long>")
     def sign(texts: pd.Series) -> pd.DataFrame:
         rows, common, counts = [], known.value, times.value
         marked = np.zeros(1 << 20, bool)  # most n-grams are not frequent, which this tells at once
@@ -132,7 +132,7 @@ def second_pass(docs: DataFrame, words: int, percent: int, frequent: tuple[np.nd
         for body in texts:
             whole = set_of(body, words)
             if not len(whole):
-                rows.append((0, None, None, None, None))
+                rows.append((0, None, None, None, None, None))
                 continue
             grams, many, often = short(whole), first_many(len(whole), percent), none
             may = np.flatnonzero(marked[grams & 0xFFFFF])
@@ -145,12 +145,12 @@ def second_pass(docs: DataFrame, words: int, percent: int, frequent: tuple[np.nd
                 rest = grams[often][np.lexsort((grams[often], counts[at]))][: max(0, many - len(usual))]
             else:
                 usual, rest = grams, none
-            rows.append((len(whole), fingerprint(whole), bitmap(whole), usual[:many], rest))
-        return pd.DataFrame(rows, columns=["n", "print", "bits", "usual", "last"])
+            rows.append((len(whole), fingerprint(whole), bitmap(whole), wide_bitmap(whole), usual[:many], rest))
+        return pd.DataFrame(rows, columns=["n", "print", "bits", "wide", "usual", "last"])
 
     rows = docs.select("id", F.unhex(F.md5("text")).alias("copy"), sign("text").alias("f")).select("id", "copy", "f.*").where("print is not null")
     grouped = rows.groupBy("print").agg(
-        F.min("id").alias("least"), F.count(F.lit(1)).alias("count"), *[F.max(c).alias(c) for c in ("n", "copy", "bits", "usual", "last")]
+        F.min("id").alias("least"), F.count(F.lit(1)).alias("count"), *[F.max(c).alias(c) for c in ("n", "copy", "bits", "wide", "usual", "last")]
     )
     return stage(grouped.withColumn("node", F.monotonically_increasing_id()), "kinds")
 
@@ -162,8 +162,8 @@ def trees(kinds: DataFrame) -> DataFrame:
 
 
 def wide_bitmap(grams: np.ndarray) -> bytes:
-    """A bitmap with eight bits or more for each n-gram, a power of two of them."""
-    bits = 8 << max(3, int(len(grams) - 1).bit_length())
+    """A bitmap with four bits or more for each n-gram, a power of two of them."""
+    bits = 4 << max(4, int(len(grams) - 1).bit_length())
     marked = np.zeros(bits, bool)
     marked[(mixed(grams) & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(marked).tobytes()
@@ -184,37 +184,40 @@ def most_shared(x: bytes, y: bytes, n: int, m: int) -> int:
 
 
 def whole_sets(docs: DataFrame, kinds: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """``node, n, wide, set`` of the given nodes, from one text of each."""
+    """``node, set`` of the given nodes, from one text of each."""
 
-    @pandas_udf("print binary, n long, wide binary, set array<long>")
+    @pandas_udf("print binary, set array<long>")
     def made(texts: pd.Series) -> pd.DataFrame:
         sets = [set_of(t, words) for t in texts]
-        rows = [(fingerprint(s), len(s), wide_bitmap(s), s.view(np.int64)) if len(s) else (None, 0, None, None) for s in sets]
-        return pd.DataFrame(rows, columns=["print", "n", "wide", "set"])
+        return pd.DataFrame({"print": [fingerprint(s) if len(s) else None for s in sets], "set": [s.view(np.int64) for s in sets]})
 
     wanted = stage(kinds.select("node", "print", "copy").join(nodes.distinct(), "node", "left_semi"), "wanted")
     rows = docs.select("text", F.unhex(F.md5("text")).alias("copy"), F.monotonically_increasing_id().alias("at"))
     texts = join_small(rows, wanted.select("copy"), ["copy"], spread=F.col("at"), how="left_semi").dropDuplicates(["copy"])
     found = texts.select(made("text").alias("f")).select("f.*")
-    return stage(found.join(wanted.select("node", "print"), "print").select("node", "n", "wide", "set"), "sets")
+    return stage(found.join(wanted.select("node", "print"), "print").select("node", "set"), "sets")
 
 
 def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
 
 
-def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose whole sets are similar enough, written. Wide bitmaps, an eighth as large as the sets, are
-    looked at first, so that whole sets are moved only for pairs that are similar or nearly so."""
+def likely(pairs: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` that wide bitmaps allow to be linked, written: whole sets are made and moved only for pairs that
+    are similar or nearly so."""
 
     def test(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
         return pd.Series([most_shared(*pair) * (100 + percent) >= (pair[2] + pair[3]) * percent for pair in zip(x, y, n, m)], dtype=bool)
 
     may = pandas_udf(test, "boolean").asNondeterministic()  # else it is worked out again for the filter
-    likely = pairs.join(sets.select(F.col("node").alias("a"), F.col("wide").alias("x"), F.col("n").alias("s")), "a")
-    likely = likely.join(sets.select(F.col("node").alias("b"), F.col("wide").alias("y"), F.col("n").alias("t")), "b")
-    likely = stage(likely.select("a", "b", may("x", "y", "s", "t").alias("may")).where("may").select("a", "b"), "likely")
-    both = likely.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    both = pairs.join(kinds.select(F.col("node").alias("a"), F.col("wide").alias("x"), F.col("n").alias("s")), "a")
+    both = both.join(kinds.select(F.col("node").alias("b"), F.col("wide").alias("y"), F.col("n").alias("t")), "b")
+    return stage(both.select("a", "b", may("x", "y", "s", "t").alias("may")).where("may").select("a", "b"), "likely")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose whole sets are similar enough, written."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return stage(both.where(common * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select("a", "b"), "links")
 
@@ -396,9 +399,10 @@ def ngram_links(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     leaders = stage(met.groupBy("gram").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("many")), "leaders")
     near = join_salted(met, leaders.select("gram", "a"), ["gram"], F.col("node"), hot=hot_keys(leaders, ["gram"], "many"))
     near = stage(near_enough(near.where("node != a").select("a", F.col("node").alias("b")).distinct(), kinds, percent), "near")
+    near = likely(near, kinds, percent)
     sets = whole_sets(docs, kinds, ends(near), words)
     labels = connected(similar(near, sets, percent))
-    more = walked(met, labels, kinds, percent)
+    more = likely(walked(met, labels, kinds, percent), kinds, percent)
     sets = sets.union(whole_sets(docs, kinds, ends(more).join(sets.select("node"), "node", "left_anti"), words))
     labels = extended(labels, similar(more, sets, percent))
 
