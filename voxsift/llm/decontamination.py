@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from voxsift.llm.common import long_rows
+from voxsift.llm.common import long_rows, sent
 from voxsift.llm.textbytes import ALNUM, byte_array, word_bounds, word_hashes
 from voxsift.staging import stage
 
@@ -190,11 +190,11 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
     blocks = item_blocks(items, item_key, item_text)
     for n, block in enumerate(blocks):
         automaton = Automaton([(r["name"], r["body"]) for r in block.collect()], window)
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)
+        shared = sent(docs.sparkSession, automaton)
 
         @pandas_udf(FOUND)
         def scan(texts: pd.Series) -> pd.DataFrame:
-            automaton = shared.value
+            automaton = shared()
             return pd.DataFrame([automaton.scan(t) for t in texts], columns=names)
 
         if n == 0:

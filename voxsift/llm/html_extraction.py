@@ -10,6 +10,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from voxsift.llm.common import long_rows
+from voxsift.llm.common import long_rows, sent
 
 DIMENSIONS = 1 << 12
 TRAIN_PAGES = 200
@@ -30,10 +31,12 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW_TAGS = frozenset("script style noscript template textarea iframe svg title select button".split())
+# Of these the page is raw to its end if they aren't closed; the others are then taken for any other element.
+TO_THE_END = ("script", "style", "textarea")
 # An open p, li and so on ends where one of its kind begins.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*?)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 NAME = re.compile(r"[a-z]+")
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
@@ -41,19 +44,23 @@ SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
 @dataclass
 class Block:
-    """White space made single, the names of the elements above, their class words, and characters inside links."""
+    """White space made single, the element it stands in, the names of that and those above, their class words, and
+    characters inside links."""
 
     text: str
-    tags: tuple[str, ...]
+    own: str
+    tags: frozenset[str]
     names: frozenset[str]
     linked: int
 
 
 def blocks_of(page: str | None) -> list[Block]:
     """Blocks with text in page order. Markup that isn't closed is closed where the page ends; scripts, styles, comments
-    and form fields are no text."""
+    and form fields are no text. An element shares the names above with its parent, so nesting costs nothing."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    none: frozenset[str] = frozenset()
+    stack: list[tuple[str, frozenset[str], frozenset[str]]] = []  # an open element; names and class words of it and all above
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked = 0
 
@@ -61,18 +68,28 @@ def blocks_of(page: str | None) -> list[Block]:
         nonlocal linked
         text = SPACE.sub(" ", entities.unescape("".join(parts))).strip(" ")
         if text:
-            names = frozenset().union(*(n for _, n in stack)) if stack else frozenset()
-            out.append(Block(text, tuple(t for t, _ in stack), names, linked))
+            own, tags, names = stack[-1] if stack else ("", none, none)
+            out.append(Block(text, own, tags, names, linked))
         parts.clear()
         linked = 0
 
-    page, at = page or "", 0
+    page, at, unclosed = page or "", 0, set()
+
+    def raw_end(tag: str, page: str, at: int) -> int | None:
+        """Where the content of a raw element ends; the page is searched once for one that is nowhere closed."""
+        if tag in unclosed:
+            return None
+        end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+        if end is None:
+            unclosed.add(tag)
+        return end.end() if end else None
+
     while True:
         found = TOKEN.search(page, at)
         piece = page[at : found.start()] if found else page[at:]
         if piece:
             parts.append(piece)
-            if any(t == "a" for t, _ in stack):
+            if opened["a"]:
                 linked += len(piece.strip())
         if not found:
             break
@@ -81,31 +98,39 @@ def blocks_of(page: str | None) -> list[Block]:
         if not tag:
             continue
         if closing:
-            if any(t == tag for t, _ in stack):
+            if opened[tag]:
                 if tag in BLOCK_TAGS:
                     flush()
-                while stack.pop()[0] != tag:
-                    pass
+                last = None
+                while last != tag:
+                    last = stack.pop()[0]
+                    opened[last] -= 1
             continue
         if tag == "br":
             parts.append(" ")
             continue
         if tag in RAW_TAGS:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
+            if (found[3] or "").endswith("/"):
+                continue
+            end = raw_end(tag, page, at)
+            if end is not None or tag in TO_THE_END:
+                at = len(page) if end is None else end
+                continue
         if tag in BLOCK_TAGS:
             flush()
             ends = CLOSES.get(tag, ("p",) if tag not in ("body", "html") else ())
-            for depth in range(len(stack) - 1, -1, -1):
+            for depth in range(len(stack) - 1, -1, -1) if any(opened[t] for t in ends) else ():
                 if stack[depth][0] in ends:
+                    opened.subtract(t for t, _, _ in stack[depth:])
                     del stack[depth:]
                     break
                 if stack[depth][0] in ("ul", "ol", "table", "div", "section", "article", "nav", "aside", "main", "body"):
                     break
         if tag not in VOID_TAGS:
             words = frozenset(w for _, v in ATTRIBUTE.findall(found[3] or "") for w in NAME.findall(v.lower()))
-            stack.append((tag, words))
+            _, tags, names = stack[-1] if stack else ("", none, none)
+            stack.append((tag, tags if tag in tags else tags | {tag}, names if words <= names else names | words))
+            opened[tag] += 1
     flush()
     return out
 
@@ -132,8 +157,8 @@ def features(blocks: list[Block], numbers: Numbers) -> list[list[int]]:
     for k, block in enumerate(blocks):
         text, n = block.text, len(block.text)
         words = text.count(" ") + 1
-        own = ["bias", "own:" + (block.tags[-1] if block.tags else ""), f"words:{min(words, 200).bit_length()}"]
-        own += ["tag:" + t for t in set(block.tags)]
+        own = ["bias", "own:" + block.own, f"words:{min(words, 200).bit_length()}"]
+        own += ["tag:" + t for t in block.tags]
         own += ["name:" + w for w in block.names]
         own.append(f"link:{min(4, 4 * block.linked // n)}")
         own.append(f"stop:{min(3, text.count('.') + text.count(','))}")
@@ -284,11 +309,11 @@ def extract(pages: DataFrame, field: Field, html: str = "html", text: str = "tex
     Null and empty markup gives an empty text. Character references are decoded and white space inside a block is one
     space. A column named ``text`` is replaced, others stay; every row is read on its own.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(field)
+    shared = sent(pages.sparkSession, field)
 
     @pandas_udf("string")
     def main_text(markup: pd.Series) -> pd.Series:
-        field, numbers = shared.value, Numbers()
+        field, numbers = shared(), Numbers()
         out = []
         for page in markup:
             found = blocks_of(page)

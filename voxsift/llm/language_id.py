@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from voxsift.llm.common import bounded_sample, long_rows
+from voxsift.llm.common import bounded_sample, long_rows, sent
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -129,11 +129,11 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     the higher likelihood alone, then to the one first in the alphabet. Columns of these names are replaced;
     others stay as they are, and every row is judged on its own.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = sent(docs.sparkSession, model)
 
     @pandas_udf(RESULT)
     def infer(texts: pd.Series) -> pd.DataFrame:
-        model = shared.value
+        model = shared()
         found = [model.proportions(t) for t in texts]
         best = [max(p, key=p.get) if p else UNKNOWN for p in found]
         score = [p.get(b, 0.0) for p, b in zip(found, best)]

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from voxsift.llm.common import bounded_sample, long_rows
+from voxsift.llm.common import bounded_sample, long_rows, sent
 from voxsift.llm.textbytes import IS_SPACE, LOWER, byte_array, char_grams, word_bounds, word_hashes
 from voxsift.operators.joins import join_small
 from voxsift.staging import stage
@@ -224,11 +224,11 @@ def judge(docs: DataFrame, evidence: Evidence, text: str = "text", host: str = "
     rows are, so a hot site moves one row per task. Texts are read once: the rows are staged with their evidence, without
     ``text`` if it isn't to be carried on.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(evidence)
+    shared = sent(docs.sparkSession, evidence)
 
     @pandas_udf("logit_bad double, logit_toxic double")
     def score(texts: pd.Series) -> pd.DataFrame:
-        evidence = shared.value
+        evidence = shared()
         places = evidence.places()
         return pd.DataFrame([evidence.logits(t, places) for t in texts], columns=["logit_bad", "logit_toxic"])
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from voxsift.llm.common import bounded_sample, long_rows
+from voxsift.llm.common import bounded_sample, long_rows, sent
 from voxsift.llm.textbytes import IS_SPACE, byte_array, char_grams, runs, word_bounds, word_hashes
 
 DIMENSIONS = 1 << 14
@@ -170,11 +170,11 @@ def judge(docs: DataFrame, model: QualityModel, text: str = "text", threshold: f
     Null and empty texts have no words and fail. Each row is judged on its own, so ties and repeated rows need no
     rule; columns of these names are replaced, others stay.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = sent(docs.sparkSession, model)
 
     @pandas_udf(f"{MEASURES}, chance double")
     def measured(texts: pd.Series) -> pd.DataFrame:
-        model = shared.value
+        model = shared()
         names = [part.split()[0] for part in MEASURES.split(",")] + ["chance"]
         rows = [(*measures(data, starts, words), model.chance(codes, words)) for data, codes, starts, words in map(parsed, texts)]
         return pd.DataFrame(rows, columns=names)
