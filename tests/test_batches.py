@@ -132,6 +132,114 @@ def test_stream_in_several_micro_batches(spark, folder):
     assert target.read().count() == 55
 
 
+def places(frame):
+    return {tuple(f.split("/data/")[1].split("/")[:2]) for f in frame.inputFiles()}
+
+
+def test_a_batch_reads_the_folders_its_keys_are_in(spark, folder):
+    """Four ranges of keys; a batch of ten keys opens one of them, and folding it leaves the files of the others."""
+    target = AnalysisTarget(spark, folder)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        target.seed(reviews(spark, 800))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    before = places(target.rows())
+    entries = target.manifest().orderBy("first_key").collect()
+    assert len(entries) == len(before) == 8 and sum(e["n"] for e in entries) == 800
+    assert all(a["last_key"] < b["first_key"] for a, b in zip(entries, entries[1:]))
+    read = []
+
+    class Watched(LexiconExtraction):
+        def analyse(self, rows):
+            read.append(places(rows))
+            return super().analyse(rows)
+
+    run_batches(target, Watched(domains(), WORDS), batch_size=10, max_batches=2)
+    assert [len(r) for r in read] == [1, 1]
+    after = places(target.rows())
+    assert len(after - before) == 1 and len(after & before) == 7
+    target.fold()  # nothing to fold
+    assert places(target.rows()) == after
+    run_batches(target, lexicon(), batch_size=1000)
+    assert target.pending().isEmpty() and target.read().count() == 800
+
+
+def test_failures_rewrite_only_their_folders(spark, folder):
+    target = AnalysisTarget(spark, folder)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        target.seed(reviews(spark, 400))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    run_batches(target, lexicon(), batch_size=1000, fold=False)
+    failed = target.rows().where("review_id < 9").withColumn("analysis", F.lit('{"error": "lost"}'))
+    only = AnalysisTarget(spark, folder + "/second")
+    only.seed(target.rows())
+    only.record(failed.unionByName(lexicon().analyse(target.rows().where("review_id >= 9")).select(*failed.columns)), "run", 1)
+    only.fold()
+    before = places(only.rows())
+    only.reprocess_failures()
+    assert only.pending().count() == only.manifest().agg(F.sum("pending")).first()[0]
+    assert len(places(only.rows()) - before) <= 1 and only.read().count() == 400
+
+
+def test_appends_are_written_once_and_checked_before_they_are_listed(spark, folder):
+    target = AnalysisTarget(spark, folder)
+    target.seed(reviews(spark, 10))
+    target.append(reviews(spark, 5, 10), commit="late")
+    target.append(reviews(spark, 5, 10), commit="late")
+    assert target.read().count() == 15 and target.appended("late").count() == 5
+    with pytest.raises(ValueError, match="review_id"):
+        target.append(reviews(spark, 3, 20).unionByName(reviews(spark, 1, 20)), commit="bad")
+    assert target.read().count() == 15 and not target.has("bad")
+
+
+def test_an_empty_target(spark, folder):
+    target = AnalysisTarget(spark, folder)
+    target.seed(reviews(spark, 0))
+    assert target.read().count() == 0 and run_batches(target, lexicon()) == []
+    target.insert_missing(reviews(spark, 3))
+    assert [e["rows_in"] for e in run_batches(target, lexicon())] == [3]
+
+
+def test_later_triggers_read_no_stored_reviews(spark, folder):
+    """Keys known from the target and from earlier micro-batches are state: with the stored reviews out of reach, a later
+    trigger still leaves out what came before."""
+    target = AnalysisTarget(spark, folder + "/target")
+    target.seed(reviews(spark, 10))
+    source, progress = folder + "/arriving", folder + "/progress"
+    arriving = lambda: read_review_files(spark, source, reviews(spark, 1).schema)
+    reviews(spark, 10, 5).write.parquet(source)
+    stream_analysis(arriving(), target, lexicon(), progress).awaitTermination()
+    assert target.read().count() == 15
+    opened = []
+    rows, read = AnalysisTarget.rows, AnalysisTarget._read
+    AnalysisTarget._read = lambda self, entries, places=False: opened.append([e["commit"] for e in entries]) or read(self, entries, places)
+    try:
+        reviews(spark, 16).write.mode("append").parquet(source)  # all but one were there
+        stream_analysis(arriving(), target, lexicon(), progress).awaitTermination()
+    finally:
+        AnalysisTarget._read = read
+    stored = [c for own in opened for c in own if not c.startswith("stream-")]
+    assert target.rows().count() == 16 and target.pending().isEmpty()
+    assert stored == []
+
+
+def test_a_micro_batch_repeated_after_a_lost_driver(spark, folder):
+    from voxsift.streaming.reviews import commit_micro_batch
+
+    target = AnalysisTarget(spark, folder)
+    target.seed(reviews(spark, 2))
+    batch = reviews(spark, 8, 2).withColumn("_stored", F.lit(False))
+    target._write(batch.drop("_stored").withColumn("analysis", F.lit(None).cast("string")), "stream-s-0")  # written, not listed
+    for _ in range(2):
+        commit_micro_batch(target, lexicon(), batch, 0, "s")
+    assert target.read().count() == 10 and target.pending().count() == 2
+    commit_micro_batch(target, lexicon(), batch.limit(0), 1, "s")
+    assert target.read().count() == 10
+
+
 def test_a_repeated_micro_batch_is_harmless(spark, folder):
     target = AnalysisTarget(spark, folder)
     target.seed(reviews(spark, 2))

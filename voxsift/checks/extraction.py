@@ -356,15 +356,16 @@ def s12_retried_commit(spark, sf) -> DataFrame:
 
 
 def b4_stream(spark, sf) -> DataFrame:
-    """The documents arriving as files, into a target that already holds those with a label."""
+    """The documents arriving as files, into a target that already holds those with a label; a third of them arrive a second
+    time in a later micro-batch."""
     target = AnalysisTarget(spark, fresh_path(spark, "target"))
     rows = reviews(spark, sf)
     labelled = table(spark, sf, "labels").select(F.col("doc_id").alias("review_id"))
     target.seed(rows.join(labelled, "review_id"))
-    folder = fresh_path(spark, "arriving")
-    rows.write.parquet(folder)
-    arriving = read_review_files(spark, folder, rows.schema)
-    stream_analysis(arriving, target, lexicon(), fresh_path(spark, "stream-progress")).awaitTermination()
+    folder, progress = fresh_path(spark, "arriving"), fresh_path(spark, "stream-progress")
+    for part in (rows.where("review_id % 3 < 2"), rows.where("review_id % 3 > 0")):
+        part.write.mode("append").parquet(folder)
+        stream_analysis(read_review_files(spark, folder, rows.schema), target, lexicon(), progress).awaitTermination()
     return _filled(target.read())
 
 

@@ -1,8 +1,10 @@
 """Resumable analysis of a review table: batch after batch, each committed on its own.
 
-Layout under ``root``: a published version holds ``rows`` (all reviews, sorted by key, the result
-NULL until analysed) and ``answers/run=/batch=/commit=`` (keys and results). A batch only appends answers;
-folding them into a new version of ``rows`` is one job per run, not one rewrite per batch.
+Layout under ``root``: ``data/commit=/key_range=`` holds reviews, a folder per interval of keys, the result NULL until
+analysed. A published version is a manifest that names the folders it consists of, with their first and last key and
+numbers of rows, and ``answers/run=/batch=/commit=`` with the keys and results given since. A batch, an interval
+of keys, opens only the folders that its interval meets, and appends answers. Folding answers in, or setting failures
+back, rewrites the folders that hold such keys and takes over all others as they are.
 
 Every review needs a key of its own: NULL and repeated keys are refused when rows come in, before anything
 is published. A key that was answered twice, by two runs at once, has one result: the smaller one.
@@ -11,6 +13,7 @@ is published. A key that was answered twice, by two runs at once, has one result
 from __future__ import annotations
 
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from datetime import datetime, timezone
 from typing import Any
@@ -32,6 +35,10 @@ FIRST_BATCH = 100
 LOG_SCHEMA = "run_id string, batch int, operation string, rows_in long, rows_errored long, started timestamp, ended timestamp"
 
 
+# Where a row of the target is stored.
+_PLACES = T.StructType([T.StructField("commit", T.StringType()), T.StructField("key_range", T.LongType())])
+
+
 class AnalysisTarget:
     """Reviews with their analysis documents."""
 
@@ -55,23 +62,64 @@ class AnalysisTarget:
             raise ValueError(f"nothing published under {self.root}; seed the target first")
         return self._current
 
+    def manifest(self) -> DataFrame:
+        """A row per folder of the current version; ``of`` is the number of folders of its commit."""
+        return self.spark.read.parquet(f"{self._folder()}/manifest")
+
+    def _entries(self) -> list[T.Row]:
+        """The manifest, a row for each shuffle partition's worth of reviews."""
+        return self.manifest().collect()
+
+    def _read(self, entries: list[T.Row], places: bool = False) -> DataFrame:
+        """Rows of these folders alone, with ``commit`` and ``key_range`` if wanted."""
+        schema = self.spark.read.parquet(f"{self._folder()}/columns").schema
+        if not entries:
+            found = self.spark.createDataFrame([], T.StructType([*schema.fields, *_PLACES.fields]))
+        else:
+            folders = defaultdict(list)
+            for entry in entries:
+                folders[entry["commit"]].append(entry)
+            paths = []
+            for commit, own in folders.items():
+                path = f"{self.root}/data/commit={commit}"
+                paths += [path] if len(own) == own[0]["of"] else [f"{path}/key_range={e['key_range']}" for e in own]
+            reader = self.spark.read.schema(T.StructType([*schema.fields, *_PLACES.fields])).option("basePath", f"{self.root}/data")
+            found = reader.parquet(*paths)
+        return found if places else found.select(*[F.col(f"`{c}`") for c in schema.names])
+
     def rows(self) -> DataFrame:
         """Rows of the current version, without the answers given since."""
-        return self.spark.read.parquet(f"{self._folder()}/rows")
+        return self._read(self._entries())
 
     def answers(self) -> DataFrame | None:
         """Keys and results as written since the current version; a key may be there twice."""
         path = f"{self._folder()}/answers"
         if not versions.path_exists(self.spark, path):
             return None
-        schema = self.rows().select(self.key, self.column).schema
+        schema = self.spark.read.parquet(f"{self._folder()}/columns").select(self.key, self.column).schema
         return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
 
+    def _divided(self, answers: DataFrame) -> tuple[list[T.Row], list[T.Row]]:
+        """The folders that hold answered keys, and all others. Only keys are moved for it."""
+        entries = self._entries()
+        keys = self._read(entries, places=True).select(self.key, *_PLACES.names)
+        found = keys.join(answers.select(self.key), self.key, "left_semi").groupBy(*_PLACES.names).count().collect()
+        held = {(r["commit"], r["key_range"]) for r in found}
+        touched = [e for e in entries if (e["commit"], e["key_range"]) in held]
+        return touched, [e for e in entries if (e["commit"], e["key_range"]) not in held]
+
+    def _with_answers(self, rows: DataFrame, answers: DataFrame) -> DataFrame:
+        # grouped on the join key: the group and the join share one shuffle of the answers
+        given = answers.groupBy(self.key).agg(F.min(self.column).alias("_given"))
+        both = rows.join(given, self.key, "left")
+        result = F.coalesce(F.col(self.column), F.col("_given")).alias(self.column)
+        return both.select(*[result if c == self.column else F.col(f"`{c}`") for c in rows.columns])
+
     def pending(self, batch_size: int | None = None) -> DataFrame:
         """Rows without a result, answers counted in; the first ``batch_size`` by key when given."""
         if batch_size is not None:
             return self.pending().orderBy(self.key).limit(batch_size)
-        rows, answers = pending(self.rows(), self.column), self.answers()
+        rows, answers = pending(self._read([e for e in self._entries() if e["pending"]]), self.column), self.answers()
         if answers is None:
             return rows
         # compare keys alone, then fetch the few rows left, instead of moving every text
@@ -79,15 +127,16 @@ class AnalysisTarget:
         return join_small(rows, left, [self.key], how="left_semi").select(*rows.columns)
 
     def read(self) -> DataFrame:
-        """Every review with its current result."""
-        rows, answers = self.rows(), self.answers()
+        """Every review with its current result. Folders without answered keys are read as they are; only the others are
+        joined with the answers."""
+        answers = self.answers()
         if answers is None:
-            return rows
-        # grouped on the join key: the group and the join share one shuffle of the answers
-        given = answers.groupBy(self.key).agg(F.min(self.column).alias("_given"))
-        both = rows.join(given, self.key, "left")
-        result = F.coalesce(F.col(self.column), F.col("_given")).alias(self.column)
-        return both.select(*[result if c == self.column else F.col(c) for c in rows.columns])
+            return self.rows()
+        touched, others = self._divided(answers)
+        if not touched:
+            return self._read(others)
+        joined = self._with_answers(self._read(touched), answers)
+        return joined.unionByName(self._read(others)) if others else joined
 
     def processed(self) -> DataFrame:
         return processed(self.read(), self.column)
@@ -123,28 +172,49 @@ class AnalysisTarget:
         """Append the reviews whose key is not in the target, unanalysed."""
         self.append(missing_rows(self.rows(), reviews, self.key))
 
-    def append(self, reviews: DataFrame) -> None:
-        """Append reviews that are known to be new, unanalysed."""
-        require_unique_keys(reviews, self.key)
-        new = with_empty_result(reviews, self.column).select(*self.rows().columns)
-        self._sorted(new).write.mode("append").parquet(f"{self._folder()}/rows")
+    def append(self, reviews: DataFrame, commit: str | None = None) -> None:
+        """Append reviews that are known to be new, unanalysed: written first, checked by what was written, then listed.
+
+        A ``commit`` that is listed already is not appended again; one that was written but not listed is replaced.
+        """
+        if commit is not None and self.has(commit):
+            return
+        new = with_empty_result(reviews, self.column).select(*self._read([]).columns)
+        written = self._write(new, commit or uuid.uuid4().hex[:12])
+        if written is not None:
+            self._list(written, f"{self._folder()}/manifest")
+
+    def has(self, commit: str) -> bool:
+        return not self.manifest().where(F.col("commit") == commit).isEmpty()
+
+    def appended(self, commit: str) -> DataFrame:
+        """Rows of one append that still stand in the folders it wrote."""
+        return self._read([e for e in self._entries() if e["commit"] == commit])
 
     def fold(self) -> None:
-        """Publish a version whose rows hold all answers."""
-        if self.answers() is not None:
-            self._publish(self.read(), "fold")
+        """Publish a version whose rows hold all answers; only folders with answered keys are written anew."""
+        answers = self.answers()
+        if answers is not None:
+            touched, others = self._divided(answers)
+            self._publish(self._with_answers(self._read(touched, places=True), answers), "fold", others)
 
     def reprocess_failures(self) -> None:
-        """Set failed results back to NULL, so that the next run takes these rows again."""
-        self._publish(without_failures(self.read(), self.column), "reprocess")
-
-    def record(self, analysed: DataFrame, run_id: str, batch: int, operation: str = "analyse") -> dict[str, Any]:
-        """Commit one batch of analysed rows and log it."""
+        """Set failed results back to NULL, so that the next run takes these rows again; only folders with failures are
+        written anew."""
+        self.fold()
+        entries = self._entries()
+        touched, others = [e for e in entries if e["errors"]], [e for e in entries if not e["errors"]]
+        self._publish(without_failures(self._read(touched, places=True), self.column), "reprocess", others)
+
+    def record(
+        self, analysed: DataFrame, run_id: str, batch: int, operation: str = "analyse", commit: str | None = None
+    ) -> dict[str, Any]:
+        """Commit one batch of analysed rows and log it. A ``commit`` given again replaces what it wrote before."""
         started = datetime.now(timezone.utc)
         # a folder of its own: a repeated batch, or another stream with the same numbers, is not counted in
-        path = f"{self._folder()}/answers/run={run_id}/batch={batch}/commit={uuid.uuid4().hex[:12]}"
+        path = f"{self._folder()}/answers/run={run_id}/batch={batch}/commit={commit or uuid.uuid4().hex[:12]}"
         answers = analysed.select(self.key, self.column)
-        answers.write.parquet(path)
+        answers.write.mode("errorifexists" if commit is None else "overwrite").parquet(path)
         # counted from what was written: counting `analysed` would call the model again
         written = self.spark.read.schema(answers.schema).parquet(path)
         counts = written.agg(
@@ -152,23 +222,58 @@ class AnalysisTarget:
         ).first()
         return self._log(run_id, batch, operation, counts["rows_in"], counts["rows_errored"], started)
 
-    def _sorted(self, rows: DataFrame) -> DataFrame:
-        """Sorted by key, so that a batch, an interval of keys, reads few files."""
-        return rows.repartitionByRange(F.col(self.key)).sortWithinPartitions(self.key)
-
-    def _publish(self, rows: DataFrame, operation: str) -> None:
+    def _write(self, rows: DataFrame, commit: str, unique: bool = True) -> DataFrame | None:
+        """Write rows to the folders of a commit, a folder per interval of keys (rows that come from folders: one for each of
+        those), and return the manifest's rows of them."""
+        path = f"{self.root}/data/commit={commit}"
+        if "key_range" in rows.columns:
+            place = F.concat_ws("-", "commit", F.col("key_range").cast("string")) if "commit" in rows.columns else F.col("key_range")
+            placed = rows.withColumn("_from", place).drop(*_PLACES.names).repartition("_from")
+            own = placed.withColumn("key_range", F.xxhash64("_from")).drop("_from")
+        else:
+            own = rows.repartitionByRange(F.col(self.key)).withColumn("key_range", F.spark_partition_id().cast("long"))
+        own.sortWithinPartitions("key_range", self.key).write.mode("overwrite").partitionBy("key_range").parquet(path)
+        schema = T.StructType([f for f in rows.schema.fields if f.name not in _PLACES.names])
+        written = self.spark.read.schema(T.StructType([*schema.fields, _PLACES["key_range"]])).parquet(path)
+        if unique:
+            require_unique_keys(written, self.key)
+        entries = written.groupBy("key_range").agg(
+            F.min(self.key).alias("first_key"), F.max(self.key).alias("last_key"), F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col(self.column).isNull()).alias("pending"), F.count(error_of(self.column)).alias("errors"),
+        ).collect()
+        if not entries:
+            return None
+        kind = T.StructType([
+            T.StructField("commit", T.StringType()), T.StructField("of", T.LongType()), T.StructField("key_range", T.LongType()),
+            T.StructField("first_key", schema[self.key].dataType), T.StructField("last_key", schema[self.key].dataType),
+            *[T.StructField(c, T.LongType()) for c in ("n", "pending", "errors")],
+        ])
+        return self.spark.createDataFrame([(commit, len(entries), *e) for e in entries], kind)
+
+    def _list(self, entries: DataFrame, path: str) -> None:
+        entries.coalesce(1).write.mode("append").parquet(path)
+
+    def _publish(self, rows: DataFrame, operation: str, others: list[T.Row] | None = None) -> None:
+        """A version of ``rows`` and of folders taken over from the current one."""
         started = datetime.now(timezone.utc)
         version = versions.new_version(self.root)
-        path = f"{self.root}/{version}/rows"
-        self._sorted(rows).write.parquet(path)
-        if operation == "seed":
-            require_unique_keys(self.spark.read.parquet(path), self.key)
+        folder = f"{self.root}/{version}"
+        kept = [c for c in rows.columns if c not in _PLACES.names] if others is not None else rows.columns
+        written = self._write(rows, uuid.uuid4().hex[:12], unique=operation == "seed")
+        rows.select(*[F.col(f"`{c}`") for c in kept]).limit(0).coalesce(1).write.parquet(f"{folder}/columns")
+        schema = written.schema if written is not None else (self.manifest().schema if others is not None else None)
+        if schema is None:  # no reviews at all
+            empty = self.spark.read.parquet(f"{folder}/columns").select(
+                F.lit("").alias("commit"), F.lit(0).cast("long").alias("of"), F.lit(0).cast("long").alias("key_range"),
+                F.col(self.key).alias("first_key"), F.col(self.key).alias("last_key"), *[F.lit(0).cast("long").alias(c) for c in ("n", "pending", "errors")],
+            )
+            written, schema = empty, empty.schema
+        entries = self.spark.createDataFrame(others or [], schema)
+        self._list(entries if written is None else entries.unionByName(written), f"{folder}/manifest")
         versions.publish(self.spark, self.root, version)
-        self._current = f"{self.root}/{version}"
-        counts = self.spark.read.parquet(path).agg(
-            F.count(F.lit(1)).alias("n"), F.count(error_of(self.column)).alias("errors")
-        ).first()
-        self._log(version, 0, operation, counts["n"], counts["errors"], started)
+        self._current = folder
+        counts = self.manifest().agg(F.sum("n").alias("n"), F.sum("errors").alias("errors")).first()
+        self._log(version, 0, operation, counts["n"] or 0, counts["errors"] or 0, started)
 
     def _log(self, run_id, batch, operation, rows_in, rows_errored, started) -> dict[str, Any]:
         entry = (run_id, batch, operation, rows_in, rows_errored, started, datetime.now(timezone.utc))
@@ -220,20 +325,22 @@ def run_batches(
 ) -> list[dict[str, Any]]:
     """Analyse all pending rows, ``batch_size`` per commit, and return the log entries.
 
-    The batches are key intervals fixed at the start. A run that is stopped loses at most the batch
+    The batches are key intervals fixed at the start, and a batch reads the folders that its interval meets. A run that is stopped loses at most the batch
     it was in: the next run finds the rows still pending. A row whose analysis fails gets a document
     with the error, so the run ends.
     """
-    target_rows, earlier = target.rows(), target.answers()
+    earlier, entries = target.answers(), [e for e in target._entries() if e["pending"]]
+    columns = target._read([]).columns
     run_id = uuid.uuid4().hex[:12]
     log = []
     bounds = batch_bounds(target.pending(), target.key, batch_size, first_batch)
     for bound in _in_order(bounds, max_batches):
         interval = F.col(target.key).between(bound["first_key"], bound["last_key"])
-        rows = pending(target_rows, target.column).where(interval)
+        met = [e for e in entries if e["first_key"] <= bound["last_key"] and e["last_key"] >= bound["first_key"]]
+        rows = pending(target._read(met), target.column).where(interval)
         if earlier is not None:
             rows = rows.join(earlier.where(interval).select(target.key), target.key, "left_anti")
-        analysed = extraction.analyse(rows).select(*target_rows.columns)
+        analysed = extraction.analyse(rows).select(*columns)
         log.append(target.record(analysed, run_id, bound["batch"]))
     if fold and log:
         target.fold()
