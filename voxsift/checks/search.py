@@ -13,6 +13,7 @@ from voxsift.operators.vector_search import approximate_nearest, nearest_many, v
 from voxsift.plans.review_search import search_reviews
 from voxsift.plans.topics import topic_means
 from voxsift.sources.search_index import document_terms, open_index, publish_index, scratch_index
+from voxsift.sources.vector_index import publish_vector_index
 from voxsift.staging import fresh_path
 
 TOP = 10
@@ -177,6 +178,17 @@ def j5_approximate(spark, sf) -> DataFrame:
     return approximate_nearest(_vectors(spark, sf), _first_vector(spark, sf), TOP, **_VECTOR)
 
 
+def j5_inverted_file(spark, sf) -> DataFrame:
+    """The ten nearest among the rows of the three nearest centres, for every 50th vector; centres are the means of the
+    labels."""
+    rows = _vectors(spark, sf)
+    centres = _label_queries(spark, sf).select(F.col("query").cast("int").alias("centre"), "vector")
+    index = publish_vector_index(rows, centres, fresh_path(spark, "vectors"), **_VECTOR)
+    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    near = index.search(queries, TOP, 3)
+    return near.select("query", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("distance", 6).alias("distance"))
+
+
 def a4_result_counts(spark, sf) -> DataFrame:
     """Number of text hits and of near vectors for one search."""
     text = text_search("that with", search_index(spark, sf), select=["review_id"]).agg(F.count(F.lit(1)).alias("rows"))
@@ -209,6 +221,7 @@ QUERIES: dict[str, Query] = {
     "p8_distance_threshold": p8_distance_threshold,
     "j5_vector_match": j5_vector_match,
     "j5_approximate": j5_approximate,
+    "j5_inverted_file": j5_inverted_file,
     "a4_result_counts": a4_result_counts,
 }
 
@@ -297,6 +310,12 @@ ORACLE: dict[str, str] = {
           round(1 - list_cosine_similarity(embedding::DOUBLE[], mean), 12) AS distance FROM embeddings, means m),
         k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) AS rank FROM d)
         SELECT CAST(query AS BIGINT) AS query, vec_id, rank, round(distance, 6) AS distance FROM k WHERE rank <= {TOP}""",
+    "j5_inverted_file": f"""WITH {_MEANS}, c AS (SELECT vec_id, embedding, m.label AS centre, row_number() OVER (PARTITION BY vec_id
+          ORDER BY round(1 - list_cosine_similarity(embedding::DOUBLE[], mean), 12), m.label) AS place FROM embeddings, means m),
+        d AS (SELECT q.vec_id AS query, r.vec_id, round(1 - list_cosine_similarity(r.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) AS distance
+          FROM c q JOIN c r ON q.centre = r.centre AND q.place <= 3 AND r.place = 1 WHERE q.vec_id % 50 = 0),
+        k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) AS rank FROM d)
+        SELECT query, vec_id, rank, round(distance, 6) AS distance FROM k WHERE rank <= {TOP}""",
     "a4_result_counts": f"""WITH {_TOKENS} SELECT 'text' AS search, count(*) AS rows FROM tok
           WHERE list_contains(toks, 'that') OR list_contains(toks, 'with')
         UNION ALL SELECT 'semantic', count(*) FROM embeddings WHERE {_DISTANCE} < 0.9""",
