@@ -177,3 +177,33 @@ def test_embeddings_are_requested_in_chunks(spark, tmp_path):
 
 def test_single_letters_are_no_topic_words(docs):
     assert docs.select(tokens(F.lit("a bc d"), tm.WORD_CHARS).alias("t")).first().t == ["bc"]
+
+
+@pytest.mark.parametrize("block, entries", [(1, 5), (2, 200_000), (64, 7)])
+def test_distribution_in_blocks_of_topics(spark, weights, monkeypatch, block, entries):
+    """Many blocks and slices of a few entries give what one block gives."""
+    texts = list(enumerate(["great film great actors of the game", "fun", "the film film was fun game game game", "nothing known here", "", "game " * 9, "film game"]))
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    monkeypatch.setattr(tm, "TOPIC_BLOCK", block)
+    monkeypatch.setattr(tm, "SLICE_ENTRIES", entries)
+    got = {(r.doc_id, r.topic): round(r.share, 6) for r in tm.topic_distribution(frame, weights, "doc_id", "text").collect()}
+    assert got == distribution(texts, weights.collect())
+
+
+def test_distribution_of_a_long_text_over_many_topics(spark):
+    """20,000 words and 5,000 topics: a row holds a block of topics, never words times topics."""
+    import random
+
+    draw = random.Random(3)
+    vocabulary = [f"word{n}" for n in range(2000)]
+    rows = [(t, w, 1, 1.0 + (hash_of(w) % 5), 0.1 + (t % 7)) for t in range(5000) for w in draw.sample(vocabulary, 4)]
+    weights = spark.createDataFrame(rows, "topic int, term string, tf int, idf double, weight double")
+    text = " ".join(draw.choice(vocabulary) for _ in range(20_000))
+    frame = spark.createDataFrame([(1, text), (2, "word1 word2")], "doc_id long, text string")
+    found = tm.topic_distribution(frame, weights, "doc_id", "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("share").alias("all")).collect()
+    got = {r["doc_id"]: (r["n"], round(r["all"], 9)) for r in found}
+    assert got[1][0] > 4900 and got[1][1] == 1.0 and got[2][1] == 1.0
+
+
+def hash_of(word):
+    return sum(map(ord, word))

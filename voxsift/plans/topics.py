@@ -41,6 +41,9 @@ REPRESENTATIVES = 3
 WORD_CHARS = 2
 # Topics are declared by people or found by a clustering with a given k.
 MAX_TOPICS = 10_000
+# Topics that a text's windows are compared with in one row, about; places times topics worked on at once.
+TOPIC_BLOCK = 64
+SLICE_ENTRIES = 200_000
 # Up to this many words are looked for as a list, more by a join.
 LISTED_WORDS = 2000
 
@@ -303,54 +306,62 @@ def topic_distribution(
     weights by cosine; similarities of at least ``min_similarity`` are added up per topic and scaled
     to sum 1. Texts without any such window have no rows.
 
-    The weights of a word travel as one row for all topics, and a text sends each of its words once,
-    with the positions; the windows are then formed inside the text's row.
+    Topics are taken in blocks of about ``TOPIC_BLOCK``, and a text meets only blocks with topics of its words, so what one row
+    holds is bounded by the text and the block, however many topics there are. The sum over a window is a difference of
+    running sums over the positions where a topic has weight.
     """
     weights = stage(weights, "topic-weights")
-    topics = [r["topic"] for r in weights.select("topic").distinct().orderBy("topic").limit(MAX_TOPICS + 1).collect()]
-    if len(topics) > MAX_TOPICS:
-        raise ValueError(f"more than {MAX_TOPICS} topics")
-    kind = weights.schema["topic"].dataType.simpleString()
-    order = F.create_map(*[part for i, t in enumerate(topics) for part in (F.lit(t), F.lit(i))])
-    norms = weights.groupBy("topic").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"))
-    scaled = weights.join(F.broadcast(norms), "topic").select(
-        "term", "idf", F.element_at(order, F.col("topic")).alias("at"), (F.col("weight") / F.col("_norm")).alias("w")
+    sizes = weights.groupBy("topic").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"))
+    blocks = max(1, -(-sizes.count() // TOPIC_BLOCK))
+    norms = join_small(weights, sizes, ["topic"], spread=F.col("term"))
+    scaled = norms.select(
+        "term", "idf", F.pmod(F.xxhash64("topic"), F.lit(blocks)).alias("block"), "topic", (F.col("weight") / F.col("_norm")).alias("w")
     )
-    by_topic = F.collect_list(F.struct("at", "w")).alias("by_topic")
-    packed = scaled.groupBy("term").agg(F.first("idf").alias("idf"), by_topic)
+    packed = scaled.groupBy("term", "block").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("topic", "w")).alias("by_topic"))
+    if blocks > 1:  # the length of a window counts words without weight in a block too
+        every = scaled.groupBy("term").agg(F.first("idf").alias("idf")).withColumn("block", F.lit(-1).cast("long"))
+        packed = packed.unionByName(every, allowMissingColumns=True)
 
     spread = spread_input(docs.select(key, text), key)
     words = spread.select(key, tokens(F.col(text), WORD_CHARS).alias("_t")).withColumn("_len", F.size("_t"))
     # a common word occurs in most texts: its rows are divided over several tasks
     hot = hot_keys(weights.groupBy("term").agg(F.sum("tf").alias("tf")), ["term"], "tf")
     known = join_salted(term_positions(words, "_t", [key, "_len"]), packed, ["term"], F.col(key), hot=hot)
-    entry = F.struct("positions", "idf", F.col("by_topic.at").alias("at"), F.col("by_topic.w").alias("w"))
-    per_doc = known.groupBy(key, "_len").agg(F.collect_list(entry).alias("words"))
-
-    n_topics = len(topics)
+    entry = F.struct("positions", "idf", F.col("by_topic.topic").alias("topic"), F.col("by_topic.w").alias("w"))
+    grouped = known.groupBy(key, "_len", "block").agg(F.collect_list(entry).alias("words"))
 
-    @F.arrow_udf(T.ArrayType(T.DoubleType()))
-    def shares(words: pa.Array, lengths: pa.Array) -> pa.Array:
-        found = words.flatten()  # one entry per text and distinct word
+    @F.arrow_udf("array<double>")
+    def lengths(words: pa.Array, sizes: pa.Array) -> pa.Array:
+        found, out = words.flatten(), []
         idf = found.field("idf").to_numpy(zero_copy_only=False)
-        at, w = found.field("at"), found.field("w").flatten().to_numpy()
-        topic, first_topic = at.flatten().to_numpy(), _starts(at)
         place, first_place = found.field("positions").flatten().to_numpy(), _starts(found.field("positions"))
         first_word = _starts(words)
-        out = []
-        for i, length in enumerate(lengths.to_numpy(zero_copy_only=False)):
+        for i, size in enumerate(sizes.to_numpy(zero_copy_only=False)):
             a, b = first_word[i], first_word[i + 1]
-            line = np.full(length, -1)  # which of the text's words stands at each position
-            line[place[first_place[a] : first_place[b]]] = np.repeat(np.arange(b - a), np.diff(first_place[a : b + 1]))
-            weight = np.zeros((b - a, n_topics))
-            known = slice(first_topic[a], first_topic[b])
-            weight[np.repeat(np.arange(b - a), np.diff(first_topic[a : b + 1])), topic[known]] = w[known]
-            out.append(_window_shares(line, idf[a:b], weight, window, min_similarity))
+            line = np.full(size, -1)  # which of the text's words stands at each position
+            line[place[first_place[a] : first_place[b]]] = np.repeat(np.arange(a, b), np.diff(first_place[a : b + 1]))
+            out.append(window_lengths(line, idf, window))
         return pa.array(out, pa.list_(pa.float64()))
 
-    names = F.array(*[F.lit(t) for t in topics]).cast(f"array<{kind}>")
-    spread_out = per_doc.select(key, F.posexplode(shares("words", "_len")).alias("_at", "share"))
-    return spread_out.where(F.col("share") > 0).select(key, F.get(names, F.col("_at")).alias("topic"), "share")
+    kind = weights.schema["topic"].dataType
+
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("topic", kind), T.StructField("sum", T.DoubleType())])))
+    def summed(words: pa.Array, lengths: pa.Array) -> pa.Array:
+        entries, parts = _starts(words), []
+        cost = np.cumsum(np.bincount(np.repeat(np.arange(len(words)), np.diff(entries)), minlength=len(words), weights=_links(words)))
+        cuts = np.flatnonzero(np.diff(np.floor(cost / SLICE_ENTRIES))) + 1  # some texts at a time
+        for low, high in zip([0, *cuts], [*cuts, len(words)]):
+            parts.append(_topic_sums(words.slice(low, high - low), lengths.slice(low, high - low), window, min_similarity))
+        return pa.concat_arrays([p for p in parts if p is not None] or [pa.nulls(0)])
+
+    if blocks == 1:
+        whole = grouped.withColumn("lengths", lengths("words", "_len"))
+    else:
+        measured = grouped.where("block < 0").select(key, lengths("words", "_len").alias("lengths"))
+        whole = grouped.where("block >= 0").join(measured, key)
+    sums = whole.select(key, F.explode(summed("words", "lengths")).alias("x")).select(key, "x.topic", "x.sum")
+    total = F.sum("sum").over(Window.partitionBy(key))  # at most a row per topic
+    return sums.select(key, "topic", (F.col("sum") / total).alias("share"))
 
 
 def _starts(lists: pa.Array) -> np.ndarray:
@@ -358,27 +369,69 @@ def _starts(lists: pa.Array) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
 
 
-def _window_shares(
-    line: np.ndarray, idf: np.ndarray, weight: np.ndarray, window: int, min_similarity: float
-) -> np.ndarray:
-    """Summed similarities of one text's windows to each topic, scaled to sum 1.
+def _links(words: pa.Array) -> np.ndarray:
+    """Positions times topics of each word."""
+    found = words.flatten()
+    return np.diff(_starts(found.field("positions"))) * np.diff(_starts(found.field("topic")))
+
 
-    ``line`` holds the row in ``idf`` and ``weight`` of the word at each position, -1 for unknown words.
+def window_lengths(line: np.ndarray, idf: np.ndarray, window: int) -> np.ndarray:
+    """The length of each window's vector, equal words counted together; ``line`` has the word at each position, -1 for none.
+
+    Two places at distance d stand in the windows that begin from where the later one is the last to where the earlier one
+    is the first: window - d of them in a row, so running sums of the products at each distance give all windows.
     """
-    n_topics = weight.shape[1]
     width = min(window, len(line))
-    total = np.zeros(n_topics)
-    step = max(1, 2_000_000 // (width * n_topics))
-    windows = np.lib.stride_tricks.sliding_window_view(line, width)
-    for first in range(0, len(windows), step):
-        cells = windows[first : first + step]
-        seen = cells >= 0
-        value = np.where(seen, idf[cells], 0.0)
-        dot = np.einsum("ij,ijt->it", value, weight[cells])
-        # the window's squared length, equal words counted together
-        same = (cells[:, :, None] == cells[:, None, :]) & seen[:, :, None]
-        squared = np.einsum("ij,ik,ijk->i", value, value, same)
-        similar = np.divide(dot, np.sqrt(squared)[:, None], out=np.zeros_like(dot), where=squared[:, None] > 0)
-        total += np.where(np.round(similar, 9) >= min_similarity, similar, 0.0).sum(axis=0)
-    whole = total.sum()
-    return total / whole if whole > 0 else total
+    value = np.where(line >= 0, idf[line], 0.0) if len(idf) else np.zeros(len(line))
+    squared = np.zeros(len(line) - width + 1)
+    for apart in range(width):
+        same = value[: len(line) - apart] * value[apart:] * (line[: len(line) - apart] == line[apart:])
+        running = np.concatenate([[0.0], np.cumsum(same)])
+        reach = width - apart
+        squared += (1 if apart == 0 else 2) * (running[reach : reach + len(squared)] - running[: len(squared)])
+    return np.sqrt(np.maximum(squared, 0.0))
+
+
+def _topic_sums(words: pa.Array, lengths: pa.Array, window: int, min_similarity: float) -> pa.Array | None:
+    """Per text the topics with a similar window, and the sum of these similarities.
+
+    Texts are laid end to end with room between them, so that no window reaches from one into another; a topic's places are
+    sorted there, and each window that holds one of them is a difference of running sums.
+    """
+    found = words.flatten()
+    text_of = np.repeat(np.arange(len(words)), np.diff(_starts(words)))
+    spans = pc.list_value_length(lengths).to_numpy(zero_copy_only=False)
+    begin = np.concatenate([[0], np.cumsum(spans + 2 * window)])
+    places, topics = found.field("positions"), found.field("topic")
+    n_places, n_topics = np.diff(_starts(places)), np.diff(_starts(topics))
+    names = topics.flatten().dictionary_encode()
+    at, weight = names.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.field("w").flatten().to_numpy(zero_copy_only=False)
+    place = places.flatten().to_numpy() + np.repeat(begin[text_of], n_places) + window
+    # every place of a word with every topic of it
+    many = n_places * n_topics
+    nth, wide = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many), np.repeat(n_topics, many)
+    left = np.repeat(_starts(places)[:-1], many) + nth // wide
+    right = np.repeat(_starts(topics)[:-1], many) + nth % wide
+    line = int(begin[-1]) + window
+    where = at[right] * line + place[left]
+    value = weight[right] * np.repeat(found.field("idf").to_numpy(zero_copy_only=False), many)
+    order = np.argsort(where, kind="stable")
+    where, running = where[order], np.concatenate([[0.0], np.cumsum(value[order])])
+    starts = np.unique(np.concatenate([where - k for k in range(window)])) if len(where) else where
+    own = np.searchsorted(begin, starts % line - window, side="right") - 1
+    first = starts % line - window - begin[own]
+    inside = (first >= 0) & (first < spans[own])
+    starts, own, first = starts[inside], own[inside], first[inside]
+    dot = running[np.searchsorted(where, starts + window)] - running[np.searchsorted(where, starts)]
+    length = lengths.flatten().to_numpy(zero_copy_only=False)[(_starts(lengths)[:-1][own] + first)]
+    similar = np.divide(dot, length, out=np.zeros_like(dot), where=length > 0)
+    kept = np.round(similar, 9) >= min_similarity
+    topic, own, similar = starts[kept] // line, own[kept], similar[kept]
+    group = own * max(1, len(names.dictionary)) + topic
+    keys, inverse = np.unique(group, return_inverse=True)
+    total = np.bincount(inverse, weights=similar, minlength=len(keys))
+    some = total > 0
+    keys, total = keys[some], total[some]
+    row, topic = np.divmod(keys, max(1, len(names.dictionary)))
+    values = pa.StructArray.from_arrays([names.dictionary.take(pa.array(topic)), pa.array(total)], names=["topic", "sum"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(words) + 1)), pa.int32()), values)

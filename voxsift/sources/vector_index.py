@@ -124,7 +124,7 @@ def publish_vector_index(rows: DataFrame, centres: DataFrame, root: str, key: st
     numbers = F.array(*[F.lit(n) for n, _ in known])
     match = best_match(F.col(vector), [n for n, _ in known], [v for _, v in known])
     placed = rows.drop("centre", "slice").withColumn("_match", match)
-    placed = placed.withColumn("centre", F.when(F.col("_match").isNull(), NOWHERE).otherwise(F.get(numbers, F.col("_match.place"))).cast("int")).drop("_match")
+    placed = placed.withColumn("centre", F.when(F.col("_match.place").isNull(), NOWHERE).otherwise(F.get(numbers, F.col("_match.place"))).cast("int")).drop("_match")
     counts = placed.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / slice_rows).alias("slices"))
     sizes = spark.createDataFrame(counts.collect(), "centre int, slices long")  # a row per centre
     cut = placed.join(F.broadcast(sizes), "centre").withColumn("slice", F.pmod(F.xxhash64(key), F.col("slices")).cast("int")).drop("slices")
