@@ -207,3 +207,20 @@ def test_distribution_of_a_long_text_over_many_topics(spark):
 
 def hash_of(word):
     return sum(map(ord, word))
+
+
+def test_probabilities_of_topics(spark):
+    means = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [2.0, 2.0])], "topic string, mean array<double>")
+    rows = [(1, [3.0, 0.0]), (2, [1.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0])]
+    docs = spark.createDataFrame(rows, "id int, vector array<double>")
+    found = {r["id"]: r["topics"] for r in tm.topic_probabilities(docs, means).collect()}
+    assert found[3] is None and found[4] is None and found[5] is None
+    assert [t["topic"] for t in found[1]] == ["a", "c", "b"] and [t["topic"] for t in found[2]] == ["c", "a", "b"]
+    parts = [math.exp(s / tm.TEMPERATURE) for s in (1.0, math.sqrt(0.5), 0.0)]
+    assert [round(t["probability"], 9) for t in found[1]] == [round(p / sum(parts), 9) for p in parts]
+    few = {r["id"]: r["topics"] for r in tm.topic_probabilities(docs, means, n=2).collect()}
+    assert few[1] == found[1][:2] and few[3] is None
+    words = spark.createDataFrame([("a", "x", 1)], "topic string, term string, rank int")
+    new = {r["id"]: r for r in tm.assign_new(docs, means, words).collect()}
+    assert (new[1]["topic"], new[1]["topic_words"], round(new[1]["probability"], 9)) == ("a", "x", round(found[1][0]["probability"], 9))
+    assert new[3]["topic"] is None and new[3]["probability"] is None

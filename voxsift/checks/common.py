@@ -47,7 +47,7 @@ REVIEWS = """SELECT doc_id AS review_id, CAST(doc_id % 5 + 1 AS INTEGER) AS rati
 def domains() -> DomainSet:
     """Two domains; the words to find are frequent ones of the invented texts."""
     product = Domain("product", "when {topic} is about the thing bought", "<summary of the product part>")
-    product.with_additional_info("as_advertized", "did the {topic} behave as described <yes/no/unsure>")
+    product.with_additional_info("arrived_whole", "did the {topic} arrive undamaged <yes/no/unsure>")
     delivery = Domain("Delivery", "when the review is about shipping", "<summary of the delivery part>")
     return DomainSet([product, delivery])
 

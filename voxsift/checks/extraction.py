@@ -516,7 +516,7 @@ ORACLE: dict[str, str] = {
     "l7_once_per_text": _FILLED,
     "l10_embeddings": """SELECT doc_id AS review_id, length(text) AS x, length(text) - length(replace(text, 'e', '')) AS y,
         length(text) - length(replace(text, '.', '')) AS z FROM documents""",
-    "v1_domain_view": _view_sql("p", ", CAST(NULL AS VARCHAR) AS as_advertized"),
+    "v1_domain_view": _view_sql("p", ", CAST(NULL AS VARCHAR) AS arrived_whole"),
     "v1_domain_view_capital": _view_sql("d", ""),
     "v2_catch_all_view": f"""WITH {MATCHED} SELECT review_id, 'mentions no listed word' AS details, mood AS sentiment,
         '' AS keywords, CAST(rating AS VARCHAR) AS ai_rating, 'matched no listed word' AS rationale

@@ -156,7 +156,7 @@ def t1_batches(spark, sf) -> DataFrame:
 
 
 def t5_sample(spark, sf) -> DataFrame:
-    return reviews(spark, sf).limit(10)
+    return reviews(spark, sf).orderBy("review_id").limit(10).select("review_id", "rating", "brand")
 
 
 QUERIES: dict[str, Query] = {
@@ -221,6 +221,7 @@ ORACLE: dict[str, str] = {
     "a3_pending_count": f"SELECT count(*) AS pending FROM {_PENDING}",
     "w1_surrogate_key": """SELECT row_number() OVER (ORDER BY event_type, user_id, event_id) AS n,
         event_id, event_type, user_id FROM events""",
+    "t5_sample": f"SELECT review_id, rating, brand FROM ({REVIEWS}) ORDER BY review_id LIMIT 10",
     "t1_batches": f"""WITH n AS (SELECT review_id, row_number() OVER (ORDER BY review_id) AS n FROM {_PENDING}),
         b AS (SELECT *, CASE WHEN n <= 100 THEN 1 ELSE (n - 100 - 1) // {BATCH} + 2 END AS batch FROM n)
         SELECT batch, min(review_id) AS first_key, max(review_id) AS last_key, count(*) AS rows

@@ -160,6 +160,18 @@ def tm10_assign_new(spark, sf) -> DataFrame:
     return found.select("conv_id", "turn", "topic", F.round("similarity", 5).alias("similarity"), "topic_words")
 
 
+def tm10_topic_probabilities(spark, sf) -> DataFrame:
+    """The three most probable labels of every vector, by the labels' means."""
+    rows = table(spark, sf, "embeddings")
+    means = tm.topic_means(rows.select(F.col("label").alias("topic"), F.col("embedding").alias("vector")))
+    found = tm.topic_probabilities(rows.select("vec_id", "embedding"), means, "embedding", 3)
+    listed = found.select("vec_id", F.posexplode("topics").alias("at", "t"))
+    return listed.select(
+        "vec_id", (F.col("at") + 1).cast("long").alias("rank"), "t.topic",
+        F.round("t.similarity", 6).alias("similarity"), F.round("t.probability", 6).alias("probability"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "a6_topic_sizes": a6_topic_sizes,
     "a7_class_tfidf": a7_class_tfidf,
@@ -179,6 +191,7 @@ QUERIES: dict[str, Query] = {
     "tm8_topic_info": tm8_topic_info,
     "tm9_topic_distribution": tm9_topic_distribution,
     "tm10_assign_new": tm10_assign_new,
+    "tm10_topic_probabilities": tm10_topic_probabilities,
 }
 
 
@@ -256,6 +269,12 @@ ORACLE: dict[str, str] = {
           ON r.topic = s.topic
         LEFT JOIN (SELECT topic, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY n) AS representative_docs
           FROM reps WHERE n <= 3 GROUP BY topic) d ON d.topic = s.topic""",
+    "tm10_topic_probabilities": """WITH means AS (SELECT label, list(x ORDER BY pos) AS mean FROM (SELECT label, pos, avg(x) AS x FROM
+          (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL) GROUP BY label),
+        s AS (SELECT vec_id, m.label AS topic, round(list_cosine_similarity(embedding::DOUBLE[], mean), 12) AS similarity FROM embeddings, means m),
+        p AS (SELECT *, exp(similarity / 0.1) / sum(exp(similarity / 0.1)) OVER (PARTITION BY vec_id) AS probability,
+          row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, topic) AS rank FROM s)
+        SELECT vec_id, rank, topic, round(similarity, 6) AS similarity, round(probability, 6) AS probability FROM p WHERE rank <= 3""",
     "tm9_topic_distribution": f"""WITH {_weights_sql('lang')},
         norms AS (SELECT topic, sqrt(sum(weight * weight)) AS norm FROM w GROUP BY topic),
         wins AS (SELECT doc_id, s, toks[s : s + least(4, len(toks)) - 1] AS win FROM

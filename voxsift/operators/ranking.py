@@ -22,8 +22,8 @@ def top_k(
     """The first ``k`` rows in ``order``, all when ``k`` is None, per group of ``by`` when given. ``order`` must be total.
 
     With a large k a group is ranked in two steps, first within slices of it (``spread`` picks the
-    slice, for example the primary key), then over the at most k rows left of each slice. The second
-    step sees slices x k rows however large the group is.
+    slice, for example the primary key), then over the at most k rows left of each slice: these are
+    numbered over range partitions, so that no step is one task's work, however large k is.
     """
     order = list(order)
     by = list(by)
@@ -44,11 +44,9 @@ def top_k(
         .where(F.col("_within") <= k)
         .drop("_within", "_slice")
     )
+    out = _numbered(kept, order, by, position).where(F.col(position) <= k)
     if not by and rank is None:
-        return kept.orderBy(*order).limit(k)
-    # without groups this last window sees only the slices x k rows kept above
-    over = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    out = kept.withColumn(position, F.row_number().over(over.orderBy(*order))).where(F.col(position) <= k)
+        out = out.orderBy(position)
     return out if rank else out.drop(position)
 
 

@@ -18,7 +18,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from voxsift.functions.text import term_counts, term_positions, tokens
-from voxsift.functions.vectors import best_match
+from voxsift.functions.vectors import BLOCK_NUMBERS, DECIMALS, batch_matrix, best_match, unit
 from voxsift.operators.joins import has_at_most, hot_keys, join_salted, join_small
 from voxsift.operators.ranking import top_k
 from voxsift.operators.vector_search import similarity, unit_vectors
@@ -39,6 +39,8 @@ NAME_WORDS = 4
 REPRESENTATIVES = 3
 # Single characters say little about a topic.
 WORD_CHARS = 2
+# How far apart similarities must be for one topic to be much more probable than another.
+TEMPERATURE = 0.1
 # Topics are declared by people or found by a clustering with a given k.
 MAX_TOPICS = 10_000
 # Topics that a text's windows are compared with in one row, about; places times topics worked on at once.
@@ -289,9 +291,51 @@ def model_labels(
 # --- topics of new text -----------------------------------------------------------------------------
 
 
+def topic_probabilities(
+    docs: DataFrame, means: DataFrame, vector: str = "vector", n: int | None = None, temperature: float = TEMPERATURE
+) -> DataFrame:
+    """``docs`` with the array ``topics`` of topic, similarity and probability, most probable first; ``n`` of them when given.
+
+    The probability is the topic's part of the sum of exp(similarity / ``temperature``) over all topics, also those
+    beyond ``n``. Equal similarities come by topic. NULL for documents without a usable vector. Worked out in the scan, some
+    rows at a time, so that rows times topics held at once are bounded.
+    """
+    names, vectors = _named_vectors(means)
+    kind = means.schema["topic"].dataType
+    if not names:
+        raise ValueError("nothing to compare with")
+    matrix, listed = np.stack([unit(v) for v in vectors]), pa.array(names)
+
+    @F.arrow_udf(T.ArrayType(T.StructType([
+        T.StructField("topic", kind), T.StructField("similarity", T.DoubleType()), T.StructField("probability", T.DoubleType())
+    ])))
+    def ranked(vectors: pa.Array) -> pa.Array:
+        rows, scaled = batch_matrix(vectors, matrix.shape[1])
+        wide, step = min(n or len(names), len(names)), max(1, BLOCK_NUMBERS // len(names))
+        place, similar, chance = np.empty((len(rows), wide), np.int64), np.empty((len(rows), wide)), np.empty((len(rows), wide))
+        for at in range(0, len(rows), step):
+            near = np.round(scaled[at : at + step] @ matrix.T, DECIMALS)
+            part = np.exp((near - near.max(axis=1, keepdims=True)) / temperature)
+            order = np.argsort(-near, axis=1, kind="stable")[:, :wide]
+            place[at : at + step], similar[at : at + step] = order, np.take_along_axis(near, order, axis=1)
+            chance[at : at + step] = np.take_along_axis(part / part.sum(axis=1, keepdims=True), order, axis=1)
+        values = pa.StructArray.from_arrays(
+            [listed.take(pa.array(place.ravel())), pa.array(similar.ravel()), pa.array(chance.ravel())], names=["topic", "similarity", "probability"]
+        )
+        held = np.zeros(len(vectors), bool)
+        held[rows] = True
+        ends = np.concatenate([[0], np.cumsum(held * wide)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~held, False)), values)
+
+    return docs.withColumn("topics", ranked.asNondeterministic()(vector))
+
+
 def assign_new(docs: DataFrame, means: DataFrame, words: DataFrame, vector: str = "vector") -> DataFrame:
-    """New documents with topic, similarity and the topic's words."""
-    return nearest_topic(docs, means, vector).join(
+    """New documents with topic, similarity, the topic's probability among all, and its words."""
+    best = F.get("topics", F.lit(0))
+    found = topic_probabilities(docs, means, vector, 1)
+    found = found.select(*[F.col(f"`{c}`") for c in docs.columns if c != "topic"], *[best[c].alias(c) for c in ("topic", "similarity", "probability")])
+    return found.join(
         F.broadcast(topic_labels(words).withColumnRenamed("label", "topic_words")), "topic", "left"
     )
 
