@@ -110,6 +110,15 @@ def tm5_diverse_words(spark, sf) -> DataFrame:
     return tm.diverse_words(_candidates(spark, sf), _word_vectors(spark, sf), tm.topic_means(_embedded(spark, sf)))
 
 
+def tm5_diverse_words_counted(spark, sf) -> DataFrame:
+    """With a vector made of each document's own words, so that all documents count."""
+    docs = tm.with_tokens(table(spark, sf, "documents").select("doc_id", F.col("source").alias("topic"), "text"), "text")
+    known = docs.withColumn("vector", counted_vector(F.col("tokens")))
+    candidates = _candidates(spark, sf)
+    words = tm.diverse_words(candidates, tm.word_vectors(known, candidates), tm.topic_means(known))
+    return words.select("topic", "term", F.col("rank").cast("long").alias("rank"))
+
+
 def tm6_centroid_words(spark, sf) -> DataFrame:
     return tm.centroid_words(_candidates(spark, sf), _word_vectors(spark, sf), tm.topic_means(_embedded(spark, sf)))
 
@@ -184,6 +193,7 @@ QUERIES: dict[str, Query] = {
     "tm3_cluster_rest": tm3_cluster_rest,
     "tm4_topic_words": tm4_topic_words,
     "tm5_diverse_words": tm5_diverse_words,
+    "tm5_diverse_words_counted": tm5_diverse_words_counted,
     "tm6_centroid_words": tm6_centroid_words,
     "tm6_centroid_words_given": tm6_centroid_words_given,
     "tm6_centroid_words_counted": tm6_centroid_words_counted,
@@ -240,6 +250,27 @@ ORACLE: dict[str, str] = {
           FROM cand JOIN wv USING (term) JOIN means USING (topic)),
         best AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY similarity DESC, term) AS rank FROM sims)
         SELECT topic, term, rank, round(similarity, 6) AS similarity FROM best WHERE rank <= 10""",
+    "tm5_diverse_words_counted": f"""WITH RECURSIVE {_weights_sql('source')},
+        cand AS (SELECT topic, term, rank FROM ranked WHERE rank <= 30),
+        long AS (SELECT doc_id, unnest(v) AS x, unnest(generate_series(1, len(v))) AS pos
+          FROM (SELECT doc_id, {sql_counted_vector('toks')} AS v FROM tok)),
+        used AS (SELECT DISTINCT doc_id, term FROM words WHERE term IN (SELECT term FROM cand)),
+        wv AS (SELECT term, list(x ORDER BY pos) AS v FROM (SELECT term, pos, avg(x) AS x FROM used JOIN long USING (doc_id)
+          GROUP BY term, pos) GROUP BY term),
+        means AS (SELECT topic, list(x ORDER BY pos) AS mean FROM (SELECT topic, pos, avg(x) AS x FROM tok
+          JOIN long USING (doc_id) GROUP BY topic, pos) GROUP BY topic),
+        rel AS (SELECT topic, term, row_number() OVER (PARTITION BY topic ORDER BY rank) AS i, v, list_cosine_similarity(v, mean) AS relevance
+          FROM cand JOIN wv USING (term) JOIN means USING (topic)),
+        near AS (SELECT a.topic, a.i, any_value(a.term) AS term, any_value(a.relevance) AS relevance,
+          list(list_cosine_similarity(a.v, b.v) ORDER BY b.i) AS close FROM rel a JOIN rel b USING (topic) GROUP BY a.topic, a.i),
+        pick AS (SELECT topic, [i] AS chosen FROM (SELECT topic, i, row_number() OVER (PARTITION BY topic ORDER BY round(relevance, 9) DESC, i) AS k
+            FROM near) WHERE k = 1
+          UNION ALL SELECT topic, list_append(chosen, i) FROM (SELECT p.topic, p.chosen, n.i, row_number() OVER (PARTITION BY p.topic
+              ORDER BY round(0.6 * n.relevance - 0.4 * list_max(list_transform(p.chosen, lambda j: n.close[j])), 9) DESC, n.i) AS k
+            FROM pick p JOIN near n ON n.topic = p.topic AND NOT list_contains(p.chosen, n.i) WHERE len(p.chosen) < 10) WHERE k = 1),
+        done AS (SELECT topic, arg_max(chosen, len(chosen)) AS chosen FROM pick GROUP BY topic)
+        SELECT d.topic, n.term, CAST(list_position(d.chosen, n.i) AS BIGINT) AS rank FROM done d JOIN near n
+          ON n.topic = d.topic AND list_contains(d.chosen, n.i)""",
     "tm6_centroid_words_counted": f"""WITH {_weights_sql('source')},
         cand AS (SELECT topic, term FROM ranked WHERE rank <= 30),
         long AS (SELECT doc_id, unnest(v) AS x, unnest(generate_series(1, len(v))) AS pos

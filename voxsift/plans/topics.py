@@ -6,8 +6,9 @@ Frames used throughout: ``assigned`` has a document key, a ``topic`` and the tex
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
@@ -15,7 +16,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from voxsift.functions.text import term_counts, term_positions, tokens
 from voxsift.functions.vectors import BLOCK_NUMBERS, DECIMALS, batch_matrix, best_match, unit
@@ -243,31 +244,38 @@ def diverse_words(
 ) -> DataFrame:
     """topic, term, rank by maximal marginal relevance.
 
-    ``candidates`` are the ranked words of each topic, a fixed number of them, so a topic's choice is
-    made in one task; ``vectors`` and ``means`` come from ``word_vectors`` and ``topic_means``.
+    ``candidates`` are the ranked words of each topic, a fixed number of them; ``vectors`` and ``means`` come from
+    ``word_vectors`` and ``topic_means``. The first word is the one nearest to the mean; each next one has the most left of
+    its nearness, weighed against that to the nearest word chosen already. Equal values (to 9 decimals) go by rank. A topic
+    is one row of its candidates and their closeness to each other; the rounds are a fold over it.
     """
 
-    def choose(topic: pd.DataFrame) -> pd.DataFrame:
-        topic = topic.sort_values("rank").reset_index(drop=True)
-        words = _unit_rows(topic["vector"])
-        relevance = words @ _unit_rows(topic["mean"])[0]
-        chosen = [int(np.argmax(relevance))]
-        while len(chosen) < min(n, len(topic)):
-            closeness = (words @ words[chosen].T).max(axis=1)
-            gain = (1 - diversity) * relevance - diversity * closeness
-            gain[chosen] = -np.inf
-            chosen.append(int(np.argmax(np.round(gain, 9))))
-        out = topic.loc[chosen, ["topic", "term"]]
-        return out.assign(rank=range(1, len(chosen) + 1))
-
-    kind = candidates.schema["topic"].dataType.simpleString()
+    def near(a: Column, b: Column) -> Column:
+        return F.coalesce(similarity(a, b), F.lit(0.0))  # a vector without a direction is near to nothing
+
     joined = candidates.select("topic", "term", "rank").join(vectors, "term").join(means.select("topic", "mean"), "topic")
-    return joined.groupBy("topic").applyInPandas(choose, f"topic {kind}, term string, rank int")
+    word = F.struct("rank", "term", "vector", near(F.col("vector"), F.col("mean")).alias("relevance"))
+    listed = joined.groupBy("topic").agg(F.sort_array(F.collect_list(word)).alias("words"))
+    listed = listed.withColumn("close", F.transform("words", lambda a: F.transform("words", lambda b: near(a["vector"], b["vector"]))))
+    places, last = F.sequence(F.lit(0), F.size("words") - 1), F.least(F.lit(n), F.size("words"))
+
+    def best(places: Column, gain: Callable[[Column], Column]) -> Column:
+        return -F.array_max(F.transform(places, lambda i: F.struct(F.round(gain(i), 9), (-i).alias("place"))))["place"]
+
+    def relevance(i: Column) -> Column:
+        return F.get(F.col("words"), i)["relevance"]
+
+    def next_to(chosen: Column) -> Column:
+        def gain(i: Column) -> Column:
+            nearest = F.array_max(F.transform(chosen, lambda j: F.get(F.get(F.col("close"), i), j)))
+            return (1 - diversity) * relevance(i) - diversity * nearest
 
+        return best(F.filter(places, lambda i: ~F.array_contains(chosen, i)), gain)
 
-def _unit_rows(vectors: pd.Series) -> np.ndarray:
-    matrix = np.stack([np.asarray(v, dtype=float) for v in vectors])
-    return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+    first = F.array(best(places, relevance))
+    rounds = F.aggregate(F.sequence(F.lit(2), last), first, lambda chosen, _: F.concat(chosen, F.array(next_to(chosen))))
+    chosen = listed.select("topic", "words", F.posexplode(F.when(last > 1, rounds).otherwise(first)).alias("at", "place"))
+    return chosen.select("topic", F.get("words", F.col("place"))["term"].alias("term"), (F.col("at") + 1).alias("rank"))
 
 
 def centroid_words(candidates: DataFrame, vectors: DataFrame, means: DataFrame, n: int = TOP_WORDS) -> DataFrame:
