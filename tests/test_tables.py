@@ -177,16 +177,16 @@ def test_only_hot_keys_are_divided(spark, how):
 
 
 def test_a_large_k_is_no_single_tasks_work(spark):
-    """100,000 of 300,000 rows: no step of the plan takes all rows into one partition or cuts them in one task."""
+    """200,000 of 300,000 rows: no step of the plan takes all rows into one partition or cuts them in one task."""
     from voxsift.operators import ranking
 
     rows = spark.range(300_000).select("id", (F.pmod(F.xxhash64("id"), F.lit(1000)) / 7.0).alias("score"))
-    found = top_k(rows, 100_000, [F.desc("score"), F.asc("id")], F.col("id"))
+    found = top_k(rows, 200_000, [F.desc("score"), F.asc("id")], F.col("id"))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Limit" not in plan and "TakeOrdered" not in plan
     # the only single partition is that of the partitions' sizes
     assert plan.count("SinglePartition") <= 1
     got = found.collect()
-    want = rows.orderBy(F.desc("score"), F.asc("id")).limit(100_000).collect()
+    want = rows.orderBy(F.desc("score"), F.asc("id")).limit(200_000).collect()
     assert got == want
-    assert ranking.SMALL_K < 100_000
+    assert 200_000 * int(spark.conf.get("spark.sql.shuffle.partitions")) > ranking.ONE_TASK_ROWS

@@ -14,6 +14,8 @@ from voxsift.staging import shuffle_partitions, stage
 # Up to these k the tasks x k rows that are left fit one task.
 SMALL_K = 1000
 SMALL_GROUP_K = 100
+# Rows left of all slices of a group, at most, that one task ranks.
+ONE_TASK_ROWS = 1_000_000
 
 
 def top_k(
@@ -22,8 +24,8 @@ def top_k(
     """The first ``k`` rows in ``order``, all when ``k`` is None, per group of ``by`` when given. ``order`` must be total.
 
     With a large k a group is ranked in two steps, first within slices of it (``spread`` picks the
-    slice, for example the primary key), then over the at most k rows left of each slice: these are
-    numbered over range partitions, so that no step is one task's work, however large k is.
+    slice, for example the primary key), then over the at most k rows left of each slice. Where these could
+    be more than ONE_TASK_ROWS they are numbered over range partitions, so that no task's work grows with k.
     """
     order = list(order)
     by = list(by)
@@ -44,9 +46,13 @@ def top_k(
         .where(F.col("_within") <= k)
         .drop("_within", "_slice")
     )
-    out = _numbered(kept, order, by, position).where(F.col(position) <= k)
+    if slices * k > ONE_TASK_ROWS:
+        out = _numbered(kept, order, by, position).where(F.col(position) <= k)
+        return out if rank else (out if by else out.orderBy(position)).drop(position)
     if not by and rank is None:
-        out = out.orderBy(position)
+        return kept.orderBy(*order).limit(k)
+    over = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    out = kept.withColumn(position, F.row_number().over(over.orderBy(*order))).where(F.col(position) <= k)
     return out if rank else out.drop(position)
 
 
