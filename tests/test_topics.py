@@ -98,6 +98,78 @@ def test_small_clusters_are_outliers(spark):
     assert by_blob == {0: (0, 60), 1: (1, 40), 2: (-1, 4), None: (-1, 1)}
 
 
+def lloyd(points, centres, rounds):
+    """Rounds written out point by point: the nearest centre by cosine, the lower number on a tie."""
+    points, centres = [p / np.linalg.norm(p) for p in points], [np.array(c, float) for c in centres]
+
+    def nearest():
+        return [int(np.argmax([round(p @ c / np.linalg.norm(c), 12) for c in centres])) for p in points]
+
+    for _ in range(rounds):
+        near = nearest()
+        centres = [np.mean([p for p, c in zip(points, near) if c == k], axis=0) if k in near else old for k, old in enumerate(centres)]
+    return nearest()
+
+
+def test_clusters_from_given_centres(spark):
+    draw = np.random.default_rng(3)
+    vectors = draw.normal(size=(90, 5))
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(vectors)]
+    odd = [(90, None), (91, [0.0] * 5), (92, [1.0, None, 0.0, 0.0, 0.0]), (93, [1.0, 2.0])]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, vector array<double>")
+    # the third centre equals the second, so no vector is nearest to it
+    begin = [vectors[0], vectors[1], vectors[1], vectors[2]]
+    centres = spark.createDataFrame([(k, [float(x) for x in v], 0) for k, v in enumerate(begin)], "topic int, mean array<double>, rows long")
+    for rounds in (0, 1, 6):
+        want = lloyd(vectors, begin, rounds)
+        sizes = sorted(((-want.count(c), c) for c in set(want) if want.count(c) >= 15))
+        number = {c: n for n, (_, c) in enumerate(sizes)}
+        got = {r.doc_id: r.topic for r in tm.cluster_from(docs, "doc_id", centres, rounds).collect()}
+        assert got == {k: number.get(c, -1) for k, c in enumerate(want)} | {k: -1 for k, _ in odd}
+
+
+def test_rounds_move_no_points(spark):
+    """A round shuffles sums of the centres, not vectors."""
+    rows = blobs(spark).drop("topic")
+    centres = tm.drawn_centres(rows, "doc_id", 3)
+    assert centres.count() == 3 and {r.topic for r in centres.collect()} == {0, 1, 2}
+    near = tm.nearest_topic(rows, centres)
+    plan = tm.topic_means(near)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "partial_" in plan
+    assert tm.cluster_from(rows.limit(0), "doc_id", centres).count() == 0
+
+
+def test_projection_against_plain_sums(spark, monkeypatch):
+    monkeypatch.setattr(tm, "BLOCK_NUMBERS", 70 * 8)  # a few words at a time
+    draw = np.random.default_rng(4)
+    texts = [[f"w{int(x)}" for x in draw.zipf(1.5, size=int(n)) if x < 60] for n in draw.integers(0, 200, 40)] + [None, [], [None, "w1"], ["unseen"]]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, tokens array<string>")
+    model = tm.fit_projection(docs.where("doc_id < 41"), size=7, dim=70, seed=5)
+    assert len(model.terms) == 7 and len(model.signs("w1")) == 70 and model.signs("w1") != model.signs("w2")
+    got = {r.doc_id: r.vector for r in tm.project(docs, model).collect()}
+    for k, words in enumerate(texts):
+        total = np.zeros(70)
+        for w in words or []:
+            if w in model.terms:
+                total += np.array(model.signs(w)) * model.idf[model.terms.index(w)]
+        if not total.any():
+            assert got[k] is None
+        else:
+            assert got[k] == pytest.approx(list(total / np.linalg.norm(total)))
+    assert sum(v is not None for v in got.values()) > 30
+    with pytest.raises(ValueError, match="numbers in a projection"):
+        tm.fit_projection(docs, size=100, dim=64)
+
+
+def test_projection_keeps_cosines(spark):
+    same = ["alpha beta gamma delta", "alpha beta gamma epsilon", "one two three four"]
+    docs = spark.createDataFrame([(k, t.split()) for k, t in enumerate(same)], "doc_id long, tokens array<string>")
+    vectors = {r.doc_id: np.array(r.vector) for r in tm.project(docs, tm.fit_projection(docs, dim=1000, size=50)).collect()}
+    often, rare = math.log(4 / 3) ** 2, math.log(4 / 2) ** 2  # squared weights of words of two documents and of one
+    assert vectors[0] @ vectors[1] == pytest.approx(3 * often / (3 * often + rare), abs=0.1)
+    assert vectors[0] @ vectors[2] == pytest.approx(0, abs=0.1)
+
+
 def test_zero_shot_and_new_documents(spark):
     rows = blobs(spark)
     means = tm.topic_means(rows.where("topic IS NOT NULL"))

@@ -11,6 +11,8 @@ from voxsift.staging import stage
 
 MIN_SIMILARITY = 0.2  # the given vectors are only weakly clustered
 CLUSTERS = 12
+ROUNDS = 5
+PROJECTED_WORDS = 1000
 
 
 def _assigned(spark, sf, topic: str = "source") -> DataFrame:
@@ -71,6 +73,21 @@ def tm1_embed_documents(spark, sf) -> DataFrame:
     return _embedded(spark, sf).select("doc_id", F.transform("vector", lambda x: F.round(x, 5)).alias("vector"))
 
 
+def tm1_embed_projected(spark, sf) -> DataFrame:
+    """A row per number of each document's projected vector."""
+    rows = _projected(spark, sf).select("doc_id", F.posexplode_outer("vector").alias("at", "x"))
+    # a tiny negative number must not become -0
+    return rows.select("doc_id", F.col("at").cast("long").alias("at"), (F.round("x", 6) + 0.0).alias("x"))
+
+
+def _projected(spark, sf) -> DataFrame:
+    def make() -> DataFrame:
+        docs = tm.with_tokens(table(spark, sf, "documents").select("doc_id", F.col("source").alias("topic"), "text"), "text")
+        return stage(tm.project(docs, tm.fit_projection(docs, size=PROJECTED_WORDS)), "projected")
+
+    return once(spark, sf, "projected", make)
+
+
 def _embedded(spark, sf) -> DataFrame:
     def make() -> DataFrame:
         docs = tm.with_tokens(table(spark, sf, "documents").select("doc_id", F.col("source").alias("topic"), "text"), "text")
@@ -90,6 +107,14 @@ def tm3_cluster_rest(spark, sf) -> DataFrame:
     return tm.cluster_rest(found.where("topic IS NULL").drop("topic"), "vec_id", CLUSTERS, "embedding")
 
 
+def tm3_cluster_rounds(spark, sf) -> DataFrame:
+    """Clusters of the same vectors by five rounds from drawn centres."""
+    found = tm.zero_shot(_vectors(spark, sf).drop("label"), _means(spark, sf), "embedding", MIN_SIMILARITY)
+    rest = stage(found.where("topic IS NULL").select("vec_id", "embedding"), "rest")
+    centres = tm.drawn_centres(rest, "vec_id", CLUSTERS, "embedding")
+    return tm.cluster_from(rest, "vec_id", centres, ROUNDS, "embedding")
+
+
 def tm4_topic_words(spark, sf) -> DataFrame:
     return tm.top_words(_weights(spark, sf, "lang")).select("topic", "term", F.col("rank").cast("long").alias("rank"))
 
@@ -142,6 +167,14 @@ def tm6_centroid_words_counted(spark, sf) -> DataFrame:
     return words.select("topic", "term", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
 
 
+def tm6_centroid_words_projected(spark, sf) -> DataFrame:
+    """With the projected vectors of the documents' words."""
+    known, candidates = _projected(spark, sf), _candidates(spark, sf)
+    usable = known.where("vector IS NOT NULL")
+    words = tm.centroid_words(candidates, tm.word_vectors(usable, candidates), tm.topic_means(usable))
+    return words.select("topic", "term", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
+
+
 def _first_words(settings):
     """Stand-in for a language model: the first three words of the prompt's word list."""
     return lambda prompts: prompts.map(lambda p: " / ".join(p.rsplit("words: ", 1)[1].split(", ")[:3]))
@@ -189,14 +222,17 @@ QUERIES: dict[str, Query] = {
     "f19_topic_labels": f19_topic_labels,
     "j6_zero_shot_pairs": j6_zero_shot_pairs,
     "tm1_embed_documents": tm1_embed_documents,
+    "tm1_embed_projected": tm1_embed_projected,
     "tm2_zero_shot": tm2_zero_shot,
     "tm3_cluster_rest": tm3_cluster_rest,
+    "tm3_cluster_rounds": tm3_cluster_rounds,
     "tm4_topic_words": tm4_topic_words,
     "tm5_diverse_words": tm5_diverse_words,
     "tm5_diverse_words_counted": tm5_diverse_words_counted,
     "tm6_centroid_words": tm6_centroid_words,
     "tm6_centroid_words_given": tm6_centroid_words_given,
     "tm6_centroid_words_counted": tm6_centroid_words_counted,
+    "tm6_centroid_words_projected": tm6_centroid_words_projected,
     "tm7_model_labels": tm7_model_labels,
     "tm8_topic_info": tm8_topic_info,
     "tm9_topic_distribution": tm9_topic_distribution,
@@ -225,6 +261,29 @@ _MEANS = """means AS (SELECT label, list(x ORDER BY pos) AS mean FROM (SELECT la
   best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, label) AS n
     FROM pairs) WHERE n = 1)"""
 
+
+def _rounds_sql(rounds: int) -> str:
+    """a0, c1, a1, ...: vectors with their nearest centre, and the centres they move to."""
+    near = """a{r} AS MATERIALIZED (SELECT vec_id, v, c FROM (SELECT u.vec_id, u.v, c.c, row_number() OVER (PARTITION BY u.vec_id
+    ORDER BY round(list_cosine_similarity(u.v, c.v), 12) DESC, c.c) AS n FROM u, c{r} c) WHERE n = 1)"""
+    moved = """c{n} AS MATERIALIZED (SELECT p.c, coalesce(m.v, p.v) AS v FROM c{r} p LEFT JOIN (SELECT c, list(x ORDER BY pos) AS v
+    FROM (SELECT c, pos, avg(x) AS x FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{r}) GROUP BY c, pos)
+    GROUP BY c) m USING (c))"""
+    steps = [f"{near},\n  {moved}".format(r=r, n=r + 1) for r in range(rounds)]
+    return ",\n  ".join([*steps, near.format(r=rounds)])
+
+
+def _projected_sql() -> str:
+    """proj: doc_id, pos (from 1), x of every document with a vector; needs tok."""
+    return f"""df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(toks) AS term FROM tok) GROUP BY term),
+  voc AS (SELECT term, ln(((SELECT count(*) FROM tok) + 1) / (df + 1)) AS idf, sha256('1:0:' || term) AS h
+    FROM df ORDER BY df DESC, term LIMIT {PROJECTED_WORDS}),
+  tfs AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM tok) GROUP BY doc_id, term),
+  raw AS (SELECT doc_id, pos, sum(tf * idf * CASE WHEN substr(h, pos, 1) >= '8' THEN 1 ELSE -1 END) AS x
+    FROM tfs JOIN voc USING (term), generate_series(1, 64) g(pos) GROUP BY doc_id, pos),
+  proj AS (SELECT doc_id, pos, x / len AS x FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS len FROM raw) WHERE len > 0)"""
+
+
 ORACLE: dict[str, str] = {
     "a6_topic_sizes": "SELECT source AS topic, count(*) AS count FROM documents GROUP BY source",
     "a7_class_tfidf": f"""WITH {_weights_sql('source')} SELECT topic, term, tf, round(weight, 9) AS weight FROM w""",
@@ -236,6 +295,16 @@ ORACLE: dict[str, str] = {
     "j6_zero_shot_pairs": f"WITH {_MEANS} SELECT vec_id, label AS best FROM best WHERE similarity >= {MIN_SIMILARITY}",
     "tm2_zero_shot": f"""WITH {_MEANS} SELECT vec_id, CASE WHEN similarity >= {MIN_SIMILARITY} THEN label END AS topic,
         round(similarity, 6) AS similarity FROM best""",
+    "tm1_embed_projected": f"""WITH tok AS (SELECT doc_id, {sql_tokens('text', 2)} AS toks FROM documents), {_projected_sql()}
+        SELECT d.doc_id, pos - 1 AS at, round(x, 6) + 0.0::DOUBLE AS x FROM documents d LEFT JOIN proj p ON p.doc_id = d.doc_id""",
+    "tm3_cluster_rounds": f"""WITH {_MEANS},
+        u AS MATERIALIZED (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS v
+          FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings JOIN best USING (vec_id) WHERE similarity < {MIN_SIMILARITY})),
+        c0 AS MATERIALIZED (SELECT n - 1 AS c, v FROM (SELECT v, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) AS n
+          FROM u) WHERE n <= {CLUSTERS}),
+        {_rounds_sql(ROUNDS)},
+        numbered AS (SELECT c, row_number() OVER (ORDER BY count(*) DESC, c) - 1 AS topic FROM a{ROUNDS} GROUP BY c HAVING count(*) >= 15)
+        SELECT vec_id, CAST(coalesce(topic, -1) AS INTEGER) AS topic FROM a{ROUNDS} LEFT JOIN numbered USING (c)""",
     "tm4_topic_words": f"WITH {_weights_sql('lang')} SELECT topic, term, rank FROM ranked WHERE rank <= 10",
     "tm6_centroid_words_given": f"""WITH {_weights_sql('source')},
         cand AS (SELECT topic, term FROM ranked WHERE rank <= 30),
@@ -284,6 +353,19 @@ ORACLE: dict[str, str] = {
           FROM cand JOIN wv USING (term) JOIN means USING (topic)),
         best AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY similarity DESC, term) AS rank FROM sims)
         SELECT topic, term, rank, round(similarity, 6) AS similarity FROM best WHERE rank <= 10""",
+    "tm6_centroid_words_projected": f"""WITH {_weights_sql('source')},
+        cand AS (SELECT topic, term FROM ranked WHERE rank <= 30),
+        {_projected_sql()},
+        long AS (SELECT doc_id, x, pos FROM proj),
+        used AS (SELECT DISTINCT doc_id, term FROM words WHERE term IN (SELECT term FROM cand)),
+        wv AS (SELECT term, list(x ORDER BY pos) AS v FROM (SELECT term, pos, avg(x) AS x FROM used JOIN long USING (doc_id)
+          GROUP BY term, pos) GROUP BY term),
+        means AS (SELECT topic, list(x ORDER BY pos) AS mean FROM (SELECT topic, pos, avg(x) AS x FROM tok
+          JOIN long USING (doc_id) GROUP BY topic, pos) GROUP BY topic),
+        sims AS (SELECT topic, term, round(list_cosine_similarity(v, mean), 9) AS similarity
+          FROM cand JOIN wv USING (term) JOIN means USING (topic)),
+        best AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY similarity DESC, term) AS rank FROM sims)
+        SELECT topic, term, rank, round(similarity, 6) AS similarity FROM best WHERE rank <= 10""",
     "tm7_model_labels": f"""WITH {_weights_sql('source')} SELECT topic, string_agg(term, ' / ' ORDER BY rank) AS label,
         CAST(NULL AS VARCHAR) AS label_error FROM ranked WHERE rank <= 3 GROUP BY topic""",
     "tm8_topic_info": f"""WITH {_weights_sql('source')},

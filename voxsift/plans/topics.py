@@ -6,7 +6,10 @@ Frames used throughout: ``assigned`` has a document key, a ``topic`` and the tex
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,8 @@ MIN_WINDOW_SIMILARITY = 0.1
 OUTLIERS = -1
 
 CANDIDATE_WORDS = 30
+# Passes over the vectors when the centres to begin with are given.
+CLUSTER_ROUNDS = 10
 NAME_WORDS = 4
 REPRESENTATIVES = 3
 # Single characters say little about a topic.
@@ -49,6 +54,10 @@ TOPIC_BLOCK = 64
 SLICE_ENTRIES = 200_000
 # Up to this many words are looked for as a list, more by a join.
 LISTED_WORDS = 2000
+# Words of a projection, numbers of a projected vector, and numbers that one hash gives signs for.
+VOCABULARY = 10_000
+PROJECTED = 64
+HASH_DIGITS = 64
 
 
 # --- embedding --------------------------------------------------------------------------------------
@@ -70,6 +79,69 @@ def embed(docs: DataFrame, model: PipelineModel, vector: str = "vector") -> Data
     return model.transform(docs).withColumn(vector, dense).drop("_tf", "_tfidf", "_norm")
 
 
+@dataclass(frozen=True)
+class TextProjection:
+    """Words with their inverse document frequencies, and the seed of their random signs."""
+
+    terms: tuple[str, ...]
+    idf: tuple[float, ...]
+    dim: int = PROJECTED
+    seed: int = 1
+
+    def signs(self, term: str) -> list[float]:
+        """A sign for each number of a vector: a digit of sha256('seed:block:term') from 8 on is plus, below 8 minus."""
+        blocks = range(-(-self.dim // HASH_DIGITS))
+        digits = "".join(hashlib.sha256(f"{self.seed}:{block}:{term}".encode()).hexdigest() for block in blocks)
+        return [1.0 if digit >= "8" else -1.0 for digit in digits[: self.dim]]
+
+
+def fit_projection(
+    docs: DataFrame, token_column: str = "tokens", size: int = VOCABULARY, dim: int = PROJECTED, seed: int = 1
+) -> TextProjection:
+    """The ``size`` words found in most of all documents (equal counts by word), with ln((documents + 1) / (documents with it + 1)).
+
+    Every word of every document is counted; what comes to the driver is the chosen vocabulary. ``size`` times ``dim`` is
+    bounded, as that matrix goes to every task.
+    """
+    if size * dim > BLOCK_NUMBERS:
+        raise ValueError(f"more than {BLOCK_NUMBERS} numbers in a projection")
+    every = docs.select(token_column)
+    found = every.select(F.explode(F.array_distinct(token_column)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    chosen = found.orderBy(F.desc("df"), "term").limit(size).collect()
+    n = every.count()
+    return TextProjection(tuple(r["term"] for r in chosen), tuple(math.log((n + 1) / (r["df"] + 1)) for r in chosen), dim, seed)
+
+
+def project(docs: DataFrame, model: TextProjection, token_column: str = "tokens", vector: str = "vector") -> DataFrame:
+    """``docs`` with the TF-IDF of the model's words, added up along their random signs and scaled to length one.
+
+    Cosines of these vectors are near those of the TF-IDF itself. Worked out in the scan, some words at a time, so long
+    texts take no more memory. NULL for documents without a word of the model that tells documents apart.
+    """
+    terms, dim = pa.array(model.terms, pa.string()), model.dim
+    weights = np.array([model.signs(t) for t in model.terms]).reshape(-1, dim) * np.array(model.idf)[:, None]
+    step = max(1, BLOCK_NUMBERS // dim)
+
+    @F.arrow_udf("array<double>")
+    def projected(words: pa.Array) -> pa.Array:
+        place = pc.index_in(pc.list_flatten(words), value_set=terms)
+        known = pc.is_valid(place).to_numpy(zero_copy_only=False)
+        rows = pc.list_parent_indices(words).to_numpy()[known]
+        place = place.drop_null().to_numpy()
+        out = np.zeros((len(words), dim))
+        for at in range(0, len(rows), step):
+            own = rows[at : at + step]
+            starts = np.flatnonzero(np.diff(own, prepend=-1))
+            out[own[starts]] += np.add.reduceat(weights[place[at : at + step]], starts, axis=0)
+        lengths = np.linalg.norm(out, axis=1)
+        usable = lengths > 0
+        out[usable] /= lengths[usable, None]
+        ends = pa.array(np.arange(len(words) + 1, dtype=np.int32) * dim)
+        return pa.ListArray.from_arrays(ends, pa.array(out.ravel()), mask=pa.array(~usable))
+
+    return docs.withColumn(vector, projected.asNondeterministic()(F.col(token_column)))
+
+
 def with_tokens(docs: DataFrame, text: str, out: str = "tokens") -> DataFrame:
     return docs.withColumn(out, tokens(F.col(text), WORD_CHARS))
 
@@ -128,13 +200,7 @@ def cluster_rest(docs: DataFrame, key: str, k: int, vector: str = "vector", min_
     points = stage(usable, "cluster-points")
     model = KMeans(featuresCol="_unit", predictionCol="_cluster", k=k, seed=seed, distanceMeasure="cosine").fit(points)
     clustered = stage(model.transform(points).select(key, "_cluster"), "clusters")
-    sizes = clustered.groupBy("_cluster").agg(F.count(F.lit(1)).alias("_size"))
-    # at most k rows from here on
-    by_size = Window.orderBy(F.desc("_size"), "_cluster")
-    numbers = sizes.where(F.col("_size") >= min_topic_size).select(
-        "_cluster", (F.row_number().over(by_size) - 1).alias("topic")
-    )
-    found = clustered.join(F.broadcast(numbers), "_cluster", "left").select(key, "topic")
+    found = numbered_topics(clustered, min_topic_size).select(key, "topic")
     return (
         docs.select(key)
         .join(found, key, "left")
@@ -142,6 +208,52 @@ def cluster_rest(docs: DataFrame, key: str, k: int, vector: str = "vector", min_
     )
 
 
+def numbered_topics(clustered: DataFrame, min_topic_size: int = MIN_TOPIC_SIZE, cluster: str = "_cluster") -> DataFrame:
+    """``clustered`` with ``topic``: its clusters numbered from 0 by size, largest first (equal sizes by cluster).
+
+    Clusters below ``min_topic_size``, and rows without a cluster, are topic -1.
+    """
+    sizes = clustered.where(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.count(F.lit(1)).alias("_size"))
+    by_size = Window.orderBy(F.desc("_size"), cluster)  # a row per cluster from here on
+    numbers = sizes.where(F.col("_size") >= min_topic_size).select(cluster, (F.row_number().over(by_size) - 1).alias("topic"))
+    rows = clustered.join(F.broadcast(numbers), cluster, "left")
+    return rows.withColumn("topic", F.coalesce("topic", F.lit(OUTLIERS)).cast("int"))
+
+
+def drawn_centres(docs: DataFrame, key: str, k: int, vector: str = "vector") -> DataFrame:
+    """``topic, mean, rows`` of ``k`` usable vectors: those with the smallest md5 of the key, so the draw hangs on nothing else."""
+    drawn = unit_vectors(docs.select(key, vector), vector).select(F.md5(F.col(key).cast("string")).alias("_draw"), key, "_unit")
+    number = F.row_number().over(Window.orderBy("_draw", key)) - 1  # k rows
+    return drawn.orderBy("_draw", key).limit(k).select(number.alias("topic"), F.col("_unit").alias("mean"), F.lit(0).cast("long").alias("rows"))
+
+
+def moved_centres(points: DataFrame, centres: DataFrame, rounds: int, vector: str = "vector") -> DataFrame:
+    """``topic, mean, rows`` after ``rounds`` rounds: each vector goes to its nearest centre, each centre to their mean.
+
+    ``points`` have vectors of length one. A round is one pass over them: they are compared in the scan and summed before
+    the only shuffle, which moves a row per task and centre. A centre that no vector is nearest to stays where it is.
+    """
+    for _ in range(rounds):
+        near = nearest_topic(points, centres, vector).where(F.col("topic").isNotNull())
+        means = topic_means(near, vector).withColumnsRenamed({"mean": "_mean", "rows": "_rows"})
+        moved = centres.join(F.broadcast(means), "topic", "left")  # as many rows as centres
+        centres = stage(moved.select("topic", F.coalesce("_mean", "mean").alias("mean"), F.coalesce("_rows", F.lit(0).cast("long")).alias("rows")), "centres")
+    return centres
+
+
+def cluster_from(
+    docs: DataFrame, key: str, centres: DataFrame, rounds: int = CLUSTER_ROUNDS, vector: str = "vector", min_topic_size: int = MIN_TOPIC_SIZE
+) -> DataFrame:
+    """``key, topic`` as ``cluster_rest`` gives them, by a fixed number of rounds from given ``centres`` (``topic, mean, rows``).
+
+    Rows with equal keys are clustered each on its own; rows without a usable vector are outliers.
+    """
+    points = stage(unit_vectors(docs.select(vector), vector).select(F.col("_unit").alias("_point")), "cluster-points")
+    found = moved_centres(points, stage(centres, "centres"), rounds, "_point")
+    near = nearest_topic(docs.select(key, vector), found, vector)
+    return numbered_topics(stage(near.select(key, F.col("topic").alias("_cluster")), "clusters"), min_topic_size).select(key, "topic")
+
+
 # --- topic words ------------------------------------------------------------------------------------
 
 
