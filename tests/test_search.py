@@ -15,7 +15,7 @@ from voxsift.operators import vector_search as vs
 from voxsift.operators.ranking import top_k
 from voxsift.operators.search import text_search, text_search_many
 from voxsift.sources import versions
-from voxsift.sources.search_index import open_index, publish_index
+from voxsift.sources.search_index import hot_terms, indexed_terms, merged_postings, open_index, publish_index
 
 # word and stem pairs of the published English Snowball vocabulary
 STEMS = """consign consign|consigned consign|consignment consign|consistency consist|consolatory consolatori
@@ -171,6 +171,38 @@ def test_index_tables(indexes):
     assert stems[("box", 2)] == 2 and stems[("box", 9)] == 1
 
 
+@pytest.mark.parametrize("tasks", [8, 200])
+def test_hot_terms_are_divided_over_tasks(spark, tasks):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    try:
+        word = F.concat(F.lit("w"), F.xxhash64("doc", "at").cast("string"))
+        every = F.when(F.col("at") == 0, "every").when((F.col("at") == 1) & (F.col("doc") % 4 == 0), "often").otherwise(word)
+        terms = spark.range(20_000).select(F.col("id").alias("doc"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("at"))
+        terms = terms.select("doc", every.alias("term"), F.lit(1).alias("tf"), F.lit(3).alias("len"))
+        hot = hot_terms(terms, tasks)
+        slices = {r.term: r.slices for r in hot.collect()}
+        assert slices["every"] == -(-tasks // 3) and slices.get("often", 1) == -(-tasks // 12) and len(slices) <= 2
+        postings = merged_postings(terms, 64, hot)
+        placed = postings.groupBy(F.spark_partition_id().alias("task"), "term").count().collect()
+        assert sum(r["count"] for r in placed) == 60_000 and sum(r.term == "every" for r in placed) == slices["every"]
+        load = {}
+        for r in placed:
+            load[r.task] = load.get(r.task, 0) + r["count"]
+        assert max(load.values()) < (2 if tasks == 8 else 2.5) * 60_000 / tasks
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_texts_are_cut_into_words_once(indexes):
+    index = indexes["plain"]
+    terms = indexed_terms(index.spark.read.parquet(f"{index.path}/documents"), index.doc_key)
+    plan = merged_postings(terms, index.buckets, hot_terms(terms, 8))._jdf.queryExecution().executedPlan().toString()
+    assert "split(" not in plan and "review#" not in plan and "regexp" not in plan
+    assert plan.count("Exchange shufflepartitionidpassthrough") == 1 and "Exchange hashpartitioning(_task" not in plan
+    assert "_runs" not in index.documents.columns
+
+
 def test_postings_of_a_query_are_pruned(indexes):
     plan = text_search("movie", indexes["plain"], limit=100_000)._jdf.queryExecution().toString()
     assert re.search(r"PartitionFilters: \[[^]]*bucket[^]]*(=|IN)", plan)

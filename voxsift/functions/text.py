@@ -24,29 +24,39 @@ def tokens(text: Column, min_chars: int = 1, below_bytes: int | None = None) ->
     return words if below_bytes is None else F.filter(words, lambda w: F.octet_length(w) < below_bytes)
 
 
-def term_counts(df: DataFrame, token_column: str, keep: list[str]) -> DataFrame:
-    """One row per row of ``df`` and distinct token: ``keep``, ``term``, ``tf``.
-
-    Each token list is sorted and cut into runs inside its own row, so no rows move between tasks.
-    """
+def _with_starts(df: DataFrame) -> DataFrame:
+    """``_starts``: places (from 1) in ``_sorted`` where another token begins."""
     size = F.size("_sorted")
     starts = F.filter(
         F.sequence(F.lit(1), F.greatest(size, F.lit(1))),
         lambda i: (i <= size) & ((i == 1) | (F.element_at("_sorted", i) != F.get("_sorted", i - 2))),
     )
-    runs = F.transform(
+    return df.withColumn("_starts", starts)
+
+
+def _runs() -> Column:
+    """The distinct tokens of ``_sorted`` in order, each with its count, as ``array<struct<term, tf>>``."""
+    return F.transform(
         "_starts",
         lambda start, i: F.struct(
             F.element_at("_sorted", start).alias("term"),
-            (F.coalesce(F.get("_starts", i + 1), size + 1) - start).alias("tf"),
+            (F.coalesce(F.get("_starts", i + 1), F.size("_sorted") + 1) - start).alias("tf"),
         ),
     )
-    return (
-        df.select(*keep, F.sort_array(F.col(token_column)).alias("_sorted"))
-        .withColumn("_starts", starts)
-        .select(*keep, F.explode(runs).alias("_run"))
-        .select(*keep, "_run.term", "_run.tf")
-    )
+
+
+def with_term_runs(df: DataFrame, token_column: str, out: str = "_runs") -> DataFrame:
+    """``df`` with its distinct tokens and their counts as an array, to be written; ``term_counts`` makes rows of them at once."""
+    return _with_starts(df.withColumn("_sorted", F.sort_array(F.col(token_column)))).withColumn(out, _runs()).drop("_sorted", "_starts")
+
+
+def term_counts(df: DataFrame, token_column: str, keep: list[str]) -> DataFrame:
+    """One row per row of ``df`` and distinct token: ``keep``, ``term``, ``tf``.
+
+    Each token list is sorted and cut into runs inside its own row, so no rows move between tasks.
+    """
+    rows = _with_starts(df.select(*keep, F.sort_array(F.col(token_column)).alias("_sorted")))
+    return rows.select(*keep, F.explode(_runs()).alias("_run")).select(*keep, "_run.term", "_run.tf")
 
 
 def term_positions(df: DataFrame, token_column: str, keep: list[str]) -> DataFrame:

@@ -1,6 +1,6 @@
 """A published search index: ordinary parquet tables under one version folder.
 
-documents   the indexed rows, all columns, partitioned by bucket of the document key
+documents   the indexed rows, all columns, with their terms and counts, partitioned by bucket of the document key
 postings    bucket, term, doc, tf, len   one row per term and document, partitioned by bucket of term
 term_stats  bucket, term, df             partitioned likewise
 corpus      docs, avg_len                one row
@@ -12,16 +12,19 @@ import json
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from voxsift.functions.stemming import stem
-from voxsift.functions.text import term_counts, tokens
+from voxsift.functions.text import term_counts, tokens, with_term_runs
 from voxsift.sources import versions
-from voxsift.staging import fresh_path, shuffle_partitions, spread_input
+from voxsift.staging import fresh_path, shuffle_partitions
 
 TOKENIZERS = ("en_stem", "plain")
 # Folders of terms; a query reads only those of its own terms.
 TERM_BUCKETS = 64
+# Terms that the sketch names and keeps counters for; it misses none with more than a few of its counters' shares of all rows.
+SKETCH_TERMS = 10_000
+SKETCH_COUNTERS = 100_000
 
 
 # Columns the index adds to its documents: token count and bucket of the key.
@@ -46,19 +49,47 @@ def document_terms(rows: DataFrame, doc_key: str, text_column: str, tokenizer: s
     return stemmed_if(term_counts(sized, "_tokens", ["doc", "len"]), tokenizer)
 
 
-def merged_postings(terms: DataFrame, buckets: int) -> DataFrame:
+def indexed_terms(documents: DataFrame, doc_key: str) -> DataFrame:
+    """doc, term, tf, len from the terms stored with the documents: texts are not read."""
+    runs = documents.select(F.col(doc_key).alias("doc"), F.col("_tokens").alias("len"), F.explode("_runs").alias("_run"))
+    return runs.select("doc", "len", "_run.term", "_run.tf")
+
+
+def hot_terms(terms: DataFrame, tasks: int, tokenizer: str = "plain") -> DataFrame:
+    """term, slices, first: terms with more rows than a task's share, over how many tasks their rows are to be divided, and the
+    first of these. Hot terms begin where the one before ends, so that their slices do not pile up.
+
+    A sketch of frequent items, filled where the rows are, counts the terms; at most ``SKETCH_TERMS`` come out of it. They
+    are stemmed after that, so no row passes through Python for it. The counts are estimates, which only move rows.
+    """
+    sketch = F.expr(f"approx_top_k(term, {SKETCH_TERMS}, {SKETCH_COUNTERS})")
+    counted = terms.agg(sketch.alias("top"), F.count(F.lit(1)).alias("rows"))
+    named = stemmed_if(counted.select("rows", F.explode("top").alias("t")).select("rows", F.col("t.item").alias("term"), "t.count"), tokenizer)
+    slices = F.least(F.lit(tasks), F.ceil(F.sum("count") * tasks / F.max("rows"))).cast("int")
+    found = named.groupBy("term").agg(slices.alias("slices")).where("slices > 1")
+    before = Window.orderBy(F.desc("slices"), "term").rowsBetween(Window.unboundedPreceding, -1)  # at most SKETCH_TERMS rows
+    return found.withColumn("first", F.pmod(F.coalesce(F.sum("slices").over(before), F.lit(0)), F.lit(tasks)).cast("int"))
+
+
+def merged_postings(terms: DataFrame, buckets: int, hot: DataFrame) -> DataFrame:
     """Postings, in the layout they are stored in.
 
-    One shuffle: rows go to a task by bucket of term and by slice of document, so that a term found
-    in every document is divided over all slices, and the merge of equal stems needs no other.
+    One shuffle, in which a row names its task. A bucket has some tasks, among which its terms are divided; the rows of a
+    hot term are divided by document over the tasks that ``hot`` gives it. Tasks are as many as shuffle
+    partitions, and the merge of equal stems needs no other shuffle.
     """
-    slices = max(1, shuffle_partitions(terms.sparkSession) // buckets)
-    placed = terms.withColumn("bucket", term_bucket(F.col("term"), buckets)).withColumn(
-        "_slice", F.pmod(F.xxhash64("doc"), F.lit(slices)).cast("int")
+    tasks = shuffle_partitions(terms.sparkSession)
+    own = max(1, tasks // buckets)
+    home = F.col("bucket") * own + F.pmod(F.xxhash64("term", F.lit("slice")), F.lit(own)).cast("int")
+    slice_of_doc = F.pmod(F.xxhash64("doc"), F.col("slices")).cast("int")
+    placed = (
+        terms.withColumn("bucket", term_bucket(F.col("term"), buckets))
+        .join(F.broadcast(hot), "term", "left")  # at most SKETCH_TERMS rows
+        .withColumn("_task", F.pmod(F.coalesce(F.col("first") + slice_of_doc, home), F.lit(tasks)))
     )
     return (
-        placed.repartition(buckets * slices, "bucket", "_slice")
-        .groupBy("bucket", "_slice", "term", "doc", "len")
+        placed.repartitionById(tasks, "_task")
+        .groupBy("_task", "bucket", "term", "doc", "len")
         .agg(F.sum("tf").cast("int").alias("tf"))
         .select("bucket", "term", "doc", "tf", "len")
     )
@@ -88,7 +119,7 @@ class SearchIndex:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/documents")
+        return self.spark.read.parquet(f"{self.path}/documents").drop("_runs")
 
     @cached_property
     def postings(self) -> DataFrame:
@@ -131,17 +162,21 @@ def publish_index(
     few rows of a search are fetched from the folders that hold them.
     """
     spark = rows.sparkSession
+    if tokenizer not in TOKENIZERS:
+        raise ValueError(f"tokenizer {tokenizer} is none of {', '.join(TOKENIZERS)}")
     version = versions.new_version(root)
     path = f"{root}/{version}"
     doc_buckets = doc_buckets or shuffle_partitions(spark)
     bucketed = rows.withColumn("_doc_bucket", term_bucket(F.col(doc_key), doc_buckets))
-    sized = bucketed.repartition(doc_buckets, "_doc_bucket").withColumn(
-        "_tokens", F.size(F.coalesce(tokens(F.col(text_column)), F.array()))
-    )
-    sized.sortWithinPartitions("_doc_bucket", doc_key).write.partitionBy("_doc_bucket").parquet(f"{path}/documents")
-
-    spread = spread_input(rows, doc_key)
-    postings = merged_postings(document_terms(spread, doc_key, text_column, tokenizer), buckets)
+    # texts are moved once and cut into words once, where they are written; the postings are made from what is stored
+    ordered = bucketed.repartition(doc_buckets, "_doc_bucket").sortWithinPartitions("_doc_bucket", doc_key)
+    worded = ordered.withColumn("_words", F.coalesce(tokens(F.col(text_column)), F.array().cast("array<string>")))
+    counted = with_term_runs(worded, "_words").withColumn("_tokens", F.size("_words")).drop("_words")
+    counted.write.partitionBy("_doc_bucket").parquet(f"{path}/documents")
+
+    terms = indexed_terms(spark.read.parquet(f"{path}/documents"), doc_key)
+    hot = hot_terms(terms, shuffle_partitions(spark), tokenizer)
+    postings = merged_postings(stemmed_if(terms, tokenizer), buckets, hot)
     # sorted by term: a reader skips the row groups of other terms of the bucket
     postings.sortWithinPartitions("bucket", "term", "doc").write.partitionBy("bucket").parquet(f"{path}/postings")
     document_frequencies(spark.read.parquet(f"{path}/postings"), buckets).sortWithinPartitions("bucket", "term").write.partitionBy(
