@@ -212,3 +212,46 @@ def test_prompts_name_only_the_chosen_fields_and_hide_the_key(spark):
     analysed = ModelExtraction(two_domains(), make, settings).analyse(rows)
     assert "secret" not in analysed._jdf.queryExecution().toString()
     assert documents(analysed)[1]["category_breakdown"] == {"deliverydetails": {}}
+
+
+def test_few_requests_are_begun_ahead():
+    """The prompts of a batch are neither cut into requests nor sent all at once."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from voxsift.plans import model
+
+    taken = []
+    pieces = (taken.append(i) or [str(i)] for i in range(1000))
+    with ThreadPoolExecutor(2) as pool:
+        for done, answer in enumerate(model._in_order(pool, lambda p: p, pieces, 2), 1):
+            assert answer == [str(done - 1)] and len(taken) - done < model.AHEAD * 2
+    assert len(taken) == 1000
+
+
+def test_model_call_in_batches_and_requests(spark):
+    """NULL prompts, failing ones, missing replies and whole batches, in order."""
+    from voxsift.plans.model import model_call
+
+    def make(settings):
+        def complete(prompts):
+            if (prompts == "7").any():
+                raise ValueError("no 7")
+            return prompts.map(lambda p: None if p == "9" else f"<{p}>")
+
+        return complete
+
+    ids = spark.range(0, 1500, 1, 1)
+    text = F.when(F.col("id") % 5 != 0, F.col("id").cast("string"))
+    for threads, chunk in ((1, 1), (3, 4), (2, 700)):
+        rows = ids.select("id", model_call(text, make, ModelSettings(), threads, chunk).alias("c")).orderBy("id").collect()
+        for r in rows:
+            empty = r["id"] % 5 == 0 or r["id"] in (7, 9)
+            assert r["c"]["reply"] == (None if empty else f"<{r['id']}>"), (threads, chunk, r)
+            assert r["c"]["error"] == ("no 7" if r["id"] == 7 else None)
+
+
+def test_listed_words_are_whole_words():
+    complete = lexicon_model({"a": ["Box", "x-y", "é"]})(ModelSettings())
+    said = ["box", "boxes, inbox", "inbox _box_", "x-y", "café é!", ""]
+    named = complete(pd.Series([f"{IDENTIFY_TASK}\nfeedback: {s}" for s in said]))
+    assert [bool(json.loads(r)["categories"]) for r in named] == [True, False, True, False, True, False]

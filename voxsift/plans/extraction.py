@@ -259,8 +259,8 @@ def lexicon_model(words: Mapping[str, Sequence[str]]) -> MakeComplete:
 
     def answer(prompt: str) -> str:
         head, _, feedback = prompt.partition(FEEDBACK_MARK)
-        present = set(re.split(r"[\W_]+", feedback.lower()))
-        hits = {key: [w for w in listed if w in present] for key, listed in lexicon.items()}
+        said = feedback.lower()
+        hits = {key: [w for w in listed if _is_word(w, said)] for key, listed in lexicon.items()}
         if IDENTIFY_TASK in head:
             every = list(dict.fromkeys(w for found in hits.values() for w in found))
             return json.dumps({"categories": [k for k, found in hits.items() if found], "rationale": _matched(every)})
@@ -281,5 +281,18 @@ def lexicon_model(words: Mapping[str, Sequence[str]]) -> MakeComplete:
     return lambda settings: lambda prompts: prompts.map(answer)
 
 
+def _is_word(word: str, text: str) -> bool:
+    """Whether ``word`` is one of the runs of letters and digits of ``text``, which is not cut into words for it."""
+    if not word.isalnum():
+        return word in re.split(r"[\W_]+", text)
+    at = text.find(word)
+    while at >= 0:
+        end = at + len(word)
+        if not (text[at - 1 : at].isalnum() or text[end : end + 1].isalnum()):
+            return True
+        at = text.find(word, at + 1)
+    return False
+
+
 def _matched(words: list[str]) -> str:
     return "matched " + ", ".join(words) if words else "matched no listed word"

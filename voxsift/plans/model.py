@@ -6,18 +6,23 @@ connection there) and returns ``complete(prompts: pandas.Series) -> pandas.Serie
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import partial
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, functions as F, types as T
 
 # Defaults of the model settings and the request size for embeddings.
 MAX_TOKENS = 500
 TEMPERATURE = 0.1
 EMBEDDING_CHUNK = 100
+# Requests begun and not yet taken up, for each thread; and prompts that are Python texts at once, about.
+AHEAD = 4
+PROMPTS_AT_ONCE = 256
 
 
 @dataclass(frozen=True)
@@ -45,32 +50,71 @@ def model_call(
     column is marked nondeterministic, so the optimizer never runs a call twice.
     """
 
-    @F.pandas_udf("reply string, error string")
-    def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        complete = make_complete(settings)
+    @F.arrow_udf(_CALLED)
+    def call(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        ask = partial(_answers, make_complete(settings))
         with ThreadPoolExecutor(threads) as pool:
             for prompts in batches:
-                pieces = [prompts.iloc[i : i + chunk] for i in range(0, len(prompts), chunk)]
-                answers = [a for piece in pool.map(partial(_answers, complete), pieces) for a in piece]
-                yield pd.DataFrame(answers, columns=["reply", "error"], dtype=object)
+                yield _called(_in_order(pool, ask, _pieces(prompts, chunk), threads))
 
     return call.asNondeterministic()(prompt)
 
 
-def _answers(complete: Complete, prompts: pd.Series) -> list[tuple[str | None, str | None]]:
+_CALLED = T.StructType([T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())])
+
+
+def _pieces(prompts: pa.Array, chunk: int) -> Iterator[list[str | None]]:
+    """The prompts of each request; only some of a batch are Python texts at once."""
+    step = chunk * max(1, PROMPTS_AT_ONCE // chunk)
+    for low in range(0, len(prompts), step):
+        texts = prompts.slice(low, step).to_pylist()
+        yield from (texts[i : i + chunk] for i in range(0, len(texts), chunk))
+
+
+def _in_order(pool: ThreadPoolExecutor, ask: Callable, pieces: Iterable, threads: int) -> Iterator:
+    """Answers in the order of ``pieces``, of which few are begun ahead; one thread needs no pool."""
+    if threads == 1:
+        yield from map(ask, pieces)
+        return
+    begun: deque = deque()
+    for piece in pieces:
+        begun.append(pool.submit(ask, piece))
+        if len(begun) >= AHEAD * threads:
+            yield begun.popleft().result()
+    while begun:
+        yield begun.popleft().result()
+
+
+def _called(answers: Iterable[list[tuple[str | None, str | None]]]) -> pa.Array:
+    parts, held = [], []
+
+    def put() -> None:
+        columns = zip(*held) if held else ((), ())
+        parts.append(pa.StructArray.from_arrays([pa.array(list(c), pa.string(), from_pandas=True) for c in columns], names=["reply", "error"]))
+        held.clear()
+
+    for piece in answers:
+        held.extend(piece)
+        if len(held) >= PROMPTS_AT_ONCE:
+            put()
+    put()
+    return pa.concat_arrays(parts)
+
+
+def _answers(complete: Complete, prompts: list[str | None]) -> list[tuple[str | None, str | None]]:
     """(reply, error) in prompt order; NULL prompts are not sent."""
-    asked = prompts.dropna()
-    if asked.empty:
+    asked = [p for p in prompts if p is not None]
+    if not asked:
         return [(None, None)] * len(prompts)
     try:
-        replies = list(complete(asked))
+        replies = list(complete(pd.Series(asked, dtype=object)))
         if len(replies) != len(asked):
             raise ValueError(f"{len(asked)} prompts, {len(replies)} replies")
         reply = iter(replies)
-        return [(next(reply), None) if sent else (None, None) for sent in prompts.notna()]
+        return [(None, None) if p is None else (next(reply), None) for p in prompts]
     except Exception as failure:
         if len(prompts) > 1:  # find the prompts at fault, the others keep their replies
-            return [a for i in range(len(prompts)) for a in _answers(complete, prompts.iloc[[i]])]
+            return [a for p in prompts for a in _answers(complete, [p])]
         return [(None, str(failure) or type(failure).__name__)]
 
 
