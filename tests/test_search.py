@@ -55,6 +55,15 @@ def test_terms_of_a_row(spark):
     assert places == {(1, "a"): [1, 3], (1, "b"): [0, 2, 4], (4, "z"): [0]}
 
 
+def test_words_are_counted_in_parts(spark, monkeypatch):
+    """Texts counted some at a time give what each gives on its own; rows are counted in Arrow batches, not by lambdas."""
+    monkeypatch.setattr("voxsift.functions.text.WORDS_AT_ONCE", 5)
+    texts = [(i, None if i % 7 == 3 else [f"w{(i * j) % 5}é" for j in range(i % 6)]) for i in range(40)]
+    counted = term_counts(spark.createDataFrame(texts, "id int, t array<string>").coalesce(1), "t", ["id"])
+    assert "lambda" not in counted._jdf.queryExecution().toString()
+    assert {(r.id, r.term): r.tf for r in counted.collect()} == {(i, w): n for i, t in texts for w, n in Counter(t or []).items()}
+
+
 def test_long_rows_stay_linear(spark):
     frame = spark.range(1).select("id", F.transform(F.sequence(F.lit(1), F.lit(200_000)), lambda i: F.concat(F.lit("w"), i % 50_000)).alias("t"))
     total = term_counts(frame, "t", ["id"]).agg(F.count("*").alias("n"), F.sum("tf").alias("tf")).first()
@@ -160,6 +169,38 @@ def test_many_queries_either_way(spark, indexes, monkeypatch, bounds):
         assert [(i, s) for _, i, s in got] == brute_force(text, False)[:3]
 
 
+@pytest.mark.parametrize("tokenizer", ["plain", "en_stem"])
+@pytest.mark.parametrize("step", [1, 100_000])
+def test_many_postings_are_not_moved(spark, indexes, monkeypatch, tokenizer, step):
+    """Queries that meet many postings are scored where the documents are: no row per query and posting is made."""
+    monkeypatch.setattr("voxsift.operators.search.POSTINGS_A_DOCUMENT", 0)
+    monkeypatch.setattr("voxsift.operators.search.BLOCK_NUMBERS", step * 50)
+    texts = ["the movies", "late box", "zzz", "great the was", "the the moving sound"]
+    queries = spark.createDataFrame([*enumerate(texts), (None, "great")], "query long, text string")
+    for limit, allowed in ((3, None), (1, None), (20, None), (2, "odd")):
+        hits = text_search_many(queries, indexes[tokenizer], limit, {"brand": allowed} if allowed else None, ["review_id"])
+        assert "PythonMapInArrow" in hits._jdf.queryExecution().toString() or "MapInArrow" in hits._jdf.queryExecution().toString()
+        rows = hits.collect()
+        for q, text in [*enumerate(texts), (None, "great")]:
+            got = sorted((r["rank"], r.review_id, round(r.score, 6)) for r in rows if r["query"] == q)
+            want = brute_force(text, tokenizer == "en_stem", (lambda i: i % 2) if allowed else lambda i: True)
+            assert [(i, s) for _, i, s in got] == want[:limit]
+
+
+def test_repeated_keys_are_scored_together(spark, monkeypatch):
+    """Rows of one key are one document of a search, whatever the way."""
+    from voxsift.sources.search_index import scratch_index
+
+    held = spark.createDataFrame([(1, "a a b"), (1, "a c"), (2, "a b"), (None, "b b a")], "review_id long, review string")
+    index, ways = scratch_index(held, tokenizer="plain", buckets=2), []
+    queries = spark.createDataFrame([(7, "a b"), (8, "b a a")], "query long, text string")
+    for bound in (0, 1_000_000):
+        monkeypatch.setattr("voxsift.operators.search.POSTINGS_A_DOCUMENT", bound)
+        hits = text_search_many(queries, index, 2, select=["review_id"])
+        ways.append(sorted((r["query"], r["rank"], r.review_id, round(r.score, 6)) for r in hits.collect()))
+    assert ways[0] == ways[1] and not index.unique_keys
+
+
 def test_index_tables(indexes):
     index = indexes["plain"]
     lengths = {r.doc: r.len for r in index.doc_stats.collect()}

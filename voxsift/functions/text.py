@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Characters a search query may keep, and the markup around a hit.
 QUERY_NOISE = "[^a-zA-Z0-9 ]"
@@ -14,49 +17,57 @@ HIGHLIGHT_CLOSE = "</div>"
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 SENTENCE = r"([^.!?]+[.!?]*)"
 
+# Words of some texts that are counted at once, about; one text is counted whole.
+WORDS_AT_ONCE = 1_000_000
+
 # Private-use characters standing for the markup while the text around it is escaped.
 _OPEN, _CLOSE = "\ue000", "\ue001"
 
 
 def tokens(text: Column, min_chars: int = 1, below_bytes: int | None = None) -> Column:
     """Lower-cased words of ``text`` in order; with ``below_bytes``, only those shorter than that many bytes."""
-    words = F.filter(F.split(F.lower(text), WORD_BREAK), lambda w: F.length(w) >= min_chars)
+    every = F.split(F.lower(text), WORD_BREAK)
+    words = F.array_remove(every, "") if min_chars == 1 else F.filter(every, lambda w: F.length(w) >= min_chars)
     return words if below_bytes is None else F.filter(words, lambda w: F.octet_length(w) < below_bytes)
 
 
-def _with_starts(df: DataFrame) -> DataFrame:
-    """``_starts``: places (from 1) in ``_sorted`` where another token begins."""
-    size = F.size("_sorted")
-    starts = F.filter(
-        F.sequence(F.lit(1), F.greatest(size, F.lit(1))),
-        lambda i: (i <= size) & ((i == 1) | (F.element_at("_sorted", i) != F.get("_sorted", i - 2))),
-    )
-    return df.withColumn("_starts", starts)
+_RUNS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())]))
 
 
-def _runs() -> Column:
-    """The distinct tokens of ``_sorted`` in order, each with its count, as ``array<struct<term, tf>>``."""
-    return F.transform(
-        "_starts",
-        lambda start, i: F.struct(
-            F.element_at("_sorted", start).alias("term"),
-            (F.coalesce(F.get("_starts", i + 1), F.size("_sorted") + 1) - start).alias("tf"),
-        ),
-    )
+@F.arrow_udf(_RUNS)
+def _counted(words: pa.Array) -> pa.Array:
+    """The distinct words of each list in order, with their counts; some lists at a time."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
+    cuts = np.flatnonzero(np.diff(ends // WORDS_AT_ONCE)) + 1
+    return pa.concat_arrays([_counted_part(words.slice(low, high - low)) for low, high in zip([0, *cuts], [*cuts, len(words)])])
+
+
+def _counted_part(words: pa.Array) -> pa.Array:
+    coded = pc.list_flatten(words).dictionary_encode()
+    names, order = coded.dictionary, pc.sort_indices(coded.dictionary)
+    place = np.empty(len(names), np.int64)
+    place[order.to_numpy()] = np.arange(len(names))
+    row, wide = pc.list_parent_indices(words).to_numpy().astype(np.int64), max(1, len(names))
+    found, count = np.unique(row * wide + place[coded.indices.to_numpy()], return_counts=True)
+    row, place = np.divmod(found, wide)
+    ends = np.searchsorted(row, np.arange(len(words) + 1)).astype(np.int32)
+    values = pa.StructArray.from_arrays([names.take(order.take(pa.array(place))), pa.array(count.astype(np.int32))], names=["term", "tf"])
+    missing = np.append(pc.is_null(words).to_numpy(zero_copy_only=False), False)
+    return pa.ListArray.from_arrays(pa.array(ends, mask=missing) if missing.any() else pa.array(ends), values)
 
 
 def with_term_runs(df: DataFrame, token_column: str, out: str = "_runs") -> DataFrame:
-    """``df`` with its distinct tokens and their counts as an array, to be written; ``term_counts`` makes rows of them at once."""
-    return _with_starts(df.withColumn("_sorted", F.sort_array(F.col(token_column)))).withColumn(out, _runs()).drop("_sorted", "_starts")
+    """``df`` with its distinct tokens and their counts as ``array<struct<term, tf>>``, to be written; ``term_counts`` makes rows of them at once."""
+    return df.withColumn(out, _counted.asNondeterministic()(token_column))
 
 
 def term_counts(df: DataFrame, token_column: str, keep: list[str]) -> DataFrame:
     """One row per row of ``df`` and distinct token: ``keep``, ``term``, ``tf``.
 
-    Each token list is sorted and cut into runs inside its own row, so no rows move between tasks.
+    Each token list is counted inside its own row, so no rows move between tasks.
     """
-    rows = _with_starts(df.select(*keep, F.sort_array(F.col(token_column)).alias("_sorted")))
-    return rows.select(*keep, F.explode(_runs()).alias("_run")).select(*keep, "_run.term", "_run.tf")
+    rows = with_term_runs(df.select(*keep, F.col(token_column).alias("_words")), "_words")
+    return rows.select(*keep, F.explode("_runs").alias("_run")).select(*keep, "_run.term", "_run.tf")
 
 
 def term_positions(df: DataFrame, token_column: str, keep: list[str]) -> DataFrame:

@@ -71,8 +71,8 @@ def hot_terms(terms: DataFrame, tasks: int, tokenizer: str = "plain") -> DataFra
     return found.withColumn("first", F.pmod(F.coalesce(F.sum("slices").over(before), F.lit(0)), F.lit(tasks)).cast("int"))
 
 
-def merged_postings(terms: DataFrame, buckets: int, hot: DataFrame) -> DataFrame:
-    """Postings, in the layout they are stored in.
+def merged_postings(terms: DataFrame, buckets: int, hot: DataFrame, merge: bool = True) -> DataFrame:
+    """Postings, in the layout they are stored in. ``merge`` is needed where a document may have a term on several rows.
 
     One shuffle, in which a row names its task. A bucket has some tasks, among which its terms are divided; the rows of a
     hot term are divided by document over the tasks that ``hot`` gives it. Tasks are as many as shuffle
@@ -87,12 +87,16 @@ def merged_postings(terms: DataFrame, buckets: int, hot: DataFrame) -> DataFrame
         .join(F.broadcast(hot), "term", "left")  # at most SKETCH_TERMS rows
         .withColumn("_task", F.pmod(F.coalesce(F.col("first") + slice_of_doc, home), F.lit(tasks)))
     )
-    return (
-        placed.repartitionById(tasks, "_task")
-        .groupBy("_task", "bucket", "term", "doc", "len")
-        .agg(F.sum("tf").cast("int").alias("tf"))
-        .select("bucket", "term", "doc", "tf", "len")
-    )
+    dealt = placed.repartitionById(tasks, "_task")
+    if merge:
+        dealt = dealt.groupBy("_task", "bucket", "term", "doc", "len").agg(F.sum("tf").cast("int").alias("tf"))
+    return dealt.select("bucket", "term", "doc", "tf", "len")
+
+
+def have_own_keys(documents: DataFrame, doc_key: str) -> bool:
+    """Whether every document has a key of its own. Moves keys only, summed up before they are shuffled."""
+    copies = documents.groupBy(doc_key).agg(F.count(F.lit(1)).alias("n"))
+    return copies.where(F.col(doc_key).isNull() | (F.col("n") > 1)).isEmpty()
 
 
 def document_frequencies(postings: DataFrame, buckets: int) -> DataFrame:
@@ -117,9 +121,18 @@ class SearchIndex:
     buckets: int
     doc_buckets: int
 
+    @cached_property
+    def with_runs(self) -> DataFrame:
+        """The documents and ``_runs``, their words (not stemmed) with their counts."""
+        return self.spark.read.parquet(f"{self.path}/documents")
+
     @cached_property
     def documents(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/documents").drop("_runs")
+        return self.with_runs.drop("_runs")
+
+    @cached_property
+    def unique_keys(self) -> bool:
+        return have_own_keys(self.documents, self.doc_key)
 
     @cached_property
     def postings(self) -> DataFrame:
@@ -174,9 +187,12 @@ def publish_index(
     counted = with_term_runs(worded, "_words").withColumn("_tokens", F.size("_words")).drop("_words")
     counted.write.partitionBy("_doc_bucket").parquet(f"{path}/documents")
 
-    terms = indexed_terms(spark.read.parquet(f"{path}/documents"), doc_key)
+    stored = spark.read.parquet(f"{path}/documents")
+    terms = indexed_terms(stored, doc_key)
     hot = hot_terms(terms, shuffle_partitions(spark), tokenizer)
-    postings = merged_postings(stemmed_if(terms, tokenizer), buckets, hot)
+    # plain terms come from each document once: only rows of one key are to be merged
+    merge = tokenizer != "plain" or not have_own_keys(stored, doc_key)
+    postings = merged_postings(stemmed_if(terms, tokenizer), buckets, hot, merge)
     # sorted by term: a reader skips the row groups of other terms of the bucket
     postings.sortWithinPartitions("bucket", "term", "doc").write.partitionBy("bucket").parquet(f"{path}/postings")
     document_frequencies(spark.read.parquet(f"{path}/postings"), buckets).sortWithinPartitions("bucket", "term").write.partitionBy(
