@@ -206,6 +206,37 @@ def test_word_vectors_are_means_of_their_documents(spark, monkeypatch, listed):
     assert {r.term: r.vector for r in tm.word_vectors(docs, words).collect()} == {"a": [0.5, 0.5], "b": [1.0, 0.0]}
 
 
+def test_no_vector_is_repeated_for_each_word(spark, monkeypatch):
+    """Few words: sums per task and word, some documents at a time; words are not exploded with their document's vector."""
+    monkeypatch.setattr(tm, "BLOCK_NUMBERS", 6)
+    rows = [([f"w{i % 3}", "all", "other"], [float(i), 1.0]) for i in range(50)] + [([], [7.0, 7.0]), (["other"], None)]
+    docs = spark.createDataFrame(rows, "tokens array<string>, vector array<float>").repartition(3)
+    words = spark.createDataFrame([("w0",), ("w1",), ("all",), ("none",), ("all",)], "term string")
+    found = tm.word_vectors(docs, words)
+    assert {r.term: r.vector for r in found.collect()} == {"w0": pytest.approx([24.0, 1.0]), "w1": pytest.approx([25.0, 1.0]), "all": pytest.approx([24.5, 1.0])}
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_of_topics_are_summed_before_they_move(docs):
+    """In the task, over its documents: no row per document and word is made in Python."""
+    plan = tm.topic_term_counts(docs, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.index("HashAggregate") < plan.index("Generate")
+
+
+def test_only_ranked_words_are_counted_in_documents(spark, docs, weights, monkeypatch):
+    """The words of a text that no topic has among its ranked ones are dropped before the text is counted."""
+    counted = []
+    count = tm.term_counts
+    monkeypatch.setattr(tm, "term_counts", lambda df, column, keep: counted.append(df) or count(df, column, keep))
+    words = tm.top_words(weights, 2)
+    found = tm.representative_documents(docs, words, "doc_id", "text")
+    ranked = {r.term for r in words.collect()}
+    held = counted[0].collect()
+    assert {t for r in held for t in r._t} == ranked and {r.doc_id: r._len for r in held}[0] == 4
+    monkeypatch.setattr(tm, "LISTED_WORDS", 0)
+    assert sorted(found.collect()) == sorted(tm.representative_documents(docs, words, "doc_id", "text").collect())
+
+
 def test_hashed_embedding_separates_topics(spark, docs):
     ready = tm.with_tokens(docs, "text")
     embedded = tm.embed(ready, tm.fit_hashed_embedding(ready))

@@ -91,6 +91,7 @@ def _projected(spark, sf) -> DataFrame:
 def _embedded(spark, sf) -> DataFrame:
     def make() -> DataFrame:
         docs = tm.with_tokens(table(spark, sf, "documents").select("doc_id", F.col("source").alias("topic"), "text"), "text")
+        docs = stage(docs.drop("text"), "tokens")  # cut into words once, for the fit and for the vectors
         return stage(tm.embed(docs, tm.fit_hashed_embedding(docs)), "embedded")
 
     return once(spark, sf, "embedded", make)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -258,10 +258,10 @@ def cluster_from(
 
 
 def topic_term_counts(assigned: DataFrame, key: str, text: str) -> DataFrame:
-    """topic, term, tf over all documents of the topic. Counts leave each document already summed."""
+    """topic, term, tf over all documents of the topic. A task's words are summed up before they are shuffled."""
     words = spread_input(assigned.select(key, "topic", text), key)
-    per_doc = term_counts(words.select("topic", tokens(F.col(text), WORD_CHARS).alias("_t")), "_t", ["topic"])
-    return per_doc.groupBy("topic", "term").agg(F.sum("tf").alias("tf"))
+    every = words.select("topic", F.explode(tokens(F.col(text), WORD_CHARS)).alias("term"))
+    return every.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def class_tfidf(counts: DataFrame) -> DataFrame:
@@ -310,6 +310,9 @@ def representative_documents(
     """
     docs = spread_input(assigned.select(key, "topic", text), key)
     sized = docs.select(key, "topic", tokens(F.col(text), WORD_CHARS).alias("_t")).withColumn("_len", F.size("_t"))
+    few = listed_words(words)
+    if few is not None:  # drop the other words before they are counted
+        sized = sized.withColumn("_t", only_words(F.col("_t"), few))
     counted = term_counts(sized, "_t", [key, "topic", "_len"])
     used = join_small(counted, words.select("topic", "term", "weight"), ["topic", "term"], F.col(key))
     scored = used.groupBy("topic", key).agg(
@@ -335,22 +338,70 @@ def topic_info(assigned: DataFrame, words: DataFrame, key: str, text: str) -> Da
     )
 
 
+def listed_words(words: DataFrame) -> list[str] | None:
+    """The different terms of ``words``, None when there are more than ``LISTED_WORDS``."""
+    few = [r["term"] for r in words.select("term").where("term IS NOT NULL").distinct().limit(LISTED_WORDS + 1).collect()]
+    return few if len(few) <= LISTED_WORDS else None
+
+
+def only_words(words: Column, few: list[str]) -> Column:
+    return F.filter(words, lambda w: w.isin(few))
+
+
 def word_vectors(docs: DataFrame, words: DataFrame, token_column: str = "tokens", vector: str = "vector") -> DataFrame:
     """term, vector: mean of the vectors of the documents using the term, for the terms in ``words``."""
-    terms = words.select("term").distinct()
-    distinct = F.array_distinct(token_column)
-    few = [r["term"] for r in terms.limit(LISTED_WORDS + 1).collect()]
-    if len(few) <= LISTED_WORDS:  # drop the other words before a vector is repeated for each
-        distinct = F.array_intersect(distinct, F.array(*[F.lit(t) for t in few]).cast("array<string>"))
+    few = listed_words(words)
+    if few is not None:
+        return _listed_vectors(docs, sorted(few), token_column, vector)
     used = docs.select(
-        F.explode(distinct).alias("term"),
+        F.explode(F.array_distinct(token_column)).alias("term"),
         array_to_vector(F.col(vector).cast("array<double>")).alias("_v"),
         F.xxhash64(vector).alias("_spread"),
     )
-    wanted = used if len(few) <= LISTED_WORDS else join_small(used, terms, ["term"], F.col("_spread"), "left_semi")
+    wanted = join_small(used, words.select("term").distinct(), ["term"], F.col("_spread"), "left_semi")
     return wanted.groupBy("term").agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("vector"))
 
 
+def _listed_vectors(docs: DataFrame, few: list[str], token_column: str, vector: str) -> DataFrame:
+    """``word_vectors`` of few words: a task adds up its documents' vectors as matrix products, some documents at a time,
+    and passes on a row per word; no vector is repeated for each word of its document."""
+    terms = pa.array(few, pa.string())
+    step = max(1, BLOCK_NUMBERS // max(1, len(few)))
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = None, np.zeros(len(few), np.int64)
+        for batch in batches:
+            batch = batch.filter(pc.greater(pc.list_value_length(batch.column(0)), 0))
+            words, vectors = batch.column(0), batch.column(1)
+            if not len(batch):
+                continue
+            if vectors.null_count or len(pc.unique(pc.list_value_length(vectors))) > 1:
+                raise ValueError("documents without a vector, or with vectors of several lengths")
+            matrix = pc.list_flatten(vectors).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
+            if total is None:
+                total = np.zeros((len(few), matrix.shape[1]))
+            if matrix.shape[1] != total.shape[1]:
+                raise ValueError("vectors of several lengths")
+            place = pc.index_in(pc.list_flatten(words), value_set=terms).to_numpy(zero_copy_only=False)
+            row = pc.list_parent_indices(words).to_numpy()
+            for at in range(0, len(batch), step):
+                low, high = np.searchsorted(row, [at, at + step])
+                holds = np.zeros((len(few), min(step, len(batch) - at)))
+                holds[place[low:high], row[low:high] - at] = 1.0
+                total += holds @ matrix[at : at + step]
+                rows += holds.sum(axis=1).astype(np.int64)
+        if total is not None and rows.any():
+            found = np.flatnonzero(rows)
+            mean = total[found] / rows[found, None]
+            ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * mean.shape[1])
+            columns = [terms.take(pa.array(found)), pa.ListArray.from_arrays(ends, pa.array(mean.ravel())), pa.array(rows[found].astype(np.float64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "mean", "n"])
+
+    used = docs.select(only_words(F.col(token_column), few).alias("_words"), F.col(vector).alias("_v"))
+    parts = used.mapInArrow(means, "term string, mean array<double>, n double")
+    return parts.groupBy("term").agg(vector_to_array(Summarizer.mean(array_to_vector("mean"), F.col("n"))).alias("vector"))
+
+
 def diverse_words(
     candidates: DataFrame, vectors: DataFrame, means: DataFrame, n: int = TOP_WORDS, diversity: float = DIVERSITY
 ) -> DataFrame:
