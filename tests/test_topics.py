@@ -293,6 +293,17 @@ def test_distribution_in_blocks_of_topics(spark, weights, monkeypatch, block, en
     assert got == distribution(texts, weights.collect())
 
 
+@pytest.mark.parametrize("at_hand, entries", [(0, 200_000), (8, 5), (500_000, 7)])
+def test_distribution_with_common_words_at_hand(spark, weights, monkeypatch, at_hand, entries):
+    """No, some and all words known by number give the same; these are looked up by no join and not repeated per topic."""
+    texts = list(enumerate(["great film great actors of the game", "fun", "the film film was fun game game game", "nothing known here", "", "game " * 9, None]))
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    monkeypatch.setattr(tm, "WEIGHTS_AT_HAND", at_hand)
+    monkeypatch.setattr(tm, "SLICE_ENTRIES", entries)
+    got = {(r.doc_id, r.topic): round(r.share, 6) for r in tm.topic_distribution(frame, weights, "doc_id", "text").collect()}
+    assert got == distribution([t for t in texts if t[1] is not None], weights.collect())
+
+
 def test_distribution_of_a_long_text_over_many_topics(spark):
     """20,000 words and 5,000 topics: a row holds a block of topics, never words times topics."""
     import random

@@ -21,7 +21,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from voxsift.functions.text import term_counts, term_positions, tokens
+from voxsift.functions.text import WORDS_AT_ONCE, term_counts, term_positions, tokens
 from voxsift.functions.vectors import BLOCK_NUMBERS, DECIMALS, batch_matrix, best_match, unit
 from voxsift.operators.joins import has_at_most, hot_keys, join_salted, join_small
 from voxsift.operators.ranking import top_k
@@ -52,6 +52,8 @@ MAX_TOPICS = 10_000
 # Topics that a text's windows are compared with in one row, about; places times topics worked on at once.
 TOPIC_BLOCK = 64
 SLICE_ENTRIES = 200_000
+# Weights (of a word in a topic) that every task has at hand, at most; four topics leave room for 125,000 words.
+WEIGHTS_AT_HAND = 500_000
 # Up to this many words are looked for as a list, more by a join.
 LISTED_WORDS = 2000
 # Words of a projection, numbers of a projected vector, and numbers that one hash gives signs for.
@@ -521,24 +523,31 @@ def topic_distribution(
     weights by cosine; similarities of at least ``min_similarity`` are added up per topic and scaled
     to sum 1. Texts without any such window have no rows.
 
-    Topics are taken in blocks of about ``TOPIC_BLOCK``, and a text meets only blocks with topics of its words, so what one row
-    holds is bounded by the text and the block, however many topics there are. The sum over a window is a difference of
-    running sums over the positions where a topic has weight.
+    Up to ``TOPIC_BLOCK`` topics, the words that occur most are known to every task by number, with their weights; only other
+    words are looked up by a join, and a text goes to them as the numbers of its words. With more topics every word is
+    looked up: topics are taken in blocks of about ``TOPIC_BLOCK``, and a text meets only blocks with topics of its words, so
+    what one row holds is bounded by the text and the block, however many topics there are. The sum over a window is a
+    difference of running sums over the positions where a topic has weight.
     """
     weights = stage(weights, "topic-weights")
     sizes = weights.groupBy("topic").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"))
-    blocks = max(1, -(-sizes.count() // TOPIC_BLOCK))
+    topics = sizes.count()
+    blocks = max(1, -(-topics // TOPIC_BLOCK))
     norms = join_small(weights, sizes, ["topic"], spread=F.col("term"))
     scaled = norms.select(
-        "term", "idf", F.pmod(F.xxhash64("topic"), F.lit(blocks)).alias("block"), "topic", (F.col("weight") / F.col("_norm")).alias("w")
+        "term", "tf", "idf", F.pmod(F.xxhash64("topic"), F.lit(blocks)).alias("block"), "topic", (F.col("weight") / F.col("_norm")).alias("w")
     )
-    packed = scaled.groupBy("term", "block").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("topic", "w")).alias("by_topic"))
-    if blocks > 1:  # the length of a window counts words without weight in a block too
-        every = scaled.groupBy("term").agg(F.first("idf").alias("idf")).withColumn("block", F.lit(-1).cast("long"))
-        packed = packed.unionByName(every, allowMissingColumns=True)
-
+    by_topic = F.collect_list(F.struct("topic", "w")).alias("by_topic")
     spread = spread_input(docs.select(key, text), key)
     words = spread.select(key, tokens(F.col(text), WORD_CHARS).alias("_t")).withColumn("_len", F.size("_t"))
+    if blocks == 1:
+        packed = stage(scaled.groupBy("term").agg(F.first("idf").alias("idf"), F.sum("tf").alias("tf"), by_topic), "packed-weights")
+        return _shares(_sums_by_number(words, packed, key, WEIGHTS_AT_HAND // max(1, topics), window, min_similarity), key)
+    packed = scaled.groupBy("term", "block").agg(F.first("idf").alias("idf"), by_topic)
+    # the length of a window counts words without weight in a block too
+    every = scaled.groupBy("term").agg(F.first("idf").alias("idf")).withColumn("block", F.lit(-1).cast("long"))
+    packed = packed.unionByName(every, allowMissingColumns=True)
+
     # a common word occurs in most texts: its rows are divided over several tasks
     hot = hot_keys(weights.groupBy("term").agg(F.sum("tf").alias("tf")), ["term"], "tf")
     known = join_salted(term_positions(words, "_t", [key, "_len"]), packed, ["term"], F.col(key), hot=hot)
@@ -547,38 +556,143 @@ def topic_distribution(
 
     @F.arrow_udf("array<double>")
     def lengths(words: pa.Array, sizes: pa.Array) -> pa.Array:
-        found, out = words.flatten(), []
-        idf = found.field("idf").to_numpy(zero_copy_only=False)
-        place, first_place = found.field("positions").flatten().to_numpy(), _starts(found.field("positions"))
-        first_word = _starts(words)
-        for i, size in enumerate(sizes.to_numpy(zero_copy_only=False)):
-            a, b = first_word[i], first_word[i + 1]
-            line = np.full(size, -1)  # which of the text's words stands at each position
-            line[place[first_place[a] : first_place[b]]] = np.repeat(np.arange(a, b), np.diff(first_place[a : b + 1]))
-            out.append(window_lengths(line, idf, window))
-        return pa.array(out, pa.list_(pa.float64()))
-
-    kind = weights.schema["topic"].dataType
-
-    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("topic", kind), T.StructField("sum", T.DoubleType())])))
+        return _lengths(words, sizes, window)
+
+    @F.arrow_udf(_sums_type(weights.schema["topic"].dataType))
     def summed(words: pa.Array, lengths: pa.Array) -> pa.Array:
-        entries, parts = _starts(words), []
-        cost = np.cumsum(np.bincount(np.repeat(np.arange(len(words)), np.diff(entries)), minlength=len(words), weights=_links(words)))
-        cuts = np.flatnonzero(np.diff(np.floor(cost / SLICE_ENTRIES))) + 1  # some texts at a time
-        for low, high in zip([0, *cuts], [*cuts, len(words)]):
-            parts.append(_topic_sums(words.slice(low, high - low), lengths.slice(low, high - low), window, min_similarity))
-        return pa.concat_arrays([p for p in parts if p is not None] or [pa.nulls(0)])
+        entries = _starts(words)
+        cost = np.bincount(np.repeat(np.arange(len(words)), np.diff(entries)), minlength=len(words), weights=_links(words))
+        return _in_slices(cost, lambda low, n: _topic_sums(words.slice(low, n), lengths.slice(low, n), window, min_similarity))
 
-    if blocks == 1:
-        whole = grouped.withColumn("lengths", lengths("words", "_len"))
-    else:
-        measured = grouped.where("block < 0").select(key, lengths("words", "_len").alias("lengths"))
-        whole = grouped.where("block >= 0").join(measured, key)
-    sums = whole.select(key, F.explode(summed("words", "lengths")).alias("x")).select(key, "x.topic", "x.sum")
+    measured = grouped.where("block < 0").select(key, lengths("words", "_len").alias("lengths"))
+    whole = grouped.where("block >= 0").join(measured, key)
+    return _shares(whole.select(key, F.explode(summed("words", "lengths")).alias("x")).select(key, "x.topic", "x.sum"), key)
+
+
+def _shares(sums: DataFrame, key: str) -> DataFrame:
     total = F.sum("sum").over(Window.partitionBy(key))  # at most a row per topic
     return sums.select(key, "topic", (F.col("sum") / total).alias("share"))
 
 
+def _sums_by_number(words: DataFrame, packed: DataFrame, key: str, at_hand: int, window: int, min_similarity: float) -> DataFrame:
+    """key, topic, sum of the windows' similarities. ``words`` has the key, the words ``_t`` and their number ``_len``; ``packed``
+    the weights by topic of each term and how often it occurs.
+
+    The terms that occur most, ``at_hand`` at most, go to every task, where a text becomes the numbers of its words; its
+    other words are joined with their weights, and both meet at the key. So texts and weights of common words are not moved.
+    """
+    level = F.coalesce(F.floor(4 * F.log2(F.col("tf").cast("double"))), F.lit(-1).cast("long"))
+    bar, held = None, 0
+    for at, n in sorted(packed.groupBy(level.alias("level")).count().collect(), reverse=True):  # four rows per power of two
+        held += n
+        if held > at_hand:
+            break
+        bar = at
+    common, others = (packed.where(F.lit(False)), packed) if bar is None else (packed.where(level >= bar), packed.where(level < bar))
+    weight = [F.col("by_topic.topic").alias("topic"), F.col("by_topic.w").alias("w")]
+    table = common.select("term", "idf", *weight).toArrow()
+    shared = words.sparkSession.sparkContext.broadcast([table[c].combine_chunks() for c in table.column_names])
+
+    @F.arrow_udf("line array<int>, rare array<struct<term string, positions array<int>>>")
+    def numbered(words: pa.Array) -> pa.Array:
+        ends = np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))
+        cuts = np.flatnonzero(np.diff(ends // WORDS_AT_ONCE)) + 1
+        return pa.concat_arrays([_numbered(words.slice(low, high - low), shared.value[0]) for low, high in zip([0, *cuts], [*cuts, len(words)])])
+
+    texts = words.where("_len > 0").select(key, "_len", numbered.asNondeterministic()("_t").alias("_x"))
+    texts = stage(texts.select(key, "_len", "_x.*"), "numbered-words")
+    rare = texts.select(key, "_len", F.explode("rare").alias("_r")).select(key, "_len", "_r.term", "_r.positions")
+    entry = F.struct("positions", "idf", *weight).alias("word")
+    looked_up = rare.join(others, "term").select(key, "_len", entry)
+    both = looked_up.unionByName(texts.select(key, "_len", "line"), allowMissingColumns=True)
+    whole = both.groupBy(key, "_len").agg(F.collect_list("line").alias("lines"), F.collect_list("word").alias("words"))
+
+    @F.arrow_udf(_sums_type(packed.schema["by_topic"].dataType.elementType["topic"].dataType))
+    def summed(lines: pa.Array, words: pa.Array, sizes: pa.Array) -> pa.Array:
+        _, idf, topic, w = shared.value
+        topics = np.append(np.diff(_starts(topic)), 0)  # none for a word without a number
+        numbers, entries = pc.list_flatten(lines), _starts(words)
+        row = pc.list_parent_indices(lines).to_numpy()[pc.list_parent_indices(numbers).to_numpy()]
+        cost = np.bincount(row, minlength=len(lines), weights=topics[pc.list_flatten(numbers).to_numpy()])
+        cost += np.bincount(np.repeat(np.arange(len(words)), np.diff(entries)), minlength=len(words), weights=_links(words))
+
+        def part(low: int, n: int) -> pa.Array | None:
+            every = _with_numbers(lines.slice(low, n), words.slice(low, n), idf, topic, w)
+            return _topic_sums(every, _lengths(every, sizes.slice(low, n), window), window, min_similarity)
+
+        return _in_slices(cost, part)
+
+    found = whole.select(key, F.explode(summed.asNondeterministic()("lines", "words", "_len")).alias("x"))
+    return found.select(key, "x.topic", "x.sum")
+
+
+def _sums_type(topic: T.DataType) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField("topic", topic), T.StructField("sum", T.DoubleType())]))
+
+
+def _in_slices(cost: np.ndarray, part: Callable[[int, int], pa.Array | None]) -> pa.Array:
+    """``part`` of some rows at a time, from a row on and so many."""
+    cuts = np.flatnonzero(np.diff(np.floor(np.cumsum(cost) / SLICE_ENTRIES))) + 1
+    parts = [part(low, high - low) for low, high in zip([0, *cuts], [*cuts, len(cost)])]
+    return pa.concat_arrays([p for p in parts if p is not None] or [pa.nulls(0)])
+
+
+def _runs(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that puts equal numbers together, and where each run of them begins in it."""
+    order = np.argsort(group, kind="stable")
+    ranked = group[order]
+    return order, np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)])
+
+
+def _numbered(words: pa.Array, terms: pa.Array) -> pa.Array:
+    """Per text the place of each of its words in ``terms``, -1 for others, and the positions of each of the others."""
+    flat, starts = pc.list_flatten(words), _starts(words)
+    place = pc.index_in(flat, value_set=terms)
+    line = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pc.fill_null(place, -1))
+    at = np.flatnonzero(pc.is_null(place).to_numpy(zero_copy_only=False))
+    coded, row = flat.take(pa.array(at)).dictionary_encode(), pc.list_parent_indices(words).to_numpy()[at].astype(np.int64)
+    wide = max(1, len(coded.dictionary))
+    group = row * wide + coded.indices.to_numpy()
+    order, begin = _runs(group)
+    row, term = np.divmod(group[order][begin], wide)
+    positions = pa.ListArray.from_arrays(pa.array(np.append(begin, len(at)), pa.int32()), pa.array((at - starts[group // wide])[order], pa.int32()))
+    runs = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(term)), positions], names=["term", "positions"])
+    rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(words) + 1)), pa.int32()), runs)
+    return pa.StructArray.from_arrays([line, rare], names=["line", "rare"])
+
+
+def _with_numbers(lines: pa.Array, words: pa.Array, idf: pa.Array, topic: pa.Array, w: pa.Array) -> pa.Array:
+    """``words`` with the words that ``lines`` tell by number, in one list per row."""
+    numbers, found = pc.list_flatten(lines), words.flatten()
+    number, text = pc.list_flatten(numbers).to_numpy(), pc.list_parent_indices(numbers).to_numpy().astype(np.int64)
+    at = np.arange(len(number)) - _starts(numbers)[text]
+    held, wide = number >= 0, max(1, len(idf))
+    group = text[held] * wide + number[held]
+    order, begin = _runs(group)
+    text, number = np.divmod(group[order][begin], wide)
+    positions = pa.ListArray.from_arrays(pa.array(np.append(begin, len(group)), pa.int32()), pa.array(at[held][order], pa.int32()))
+    number = pa.array(number)
+    common = pa.StructArray.from_arrays([positions, idf.take(number), topic.take(number), w.take(number)], names=["positions", "idf", "topic", "w"])
+    owner = np.concatenate([pc.list_parent_indices(lines).to_numpy()[text], pc.list_parent_indices(words).to_numpy()])
+    order = np.argsort(owner, kind="stable")
+    every = pa.concat_arrays([common.cast(found.type), found]).take(pa.array(order))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[order], np.arange(len(lines) + 1)), pa.int32()), every)
+
+
+def _lengths(words: pa.Array, sizes: pa.Array, window: int) -> pa.Array:
+    """The length of each window's vector, per text of so many words."""
+    found, out = words.flatten(), []
+    idf = found.field("idf").to_numpy(zero_copy_only=False)
+    place, first_place = found.field("positions").flatten().to_numpy(), _starts(found.field("positions"))
+    first_word = _starts(words)
+    for i, size in enumerate(sizes.to_numpy(zero_copy_only=False)):
+        a, b = first_word[i], first_word[i + 1]
+        line = np.full(size, -1)  # which of the text's words stands at each position
+        line[place[first_place[a] : first_place[b]]] = np.repeat(np.arange(a, b), np.diff(first_place[a : b + 1]))
+        out.append(window_lengths(line, idf, window))
+    return pa.array(out, pa.list_(pa.float64()))
+
+
 def _starts(lists: pa.Array) -> np.ndarray:
     """Where each list begins in the flattened values, and their number at the end."""
     return np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
@@ -648,5 +762,5 @@ def _topic_sums(words: pa.Array, lengths: pa.Array, window: int, min_similarity:
     some = total > 0
     keys, total = keys[some], total[some]
     row, topic = np.divmod(keys, max(1, len(names.dictionary)))
-    values = pa.StructArray.from_arrays([names.dictionary.take(pa.array(topic)), pa.array(total)], names=["topic", "sum"])
+    values = pa.StructArray.from_arrays([names.dictionary.take(pa.array(topic)), pa.array(total, pa.float64())], names=["topic", "sum"])
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(words) + 1)), pa.int32()), values)
