@@ -165,6 +165,50 @@ def test_a_batch_reads_the_folders_its_keys_are_in(spark, folder):
     assert target.pending().isEmpty() and target.read().count() == 800
 
 
+def test_batches_run_side_by_side(spark, folder):
+    """Two batches wait for each other; where the extraction bounds its calls by tasks there is one at a time."""
+    import threading
+
+    target = AnalysisTarget(spark, folder)
+    target.seed(reviews(spark, 40))
+    both, inside = threading.Barrier(2, timeout=60), []
+
+    class Meeting(LexiconExtraction):
+        def analyse(self, rows):
+            both.wait()
+            return super().analyse(rows)
+
+    log = run_batches(target, Meeting(domains(), WORDS), batch_size=10, at_once=2)
+    assert [e["batch"] for e in log] == [1, 2, 3, 4] and [e["rows_in"] for e in log] == [10] * 4
+    assert target.pending().isEmpty() and target.history().where("operation = 'analyse'").count() == 4
+
+    class Alone(ModelExtraction):
+        def analyse(self, rows):
+            inside.append(target.history().where("operation = 'analyse'").count())
+            return super().analyse(rows)
+
+    target.seed(reviews(spark, 30), reset=True)
+    run_batches(target, Alone(domains(), lexicon_model(WORDS), tasks=2), batch_size=10)
+    assert [n - inside[0] for n in inside] == [0, 1, 2]
+
+
+def test_a_failing_batch_ends_the_run_and_keeps_the_others(spark, folder):
+    target = AnalysisTarget(spark, folder)
+    target.seed(reviews(spark, 30))
+
+    class Broken(LexiconExtraction):
+        def analyse(self, rows):
+            if rows.where("review_id = 15").count():
+                raise RuntimeError("no more")
+            return super().analyse(rows)
+
+    with pytest.raises(RuntimeError, match="no more"):
+        run_batches(target, Broken(domains(), WORDS), batch_size=10, at_once=3)
+    assert 10 <= target.pending().count() <= 20
+    run_batches(target, lexicon(), batch_size=10)
+    assert target.pending().isEmpty() and target.read().count() == 30
+
+
 def test_failures_rewrite_only_their_folders(spark, folder):
     target = AnalysisTarget(spark, folder)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")

@@ -12,12 +12,15 @@ is published. A key that was answered twice, by two runs at once, has one result
 
 from __future__ import annotations
 
+import threading
 import uuid
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from voxsift.functions.documents import RESULT_COLUMN, error_of
@@ -31,6 +34,8 @@ from voxsift.sources.tables import pending, processed, with_empty_result
 # Rows per committed batch, and the first batch of the threaded variant.
 BATCH_SIZE = 10
 FIRST_BATCH = 100
+# Batches under way at once.
+BATCHES_AT_ONCE = 8
 
 LOG_SCHEMA = "run_id string, batch int, operation string, rows_in long, rows_errored long, started timestamp, ended timestamp"
 
@@ -48,6 +53,7 @@ class AnalysisTarget:
         self.key = key
         self.column = column
         self._current: str | None = None
+        self._logging = threading.Lock()
 
     # --- state ---------------------------------------------------------------------------------
 
@@ -278,7 +284,8 @@ class AnalysisTarget:
     def _log(self, run_id, batch, operation, rows_in, rows_errored, started) -> dict[str, Any]:
         entry = (run_id, batch, operation, rows_in, rows_errored, started, datetime.now(timezone.utc))
         log = self.spark.createDataFrame([entry], LOG_SCHEMA)
-        log.coalesce(1).write.mode("append").json(f"{self.root}/log")
+        with self._logging:  # one write into a folder at a time
+            log.coalesce(1).write.mode("append").json(f"{self.root}/log")
         return dict(zip(log.columns, entry))
 
 
@@ -322,26 +329,40 @@ def run_batches(
     first_batch: int | None = None,
     max_batches: int | None = None,
     fold: bool = True,
+    at_once: int = BATCHES_AT_ONCE,
 ) -> list[dict[str, Any]]:
     """Analyse all pending rows, ``batch_size`` per commit, and return the log entries.
 
-    The batches are key intervals fixed at the start, and a batch reads the folders that its interval meets. A run that is stopped loses at most the batch
-    it was in: the next run finds the rows still pending. A row whose analysis fails gets a document
-    with the error, so the run ends.
+    The batches are key intervals fixed at the start, and a batch reads the folders that its interval meets. They are begun in
+    order, ``at_once`` of them side by side; an extraction whose ``tasks`` bound its calls has one at a time. A run that is
+    stopped loses at most the batches it was in: the next run finds the rows still pending. A row whose analysis fails gets
+    a document with the error, so the run ends.
     """
     earlier, entries = target.answers(), [e for e in target._entries() if e["pending"]]
     columns = target._read([]).columns
     run_id = uuid.uuid4().hex[:12]
     log = []
     bounds = batch_bounds(target.pending(), target.key, batch_size, first_batch)
-    for bound in _in_order(bounds, max_batches):
+
+    def run(bound: T.Row) -> dict[str, Any]:
         interval = F.col(target.key).between(bound["first_key"], bound["last_key"])
         met = [e for e in entries if e["first_key"] <= bound["last_key"] and e["last_key"] >= bound["first_key"]]
         rows = pending(target._read(met), target.column).where(interval)
         if earlier is not None:
             rows = rows.join(earlier.where(interval).select(target.key), target.key, "left_anti")
         analysed = extraction.analyse(rows).select(*columns)
-        log.append(target.record(analysed, run_id, bound["batch"]))
+        return target.record(analysed, run_id, bound["batch"])
+
+    if extraction.tasks:
+        at_once = 1
+    run = inheritable_thread_target(target.spark)(run)
+    with ThreadPoolExecutor(at_once) as pool:
+        begun = deque()
+        for bound in _in_order(bounds, max_batches):
+            begun.append(pool.submit(run, bound))
+            if len(begun) >= at_once:
+                log.append(begun.popleft().result())
+        log += [batch.result() for batch in begun]
     if fold and log:
         target.fold()
     return log

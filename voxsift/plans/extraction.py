@@ -35,6 +35,8 @@ CATCH_ALL_WHEN = "the parts of the review that belong to no other category"
 class Extraction:
     """Common part: adds the document column, from a breakdown, a selection and its rationale."""
 
+    tasks: int | None = None  # the tasks of an analysis, where they bound the calls in flight
+
     def __init__(self, domains: DomainSet, review: str = "review", rating: str = "rating",
                  result: str = doc.RESULT_COLUMN, catch_all: Mapping[str, str] = CATCH_ALL_FIELDS):
         self.domains = domains
