@@ -270,6 +270,27 @@ def test_later_triggers_read_no_stored_reviews(spark, folder):
     assert stored == []
 
 
+def test_the_stream_keeps_its_keys_without_a_function_for_each(spark, folder):
+    """Answered, stored and new keys, each arriving more than once, with the key state kept by Spark alone."""
+    from voxsift.streaming.reviews import new_reviews
+
+    target = AnalysisTarget(spark, folder + "/target")
+    target.seed(reviews(spark, 6))
+    target.record(lexicon().analyse(target.rows().where("review_id < 4")), "before", 0)  # ids 0 to 3
+    source, progress = folder + "/arriving", folder + "/progress"
+    for start in (0, 2, 4):  # ids 0 to 5, 2 to 7, 4 to 9, the first of each file twice
+        reviews(spark, 6, start).union(reviews(spark, 1, start)).coalesce(1).write.mode("append").parquet(source)
+    arriving = read_review_files(spark, source, reviews(spark, 1).schema, files_per_batch=1)
+    known = target.read().select("review_id", F.col("analysis").isNotNull().alias("answered"))
+    plan = new_reviews(arriving, known, "review_id")._jdf.queryExecution().analyzed().toString()
+    assert "InPandas" not in plan
+    stream_analysis(arriving, target, lexicon(), progress).awaitTermination()
+    held = target.read().select("review_id", "analysis").collect()
+    assert sorted(r["review_id"] for r in held) == list(range(10)) and all(r["analysis"] for r in held)
+    answered = target.answers().groupBy("review_id").count().collect()
+    assert sorted(map(tuple, answered)) == [(i, 1) for i in range(10)]  # none analysed again
+
+
 def test_a_micro_batch_repeated_after_a_lost_driver(spark, folder):
     from voxsift.streaming.reviews import commit_micro_batch
 

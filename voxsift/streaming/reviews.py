@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from voxsift.operators.merge import missing_from_large
 from voxsift.plans.batches import AnalysisTarget
@@ -44,44 +41,23 @@ def analyse_micro_batch(target: AnalysisTarget, extraction: Extraction, batch: D
     target.record(analysed, "stream", batch_id, "stream")
 
 
-# What the stream adds to a review: whether the row only tells that its key is in the target, and has a result there.
-_MARKS = ("_known", "_answered")
-
-
-def first_of_key(key: str, columns: list[str]):
-    """Passes on the first row of each key that has no result and was not passed on before, with ``_stored`` if the target
-    holds it. The state of a key that is known is whether it is done with."""
-
-    def first(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stored, done, new = state.exists, state.exists and bool(state.get[0]), None
-        for frame in frames:
-            marks = frame["_known"].astype(bool)
-            stored, done = stored or bool(marks.any()), done or bool(frame["_answered"].astype(bool).any())
-            if new is None and not marks.all():
-                new = frame[~marks].iloc[:1][columns]
-        passed = new is not None and not done
-        state.update((done or passed,))
-        if passed:
-            yield new.assign(_stored=stored)
-
-    return first
+# Columns of the keys that the target holds: the key, and whether it has a result there.
+_KNOWN, _ANSWERED = "_known", "_answered"
 
 
 def new_reviews(reviews: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """The stream's reviews that are to be analysed, once each, with ``_stored`` if the target holds the review already.
 
-    A state per key says what is known of it, so nothing stored is read again. ``known``, a stream of keys and whether they
-    have a result, are those there when the stream began; they all come in its first micro-batch. A review without a key
-    is an error.
+    ``known`` is the table of keys the target held when the stream began, with ``answered``; reviews with a result there are
+    left out. Which keys came before is the state of ``dropDuplicates``, kept in the JVM: no function is called for a
+    key, and no stored reviews are read again. A review without a key is an error.
     """
     missing = F.raise_error(F.lit(f"a review without {key}")).cast(reviews.schema[key].dataType)
-    own = reviews.withColumn(key, F.coalesce(F.col(key), missing)).withColumns({c: F.lit(False) for c in _MARKS})
-    nothing = [F.col(key) if c == key else F.lit(None).cast(reviews.schema[c].dataType).alias(c) for c in reviews.columns]
-    marks = known.select(*nothing, F.lit(True).alias(_MARKS[0]), F.col("answered").alias(_MARKS[1]))
-    schema = T.StructType([*reviews.schema.fields, T.StructField("_stored", T.BooleanType())])
-    return own.unionByName(marks).groupBy(key).applyInPandasWithState(
-        first_of_key(key, reviews.columns), schema, "done boolean", "append", GroupStateTimeout.NoTimeout
-    )
+    own = reviews.withColumn(key, F.coalesce(F.col(key), missing))
+    held = known.select(F.col(key).alias(_KNOWN), F.col("answered").alias(_ANSWERED))
+    found = own.join(held, own[key] == held[_KNOWN], "left")
+    left = found.where(~F.coalesce(F.col(_ANSWERED), F.lit(False)))
+    return left.select(*[own[c] for c in reviews.columns], F.col(_KNOWN).isNotNull().alias("_stored")).dropDuplicates([key])
 
 
 def commit_micro_batch(target: AnalysisTarget, extraction: Extraction, batch: DataFrame, batch_id: int, stream_id: str) -> None:
@@ -102,8 +78,10 @@ def stream_analysis(
     """Start the stream. Without a trigger it takes what is there and stops (``availableNow``).
 
     A review that has a result when the stream is first started, or that came before in the stream, is left out; one that
-    the target holds without a result is analysed and not added again. What is known of a key is state in the stream's
-    checkpoint (a session with many keys should use the RocksDB state store), so a trigger reads no stored reviews. The
+    the target holds without a result is analysed and not added again. The keys that came are state in the stream's
+    checkpoint (a session with many keys should use the RocksDB state store), those of the target at the start a table beside
+    it, so a trigger reads no stored reviews. A checkpoint of the form before, with a Python function's state, is not taken
+    up: start such a stream with a new one. The
     stream does not know what others put into the target while it runs; where they do, use ``analyse_micro_batch``, which
     compares with the target each time.
     """
@@ -112,8 +90,7 @@ def stream_analysis(
     known = f"{checkpoint}/known-keys"
     if not versions.path_exists(spark, f"{known}/_SUCCESS"):
         target.read().select(target.key, F.col(target.column).isNotNull().alias("answered")).write.mode("overwrite").parquet(known)
-    keys = spark.readStream.schema(spark.read.parquet(known).schema).parquet(known)
-    fresh = new_reviews(reviews, keys, target.key)
+    fresh = new_reviews(reviews, spark.read.parquet(known), target.key)
 
     def commit(batch: DataFrame, batch_id: int) -> None:
         stream_id = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
