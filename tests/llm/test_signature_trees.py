@@ -131,3 +131,29 @@ def test_traversal_finds_what_bounds_allow():
     a, b = np.array(pairs).T
     want = np.array(pairs)[rows.possible(a, b, 80)].tolist()
     assert want and got == [tuple(p) for p in want]
+
+
+def test_a_pair_is_made_in_the_first_tree_that_both_rows_name():
+    """Two rows in ten trees, each tree in a task of its own: one pair in all; without a tree in common among those
+    named, one for each tree; none where the larger bitmaps tell the sets apart."""
+    import pandas as pd
+
+    draw = np.random.default_rng(3)
+    one = np.unique(draw.integers(0, 2**63, 300, dtype=np.int64)).astype(np.uint64)
+    near = np.concatenate([one[:-10], np.unique(draw.integers(0, 2**63, 10, dtype=np.int64)).astype(np.uint64)])
+    far = np.concatenate([one[:190], np.unique(draw.integers(0, 2**63, 110, dtype=np.int64)).astype(np.uint64)])
+
+    def pairs(other, named):
+        made = 0
+        for gram in range(10):
+            rows = [(gram, 0, 0, 0, k, k, len(s), trees.bitmap(s), trees.folded(trees.wide_bitmap(s), trees.CARRIED_BITS), names)
+                    for k, (s, names) in enumerate(zip((one, other), named))]
+            frame = pd.DataFrame(rows, columns=["gram", "one", "two", "side", "node", "label", "n", "bits", "wide", "named"])
+            made += len(trees.pairs_of(frame, 80))
+        return made
+
+    first = list(range(trees.CARRIED_TREES))
+    assert pairs(near, (first, first)) == 1
+    assert pairs(near, ([0, 1], [2, 3])) == 10
+    assert pairs(near, ([], [])) == 10
+    assert pairs(far, ([], [])) == 0

@@ -6,8 +6,8 @@ come last in the order, so common lines and templates bring nobody together unle
 pass takes each set's first n-grams. The nodes that share one are the leaves of a tree: rows carry a bitmap of their n-grams
 and their size, the nodes above them OR-combined bitmaps and ranges of sizes. A tree is walked against itself from the
 root: a pair of nodes is dropped if their sizes cannot fit, if all below them is linked already, or if the most that any
-two sets below them can have in common, judged by the bitmaps, is too little. Pairs of rows that are left are compared on
-their whole sets.
+two sets below them can have in common, judged by the bitmaps, is too little. A pair of rows that is left is judged by larger
+bitmaps, in the first only of the trees that both rows are in, and what remains is compared on whole sets.
 
 A tree of many rows is cut into blocks; the blocks' bitmaps and ranges are the upper level, compared in Spark, and pairs
 of blocks that may hold a link go to tasks of their own. Before that, every row is compared with the first row of its
@@ -36,6 +36,8 @@ GRAM_BITS = 48
 #: An n-gram counted more often comes last in the order; so many at most, the most frequent ones, are kept for it. What is
 #: left out of them costs time and loses nothing, as any order will do.
 FREQUENT, MOST_FREQUENT = 64, 100_000
+#: Most bits of the larger bitmap that rows carry into their trees, and how many of its trees a row names.
+CARRIED_BITS, CARRIED_TREES = 2048, 6
 #: N-grams counted together in the first pass.
 COUNTED = 1 << 20
 #: Rows of a block of a tree, and children of a node.
@@ -169,6 +171,14 @@ def wide_bitmap(grams: np.ndarray) -> bytes:
     return np.packbits(marked).tobytes()
 
 
+def folded(bitmap: bytes, most: int) -> bytes:
+    """A wide bitmap as it would be with ``most`` bits at most."""
+    marked = np.frombuffer(bitmap, np.uint8)
+    while 8 * len(marked) > most:
+        marked = marked[: len(marked) // 2] | marked[len(marked) // 2 :]
+    return marked.tobytes()
+
+
 def most_shared(x: bytes, y: bytes, n: int, m: int) -> int:
     """The most n-grams that two sets of sizes ``n`` and ``m`` with these wide bitmaps can share."""
     a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -303,6 +313,20 @@ def dual_traversal(tree: np.ndarray, side: np.ndarray, rows: Level, percent: int
     return x, y
 
 
+def first_tree(tree: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Pairs whose ``tree`` is the first that both rows name; ``x`` and ``y`` hold what they name in order, then -1. Rows name
+    their first trees, so one that both name comes before all that only one of them does. Pairs that name none in common are
+    kept in all trees."""
+    out = np.zeros(len(tree), bool)
+    for at in range(0, len(tree), STEP):
+        own, a, b = tree[at : at + STEP], x[at : at + STEP], y[at : at + STEP]
+        both = np.zeros(a.shape, bool)
+        for k in range(b.shape[1]):
+            both |= (a == b[:, k : k + 1]) & (a >= 0)
+        out[at : at + STEP] = ~both.any(axis=1) | (a[np.arange(len(a)), both.argmax(axis=1)] == own)
+    return out
+
+
 def candidates(batches, percent: int):
     """Pairs ``a < b`` of the trees of a partition, whose rows come in order; a tree's rows may run over batches."""
     left = None
@@ -324,6 +348,14 @@ def pairs_of(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     n, label, node = (frame[c].to_numpy(np.int64) for c in ("n", "label", "node"))
     rows = Level(n, n, label, label, n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64), bits)
     x, y = dual_traversal(tree, frame["side"].to_numpy(np.int64), rows, percent)
+    named = np.full((len(frame), CARRIED_TREES), -1, np.int64)
+    for row, trees_of_row in zip(named, frame["named"]):
+        row[: len(trees_of_row)] = trees_of_row
+    keep = first_tree(keys[x, 0], named[x], named[y])
+    x, y = x[keep], y[keep]
+    wide = frame["wide"].to_list()
+    may = [most_shared(wide[i], wide[j], n[i], n[j]) * (100 + percent) >= (n[i] + n[j]) * percent for i, j in zip(x, y)]
+    x, y = x[np.array(may, bool)], y[np.array(may, bool)]
     pairs = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1), axis=0)
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -360,19 +392,24 @@ def open_trees(met: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def walked(met: DataFrame, labels: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a < b`` of rows of different components found by walking the trees."""
-    rows = open_trees(met, labels).join(kinds.select("node", "n", "bits"), "node")
+    """Pairs ``a < b`` of rows of different components found by walking the trees, each in one tree where the rows name one in
+    common."""
+    fold = pandas_udf(lambda wide: wide.map(lambda bits: folded(bits, CARRIED_BITS)), "binary")
+    rows = stage(open_trees(met, labels), "open")
+    named = rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("gram")), 1, CARRIED_TREES).alias("named"))
+    rows = rows.join(kinds.select("node", "n", "bits", fold("wide").alias("wide")), "node").join(named, "node")
     # the blocks of a large tree: ranges of sizes, each divided by a hash of the row
     band = F.when(F.col("many") <= BLOCK, 0).otherwise(1 + F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.1))))
     rows = stage(rows.withColumn("band", band.cast("long")).drop("many"), "open-trees")
     blocks = rows.groupBy("gram", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     block = F.shiftleft("band", 40) + F.pmod(F.xxhash64("node"), F.col("blocks"))
     rows = rows.join(blocks, ["gram", "band"]).withColumn("block", F.when(F.col("band") == 0, 0).otherwise(block).cast("long")).drop("band", "blocks")
-    single = rows.where("block = 0").select("gram", F.lit(0).cast("long").alias("one"), F.lit(0).cast("long").alias("two"), F.lit(0).alias("side"), "node", "label", "n", "bits")
+    carried = ["node", "label", "n", "bits", "wide", "named"]
+    single = rows.where("block = 0").select("gram", F.lit(0).cast("long").alias("one"), F.lit(0).cast("long").alias("two"), F.lit(0).alias("side"), *carried)
     large = rows.where("block != 0")
     pairs = stage(block_pairs(large, percent), "block-pairs")
-    left = large.join(pairs.withColumnRenamed("one", "block"), ["gram", "block"]).select("gram", F.col("block").alias("one"), "two", F.lit(0).alias("side"), "node", "label", "n", "bits")
-    right = large.join(pairs.where("one < two").withColumnRenamed("two", "block"), ["gram", "block"]).select("gram", "one", F.col("block").alias("two"), F.lit(1).alias("side"), "node", "label", "n", "bits")
+    left = large.join(pairs.withColumnRenamed("one", "block"), ["gram", "block"]).select("gram", F.col("block").alias("one"), "two", F.lit(0).alias("side"), *carried)
+    right = large.join(pairs.where("one < two").withColumnRenamed("two", "block"), ["gram", "block"]).select("gram", "one", F.col("block").alias("two"), F.lit(1).alias("side"), *carried)
     dealt = single.union(left).union(right).repartition("gram", "one", "two").sortWithinPartitions("gram", "one", "two", "side", "n", "label")
     return stage(dealt.mapInPandas(lambda batches: candidates(batches, percent), "a long, b long").distinct(), "pairs")
 
