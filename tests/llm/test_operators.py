@@ -163,6 +163,28 @@ def test_line_dedup_finds_passages_inside_lines(spark):
     assert {d: list(r["deleted"]) for d, r in got.items()} == want and sum(map(bool, want.values())) > 10
 
 
+def test_line_dedup_cuts_alike_with_and_without_a_pattern(spark):
+    texts = ["", "\n", "\n\na. \nb", "a.\tb!\x0b c? \rd", " e.  f.. g!? h\x0c\n", "é. \U0001f600! ü?\u00a0x.", "i. ", "?! \n\r\n j", "k\t\tl  m. . n"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    for end, plain in [(line_dedup.LINE_END, r"(?<=\n)"), (line_dedup.SENTENCE_END, r"(?<=\n)|(?<=[.!?] )"), (r"(?<=;)", r"(?<=;)")]:
+        want = [[re.sub(r"[\t-\r]", " ", x.strip(" \t\n\x0b\x0c\r")) for x in re.split(plain, t)] for t in texts]
+        got = frame.select("text", line_dedup.bodies_of(F.col("text"), end).alias("b"), F.size(line_dedup.pieces_of(F.col("text"), end)).alias("n")).collect()
+        assert {r["text"]: (list(r["b"]), r["n"]) for r in got} == {t: (w, len(w)) for t, w in zip(texts, want)}
+
+
+def test_line_dedup_of_long_texts_of_short_units(spark):
+    text = "".join(f"{k} w{k % 7}. " for k in range(3000))
+    frame = spark.createDataFrame([(1, text), (2, "x y z. " + text)], "doc_id long, text string")
+    assert {r["doc_id"]: len(r["deleted"]) for r in line_dedup.dedup_lines(frame).collect()} == {1: 0, 2: 3000}
+
+
+def test_line_dedup_works_out_runs_once(spark):
+    """Without a filter, put before the rows are made, in which all least runs are made too, and without a loop for each."""
+    schema = "doc long, copy long, at array<int>, unit array<long>, words array<int>, marks array<int>"
+    plan = line_dedup.least_runs(spark.createDataFrame([], schema), 40)._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and not any("Filter" in line and "lambda" in line for line in plan.splitlines())
+
+
 def test_packing_holds_every_token_once(docs, rows):
     got = packing.pack(docs, capacity=100, same_source=2).toPandas()
     assert got["n_tokens"].sum() == sum(len(words_of(r[1])) for r in rows)

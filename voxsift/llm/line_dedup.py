@@ -16,12 +16,12 @@ from voxsift.staging import stage
 #: Where units end; joined again, units give the text.
 LINE_END = r"(?<=\n)"
 SENTENCE_END = r"(?<=\n)|(?<=[.!?] )"
+#: What else than a line's end ends a unit, where plain strings say it.
+PLAIN_ENDS = {LINE_END: (), SENTENCE_END: (". ", "! ", "? ")}
 #: Words that a repeated run must have.
 MIN_WORDS = 40
 #: Units on either side that are looked at to tell an anchor; where these do not decide, the unit is one.
 NEAR = 6
-#: Units of a run whose words are added up one by one; longer runs are counted in a loop that always goes to the end.
-FEW = 10
 
 DOC = ["doc", "copy"]
 
@@ -42,6 +42,17 @@ def body_of(piece: Column) -> Column:
     return F.when(inside, F.regexp_replace(ends, r"[\t-\r]", " ")).otherwise(ends)
 
 
+def bodies_of(text: Column, unit_end: str) -> Column:
+    """The bodies of a text's pieces, one for each. Known ends become line ends, at which a text is cut without a pattern."""
+    if unit_end not in PLAIN_ENDS:
+        return F.transform(pieces_of(text, unit_end), body_of)
+    for end in PLAIN_ENDS[unit_end]:
+        text = F.replace(text, F.lit(end), F.lit(end[:-1] + "\n"))
+    for white in "\t\x0b\x0c\r":
+        text = F.replace(text, F.lit(white), F.lit(" "))
+    return F.transform(F.split(text, "\n"), lambda body: F.trim(body))
+
+
 def words_of(body: Column) -> Column:
     spaces = F.octet_length(body) - F.octet_length(F.replace(body, F.lit(" "), F.lit("")))
     return F.when(body.contains("  "), F.size(F.split(body, " +"))).otherwise(spaces + 1)
@@ -52,8 +63,8 @@ def units_of(docs: DataFrame, unit_end: str) -> DataFrame:
 
     ``copy`` is a hash of the text, so rows that share a key but not the text stay apart.
     """
-    pieces = docs.select(*DOC, pieces_of(F.col("text"), unit_end).alias("pieces"))
-    piece = F.transform("pieces", lambda piece, at: F.struct(at.alias("at"), body_of(piece).alias("body")))
+    pieces = docs.select(*DOC, bodies_of(F.col("text"), unit_end).alias("pieces"))
+    piece = F.transform("pieces", lambda body, at: F.struct(at.alias("at"), body.alias("body")))
     unit = F.transform(
         F.filter(piece, lambda p: p["body"] != ""),
         lambda p: F.struct(p["at"].alias("at"), F.xxhash64(p["body"]).alias("unit"), words_of(p["body"]).alias("words")),
@@ -62,9 +73,17 @@ def units_of(docs: DataFrame, unit_end: str) -> DataFrame:
     return rows.select(*DOC, "n_pieces", F.col("u.at").alias("at"), F.col("u.unit").alias("unit"), F.col("u.words").alias("words"))
 
 
-def anchors(units: DataFrame, min_words: int) -> DataFrame:
-    """``doc, copy, pos, score`` of each unit that outranks or equals a stretch around it with enough words."""
-    score = F.zip_with("unit", "words", lambda u, w: F.shiftleft(F.least(w, F.lit(32767)).cast("long"), 48) + u.bitwiseAND(F.lit(2**48 - 1)))
+def exploded(rows: DataFrame, structs: Column) -> DataFrame:
+    """``doc, copy`` and the fields of each struct. A plain ``explode`` is given a filter for empty arrays, which makes the array again."""
+    return rows.select(*DOC, F.explode_outer(structs).alias("x")).where("x is not null").select(*DOC, "x.*")
+
+
+def score(unit: Column, words: Column) -> Column:
+    return F.shiftleft(F.least(words, F.lit(32767)).cast("long"), 48) + unit.bitwiseAND(F.lit(2**48 - 1))
+
+
+def with_anchors(units: DataFrame, min_words: int) -> DataFrame:
+    """``units`` and ``tops``, the places of units that outrank or equal a stretch around them with enough words."""
 
     def side(at: Column, own: Column, step: int) -> Column:
         """Words of the neighbours on one side up to the first that outranks the unit."""
@@ -74,82 +93,76 @@ def anchors(units: DataFrame, min_words: int) -> DataFrame:
             words = F.when(other <= own, F.shiftright(other, 48) + words).otherwise(F.lit(0).cast("long"))
         return words
 
-    def stands_out(x: Column) -> Column:
-        return F.shiftright(x["score"], 48) + side(x["pos"], x["score"], -1) + side(x["pos"], x["score"], 1) >= min(min_words, 32767)
+    def stands_out(own: Column, at: Column) -> Column:
+        return F.shiftright(own, 48) + side(at, own, -1) + side(at, own, 1) >= min(min_words, 32767)
 
-    every = F.transform("scores", lambda s, at: F.struct(at.alias("pos"), s.alias("score")))
-    rows = units.select(*DOC, score.alias("scores"))
-    return rows.select(*DOC, F.explode(F.filter(every, stands_out)).alias("x")).select(*DOC, "x.*")
+    rows = units.select("*", F.zip_with("unit", "words", score).alias("scores"))
+    tops = F.filter(F.transform("scores", lambda own, at: F.when(stands_out(own, at), at)), lambda at: at.isNotNull())
+    return rows.select(*units.columns, tops.alias("tops"))
 
 
-def least_runs(units: DataFrame, min_words: int) -> DataFrame:
-    """``doc, copy, start, length, first_at, last_at, head, run``: the least runs that hold one of the units ``marks``,
-    with the hashes of their first unit and of all their units in order."""
-
-    def counted(some_words: Column) -> Column:
-        """How many units one can take from the left with fewer than ``min_words`` words."""
-        none = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"))
+def anchors(units: DataFrame) -> DataFrame:
+    """``doc, copy, pos, score`` of each anchor."""
+    return exploded(units, F.transform("tops", lambda at: F.struct(at.alias("pos"), score(F.get("unit", at), F.get("words", at)).alias("score"))))
 
-        def take(so_far: Column, words: Column) -> Column:
-            more = F.struct((so_far["sum"] + words).alias("sum"), (so_far["n"] + 1).alias("n"))
-            return F.when(so_far["sum"] + words < min_words, more).otherwise(F.struct(F.lit(min_words).alias("sum"), so_far["n"].alias("n")))
 
-        return F.aggregate(some_words, none, take, lambda end: end["n"])
+def least_runs(units: DataFrame, min_words: int) -> DataFrame:
+    """``doc, copy, start, length, first_at, last_at, head, run``: the least runs that hold one of the units ``marks``,
+    with the hashes of their first unit and of all their units in order.
 
-    def reach(at: Column, step: int, every: Column) -> Column:
-        """The same from a unit on or back; a few units most often are enough words, so these are tried first."""
-        few, words = F.when(F.get("words", at) >= min_words, F.lit(0)), F.get("words", at)
-        for k in range(1, FEW):
-            words = words + F.get("words", at + k * step)
-            few = few.when(words >= min_words, F.lit(k))
-        return few.otherwise(counted(every))
+    A list of each word's unit tells where a run ends without adding up words for each.
+    """
+    min_words = max(min_words, 1)
+    some_words = F.transform("words", lambda w, at: F.array_repeat(at, F.least(w, F.lit(min_words))))
+    rows = units.select(*DOC, "at", "unit", "marks", F.flatten(some_words).alias("owner"))
+    begun = F.filter(F.transform("owner", lambda o, k: F.when((k == 0) | (o != F.get("owner", k - 1)), k)), lambda k: k.isNotNull())
+    rows = rows.select("*", F.concat(begun, F.array(F.size("owner"))).alias("begun"))
 
-    def ahead(at: Column) -> Column:
-        return reach(at, 1, F.slice("words", at + 1, min_words))
+    def last_from(at: Column) -> Column:
+        """The last unit of the least run from a unit on, null if the words are too few."""
+        return F.get("owner", F.get("begun", at) + (min_words - 1))
 
-    def behind(at: Column) -> Column:
-        begin = F.greatest(at - (min_words - 1), F.lit(0))
-        return reach(at, -1, F.reverse(F.slice("words", begin + 1, at - begin + 1)))
+    def first_to(at: Column) -> Column:
+        return F.get("owner", F.get("begun", at + 1) - min_words)
 
     def code(start: Column, length: Column) -> Column:
         return F.shiftleft(start.cast("long"), 32) + length
 
-    size = F.size("words")
     # a least run holds a mark if less than enough words lie between its first (last) unit and the mark
-    begins = F.transform("marks", lambda p: F.sequence(F.when(p > 0, p - behind(p - 1)).otherwise(p), p))
-    ends = F.transform("marks", lambda p: F.sequence(p, F.when(p + 1 < size, p + ahead(p + 1)).otherwise(p)))
-    rows = units.select(*DOC, "at", "unit", "words", F.array_distinct(F.flatten(begins)).alias("begins"), F.array_distinct(F.flatten(ends)).alias("ends"))
-    onward = F.transform("begins", lambda i: F.struct(i.alias("i"), ahead(i).alias("n")))
-    onward = F.transform(F.filter(onward, lambda x: x["i"] + x["n"] < size), lambda x: code(x["i"], x["n"] + 1))
-    back = F.transform("ends", lambda j: F.struct(j.alias("j"), behind(j).alias("n")))
-    back = F.transform(F.filter(back, lambda x: x["j"] - x["n"] >= 0), lambda x: code(x["j"] - x["n"], x["n"] + 1))
-    rows = rows.select(*DOC, "at", "unit", F.array_distinct(F.concat(onward, back)).alias("codes"))
+    begins = F.transform("marks", lambda p: F.sequence(F.coalesce(first_to(p - 1) + 1, F.lit(0)), p))
+    ends = F.transform("marks", lambda p: F.sequence(p, F.coalesce(last_from(p + 1) - 1, F.size("unit") - 1)))
+    rows = rows.select("*", F.array_distinct(F.flatten(begins)).alias("begins"), F.array_distinct(F.flatten(ends)).alias("ends"))
+    onward = F.transform("begins", lambda i: code(i, last_from(i) - i + 1))
+    back = F.transform("ends", lambda j: code(first_to(j), j - first_to(j) + 1))
+    codes = F.filter(F.array_distinct(F.concat(onward, back)), lambda code: code.isNotNull())
+    rows = rows.select(*DOC, "at", "unit", codes.alias("codes"))
 
     def run(code: Column) -> Column:
         start, length = F.shiftright(code, 32).cast("int"), code.bitwiseAND(F.lit(2**32 - 1)).cast("int")
+        held = F.transform(F.sequence(start, start + length - 1), lambda k: F.get("unit", k))
         return F.struct(
             start.alias("start"), length.alias("length"), F.get("at", start).alias("first_at"), F.get("at", start + length - 1).alias("last_at"),
-            F.get("unit", start).alias("head"), F.xxhash64(F.slice("unit", start + 1, length)).alias("run"),
+            F.get("unit", start).alias("head"), F.xxhash64(held).alias("run"),
         )
 
-    return rows.select(*DOC, F.explode(F.transform("codes", run)).alias("r")).select(*DOC, "r.*")
+    return exploded(rows, F.transform("codes", run))
 
 
 def later_copies(docs: DataFrame, min_words: int, unit_end: str) -> DataFrame:
     """``doc, copy, n_pieces, gone`` of each text: stretches from one place to another in which all units are to be deleted, null if none."""
-    units = stage(units_of(docs, unit_end), "units")
-    marked = anchors(units, min_words)
+    units = stage(with_anchors(units_of(docs, unit_end), min_words), "units")
+    marked = anchors(units)
     again = marked.groupBy("score").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("score")
     marks = marked.join(again, "score").groupBy(*DOC).agg(F.collect_set("pos").alias("marks"))
     runs = stage(least_runs(units.join(marks, DOC), min_words), "runs")
     place = F.struct("doc", "copy", "start")
     kind = ["length", "head", "run"]
-    kinds = runs.groupBy(*kind).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
+    kinds = runs.groupBy(*kind).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     copies = runs.join(kinds, kind).where(place != F.col("first"))
     along = Window.partitionBy(*DOC).orderBy("first_at")
     apart = F.col("first_at") > F.coalesce(F.max("last_at").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     part = F.sum(F.col("apart").cast("int")).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ends = copies.groupBy(*DOC, "first_at").agg(F.max("last_at").alias("last_at"))
+    ends = copies.repartition(*DOC).groupBy(*DOC, "first_at").agg(F.max("last_at").alias("last_at"))
     merged = ends.withColumn("apart", apart).withColumn("part", part).groupBy(*DOC, "part")
     stretch = merged.agg(F.min("first_at").alias("a"), F.max("last_at").alias("b"))
     gone = stretch.groupBy(*DOC).agg(F.collect_list(F.struct("a", "b")).alias("gone"))
@@ -171,13 +184,14 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     plain = keyed.where(F.col(text).isNotNull()).select(F.col("_doc").alias("doc"), F.col("_copy").alias("copy"), F.col(text).alias("text"))
     found = stage(later_copies(plain, min_words, unit_end).select(F.col("doc").alias("_doc"), F.col("copy").alias("_copy"), "n_pieces", "gone"), "deleted")
     rows = keyed.join(found.hint("merge"), ["_doc", "_copy"], "left")  # as long as the texts: not to be broadcast
-    pieces = pieces_of(F.col(text), unit_end)
+    cut = F.struct("gone", pieces_of(F.col(text), unit_end).alias("pieces"))
+    rows = rows.withColumn("gone", F.when(F.col("gone").isNotNull(), cut))
 
     def goes(piece: Column, at: Column) -> Column:
-        return F.exists("gone", lambda g: (g["a"] <= at) & (at <= g["b"])) & solid(piece)
+        return F.exists("gone.gone", lambda g: (g["a"] <= at) & (at <= g["b"])) & solid(piece)
 
-    rest = F.array_join(F.filter(pieces, lambda piece, at: ~goes(piece, at)), "")
-    places = F.filter(F.transform(pieces, lambda piece, at: F.when(goes(piece, at), at)), lambda at: at.isNotNull())
+    rest = F.array_join(F.filter("gone.pieces", lambda piece, at: ~goes(piece, at)), "")
+    places = F.filter(F.transform("gone.pieces", lambda piece, at: F.when(goes(piece, at), at)), lambda at: at.isNotNull())
     body = F.when(F.col("gone").isNull(), F.col(text)).otherwise(rest)
     out = [body.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c not in ("n_units", "deleted")]
     n_units = F.when(F.col(text).isNull() | (F.col(text) == ""), F.lit(0)).otherwise(F.col("n_pieces"))
