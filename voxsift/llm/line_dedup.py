@@ -9,6 +9,8 @@ third of all units; they alone are shuffled and counted before anything else is.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxsift.staging import stage
@@ -63,14 +65,13 @@ def units_of(docs: DataFrame, unit_end: str) -> DataFrame:
 
     ``copy`` is a hash of the text, so rows that share a key but not the text stay apart.
     """
-    pieces = docs.select(*DOC, bodies_of(F.col("text"), unit_end).alias("pieces"))
-    piece = F.transform("pieces", lambda body, at: F.struct(at.alias("at"), body.alias("body")))
-    unit = F.transform(
-        F.filter(piece, lambda p: p["body"] != ""),
-        lambda p: F.struct(p["at"].alias("at"), F.xxhash64(p["body"]).alias("unit"), words_of(p["body"]).alias("words")),
-    )
-    rows = pieces.select(*DOC, F.size("pieces").alias("n_pieces"), unit.alias("u"))
-    return rows.select(*DOC, "n_pieces", F.col("u.at").alias("at"), F.col("u.unit").alias("unit"), F.col("u.words").alias("words"))
+    bodies = docs.select(*DOC, bodies_of(F.col("text"), unit_end).alias("bodies"))
+
+    def of_units(value: Callable[[Column, Column], Column]) -> Column:
+        return F.filter(F.transform("bodies", lambda body, at: F.when(body != "", value(body, at))), lambda x: x.isNotNull())
+
+    unit, words = of_units(lambda body, at: F.xxhash64(body)), of_units(lambda body, at: words_of(body))
+    return bodies.select(*DOC, F.size("bodies").alias("n_pieces"), of_units(lambda body, at: at).alias("at"), unit.alias("unit"), words.alias("words"))
 
 
 def exploded(rows: DataFrame, structs: Column) -> DataFrame:
@@ -114,7 +115,7 @@ def least_runs(units: DataFrame, min_words: int) -> DataFrame:
     """
     min_words = max(min_words, 1)
     some_words = F.transform("words", lambda w, at: F.array_repeat(at, F.least(w, F.lit(min_words))))
-    rows = units.select(*DOC, "at", "unit", "marks", F.flatten(some_words).alias("owner"))
+    rows = units.select(*DOC, "at", "unit", F.array_sort("marks").alias("marks"), F.flatten(some_words).alias("owner"))
     begun = F.filter(F.transform("owner", lambda o, k: F.when((k == 0) | (o != F.get("owner", k - 1)), k)), lambda k: k.isNotNull())
     rows = rows.select("*", F.concat(begun, F.array(F.size("owner"))).alias("begun"))
 
@@ -128,10 +129,14 @@ def least_runs(units: DataFrame, min_words: int) -> DataFrame:
     def code(start: Column, length: Column) -> Column:
         return F.shiftleft(start.cast("long"), 32) + length
 
-    # a least run holds a mark if less than enough words lie between its first (last) unit and the mark
-    begins = F.transform("marks", lambda p: F.sequence(F.coalesce(first_to(p - 1) + 1, F.lit(0)), p))
-    ends = F.transform("marks", lambda p: F.sequence(p, F.coalesce(last_from(p + 1) - 1, F.size("unit") - 1)))
-    rows = rows.select("*", F.array_distinct(F.flatten(begins)).alias("begins"), F.array_distinct(F.flatten(ends)).alias("ends"))
+    def begins(mark: Column, k: Column) -> Column:
+        """First units of least runs that hold a mark and none before it: less than enough words lie between."""
+        return F.sequence(F.greatest(first_to(mark - 1) + 1, F.get("marks", k - 1) + 1, F.lit(0)), mark)
+
+    def ends(mark: Column, k: Column) -> Column:
+        return F.sequence(mark, F.least(last_from(mark + 1) - 1, F.get("marks", k + 1) - 1, F.size("unit") - 1))
+
+    rows = rows.select("*", F.flatten(F.transform("marks", begins)).alias("begins"), F.flatten(F.transform("marks", ends)).alias("ends"))
     onward = F.transform("begins", lambda i: code(i, last_from(i) - i + 1))
     back = F.transform("ends", lambda j: code(first_to(j), j - first_to(j) + 1))
     codes = F.filter(F.array_distinct(F.concat(onward, back)), lambda code: code.isNotNull())
