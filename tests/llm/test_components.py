@@ -3,6 +3,7 @@
 import random
 import uuid
 
+import corpus_pipeline
 from voxsift.llm import components, near_duplicates
 
 
@@ -67,3 +68,18 @@ def test_tables_that_grow_with_the_input_are_not_broadcast(spark, folder):
     for df in joined:
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_groups_of_near_copies_are_not_broadcast(spark, monkeypatch):
+    text = " ".join(f"w{n}" for n in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, text + " more"), (4, "other words " * 9), (None, text)], "doc_id long, text string")
+    plans, staged = {}, corpus_pipeline.stage
+
+    def kept(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return staged(df, label)
+
+    monkeypatch.setattr(corpus_pipeline, "stage", kept)
+    left = corpus_pipeline.keep_one_of_near_copies(spark, docs, "")
+    assert sorted(r["doc_id"] for r in left.collect()) == [1, 4]
+    assert "SortMergeJoin" in plans["copies"] and "Broadcast" not in plans["copies"]
